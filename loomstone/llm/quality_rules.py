@@ -29,6 +29,8 @@ class Params:
     max_dup_lines: int = 50
     #: A host whose shrunk failure rate is above loses all its documents.
     max_host_rate: float = 0.8
+    #: Parts that a host's documents are dealt to, in the counts and in the join back.
+    salts: int = 32
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -71,14 +73,14 @@ def failed(p: Params) -> Column:
     return (100 * F.col("n_symbols") > p.max_symbols * F.col("n_words")) | (100 * F.col("n_dup_lines") > p.max_dup_lines * F.col("n_lines"))
 
 
-def host_verdicts(judged: DataFrame, p: Params, host: str = "_host") -> DataFrame:
-    """host, n, bad, rate (shrunk), host_ok; judged has a row per document with host and _bad.
+def host_verdicts(parts: DataFrame, p: Params, host: str = "_host") -> DataFrame:
+    """host, n, bad, rate (shrunk), host_ok; parts has host, n and bad, in any number of rows a host.
 
     Beta prior by moments over hosts: mean m weighted by documents, variance v
     of the hosts' rates; weight m(1-m)/v - 1, between 1 and 1000. Where all
     hosts have the same rate, the prior has its largest weight.
     """
-    by = judged.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_bad").cast("bigint")).alias("bad"))
+    by = parts.groupBy(host).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     moments = by.agg(
         (F.sum("bad") / F.sum("n")).alias("m"),
         F.coalesce(F.var_pop(F.col("bad") / F.col("n")), F.lit(0.0)).alias("v"),
@@ -99,11 +101,13 @@ def quality_rules(docs: DataFrame, p: Params = Params(), host: str = "source", k
     d = counts(d).withColumn("base_failed", base_failed(p)).withColumn("_own", failed(p))
     d = d.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("\0none")))
     d = written(d if keep_text else d.drop("text"), f"{scratch(docs.sparkSession, 'quality')}/counts")
-    judged = d.select("_host", (F.col("base_failed") | F.col("_own")).alias("_bad"))
-    verdicts = host_verdicts(judged, p).select(F.col("_host").alias("_of"), F.col("rate").alias("host_rate"), F.col("host_ok").alias("_host_ok"))
-    # A third of all rows may be of one host: its verdict is a row, and the join's large side is split by the planner.
-    out = d.join(verdicts, d["_host"] == verdicts["_of"], "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("_own") & F.coalesce("_host_ok", F.lit(True))).drop("_own", "_host", "_of", "_host_ok", "n_lines")
+    # One host may have a third of all rows: its documents are counted and joined back in parts.
+    d = d.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(p.salts)))
+    parts = d.groupBy("_host", "_salt").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("base_failed") | F.col("_own")).cast("bigint")).alias("bad"))
+    judged = host_verdicts(parts, p).select("_host", F.col("rate").alias("host_rate"), F.col("host_ok").alias("_host_ok"))
+    verdicts = parts.join(judged, "_host").select(F.col("_host").alias("_of"), F.col("_salt").alias("_part"), "host_rate", "_host_ok")
+    out = d.join(verdicts, (d["_host"] == verdicts["_of"]) & (d["_salt"] == verdicts["_part"]), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("_own") & F.coalesce("_host_ok", F.lit(True))).drop("_own", "_host", "_salt", "_of", "_part", "_host_ok", "n_lines")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

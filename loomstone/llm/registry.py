@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from loomstone.llm import license_scan, pii, quality_rules, secrets
+from loomstone.llm import license_scan, line_dedup, pii, quality_rules, secrets
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_pii": pii.op8_pii,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op1_license_scan": license_scan.SQL,
+    "op4_line_dedup": line_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
 }
