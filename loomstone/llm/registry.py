@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomstone.llm import license_scan, line_dedup, pii, quality_rules, secrets
+from loomstone.llm import license_scan, line_dedup, packing, pii, quality_rules, secrets, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
+    "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
