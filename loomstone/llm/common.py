@@ -59,3 +59,22 @@ def sha256_hex(c: Column) -> Column:
 
 def join_sorted(c: Column) -> Column:
     return F.array_join(F.array_sort(c), ",")
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner", least: int = 10_000, part: float = 1 / 1000) -> DataFrame:
+    """left joined with right (keys unique there, n rows of left for each) without a hot task.
+
+    Keys of more than `part` of all rows and more than `least` are at most
+    1 / part, so they are broadcast; the others' rows are shuffled, and none
+    of these keys is large against the whole. how: inner or left. The column
+    n is not in the result. right must be a written table.
+    """
+    total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) > max(least, total * part)
+    few = right.filter(hot).drop(n)
+    rest = right.filter(~hot | F.col(n).isNull()).drop(n)
+    if not few.limit(1).take(1):
+        return left.join(rest, keys, how)
+    of_hot = left.join(F.broadcast(few), keys)
+    others = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return of_hot.unionByName(others)
