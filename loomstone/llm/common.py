@@ -39,14 +39,14 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
-def keyed(docs: DataFrame, root: str) -> DataFrame:
-    """doc_id, text and a row key rk (long, unique, never null).
+def keyed(docs: DataFrame, root: str, keep: list[str] = ()) -> DataFrame:
+    """doc_id, text, the columns of keep, and a row key rk (long, unique, never null).
 
     The key is the doc_id itself where doc_ids are unique and present, which
     one pass over that column shows; else rows get numbers, in a written table,
     so that equal or null ids stay separate rows.
     """
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"), *keep)
     doubled = d.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
     if not doubled.limit(1).take(1):
         return d.withColumn("rk", F.col("doc_id"))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import keyed, scratch, sha256_hex, written
+from loomstone.llm.common import hot_join, keyed, scratch, sha256_hex, written
 
 #: Sorts after every document, for a null doc_id.
 LAST = 2**63 - 1
@@ -88,8 +88,8 @@ def _bounds(d: DataFrame, n: int) -> list[int]:
     return sorted(set(q or []))
 
 
-def line_dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """One row per row of docs: rk, doc_id, text (the kept lines), n_lines, n_dropped.
+def line_dedup(docs: DataFrame, p: Params = Params(), keep: list[str] = ()) -> DataFrame:  # noqa: B008
+    """One row per row of docs: rk, doc_id, text (the kept lines), n_lines, n_dropped, and the columns of keep.
 
     A null or empty text is one empty line. The owner of a key is the
     smallest doc_id that holds it; a null doc_id comes after all others, and
@@ -99,7 +99,7 @@ def line_dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B00
     """
     spark = docs.sparkSession
     root = scratch(spark, "lines")
-    d = keyed(docs, root).withColumn("owner", F.coalesce("doc_id", F.lit(LAST)))
+    d = keyed(docs, root, keep).withColumn("owner", F.coalesce("doc_id", F.lit(LAST)))
     keys = d.select("rk", "owner", F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).filter(F.length("key") >= p.min_chars).select("rk", "owner", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
     keys = written(keys, f"{root}/keys")
     bounds = _bounds(d, p.batches)
@@ -138,6 +138,7 @@ def line_dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B00
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        *keep,
     )
 
 
@@ -155,14 +156,7 @@ def _dropped(keys: DataFrame, owners: DataFrame, p: Params) -> DataFrame:
     Keys with a large part of all repeated lines are joined by broadcast, at
     most 1 / hot_part of them; any other key is small against the whole.
     """
-    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") > max(10_000, total * p.hot_part)
-    lost = F.col("owner") > F.col("of")
-    few = F.broadcast(owners.filter(hot).select("h1", "h2", F.col("of").alias("hot_of")))
-    j = keys.join(few, ["h1", "h2"], "left")
-    by_hot = j.filter(F.col("owner") > F.col("hot_of")).select("rk", "pos")
-    rest = j.filter(F.col("hot_of").isNull()).drop("hot_of").join(owners.filter(~hot).select("h1", "h2", "of"), ["h1", "h2"]).filter(lost).select("rk", "pos")
-    return by_hot.unionByName(rest)
+    return hot_join(keys, owners, ["h1", "h2"], "n", part=p.hot_part).filter("owner > of").select("rk", "pos")
 
 
 def op4_line_dedup(spark, sf_dir):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomstone.llm import license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, token_files
+from loomstone.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_ngram_jaccard": near_duplicates.op2_ngram_jaccard,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_packing": packing.op7_packing,
