@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder; files under it outlive lost executors."""
+    ship(spark)
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_shipped: list[str] = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this library to the Python workers, which may be on machines or in folders without it; once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.append(app)
+        at = Path(__file__).resolve().parents[2]
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/loomstone", "zip", at, "loomstone"))
+
+
 def written(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there."""
     w = df.write.mode("overwrite")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.common import ship
+
 _OTHER = re.compile(r"[\W_]+")
 
 
@@ -187,6 +189,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
     nothing; rows of equal or null doc_id are searched each on its own; other
     columns are not read. Without items the result is empty.
     """
+    ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     schema = "doc_id long, item_id long, start long, end long, distance long"
     out = None
@@ -207,6 +210,7 @@ def _clean(items: list[tuple[int, str, int]]):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """The rows of docs, with all their columns, that hold no item; nothing is shuffled."""
+    ship(docs.sparkSession)
     for block in items_of(benchmark, p):
         docs = docs.mapInArrow(_clean([(i.id, i.text, i.budget) for i in block]), docs.schema)
     return docs

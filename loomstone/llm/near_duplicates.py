@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa
     active = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_active, "band int, key long, low int, high int, block int, rk long")
     active = written(active, f"{root}/active")
     wanted = active.groupBy("rk").agg(F.collect_list(F.struct(*_UNIT, "block")).alias("units")).join(classes.select(F.col("set_rk").alias("rk"), "bands", "copies"), "rk")
-    full = wanted.join(d.select("rk", "text"), "rk").select("rk", "units", "bands", "copies", "text").mapInArrow(_sets(p), _WITH_SETS)
+    # The planner could broadcast a small side; the hint keeps one plan at every size.
+    full = wanted.hint("merge").join(d.select("rk", "text"), "rk").select("rk", "units", "bands", "copies", "text").mapInArrow(_sets(p), _WITH_SETS)
     verified = written(full.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_verify(p), "rk long, links long, linked_docs long, other long"), f"{root}/verified")
     labels = written(components(verified.filter("other is not null"), f"{root}/components", "rk", "other"), f"{root}/labels")
     links = verified.filter("other is null").groupBy("rk").agg(F.sum("links").alias("n_links"), F.sum("linked_docs").alias("n_linked_docs"))

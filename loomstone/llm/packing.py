@@ -1,15 +1,16 @@
 """Packing of token sequences by column generation for the cutting-stock problem.
 
 A document's whole multiples of the sequence length are sequences of their
-own; its rest is an item. The histogram of item lengths, at most one bar for
-each length, gives a linear program over patterns (multisets of lengths that
-fit a sequence), solved by the revised simplex method; a knapsack dynamic
-program prices columns. Patterns that fill their sequence are used a whole
-number of times, rounded down; the documents of each length, ranked without
-gaps, take the patterns' slots. Items that no slot is left for are laid end
-to end and cut at sequence bounds, the last part into powers of two, which
-need no padding. So only the linear program is on the driver, with data
-bounded by the sequence length.
+own. Its rest is an item, or two where it is cut at half the sequence length:
+long items would leave gaps that nothing fills, half ones pair. The histogram
+of item lengths, at most one bar for each length, gives a linear program over
+patterns (multisets of lengths that fit a sequence), solved by the revised
+simplex method; a knapsack dynamic program prices columns. Patterns are used
+a whole number of times, rounded down; the items of each length, ranked
+without gaps, take the patterns' slots. Items that no slot is left for, less
+than a use of each pattern, are laid end to end and cut at sequence bounds,
+the last part into powers of two, which need no padding. So only the linear
+program is on the driver, with data bounded by the sequence length.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class Params:
     size: int = 1024
     #: The linear program ends within this part of its bound.
     gap: float = 0.002
-    max_columns: int = 4000
+    max_columns: int = 2000
     step: int = 256
     #: Documents of a rank chunk, about.
     chunk: int = 20_000
@@ -56,25 +57,86 @@ def _best_pattern(value: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return float(best[size]), counts
 
 
-def cutting_stock(demand: dict[int, int], size: int, gap: float = 0.002, max_columns: int = 4000) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often the linear program uses each: minimum sequences with all demand met exactly."""
+def _first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> np.ndarray:
+    """A square matrix of patterns (columns) that meet the demand: each uses up the demand of a length of its own.
+
+    Each pattern takes the longest length left and fills the rest with
+    lengths left, exactly if that can be, else as far as it can.
+    """
+    left, basis = demand.copy(), np.zeros((len(lengths), len(lengths)))
+    place = {int(w): i for i, w in enumerate(lengths)}
+    for top in range(len(lengths) - 1, -1, -1):
+        while left[top] > 0:
+            room = size - int(lengths[top])
+            there = lengths[left > 0]
+            # reached[c]: the longest length whose use fills c exactly, together with lengths used before.
+            reached = np.zeros(room + 1, np.int64)
+            can = np.zeros(room + 1, bool)
+            can[0] = True
+            if room and (left[place[room]] if room in place else 0) > 0:
+                reached[room], can[room] = room, True
+            else:
+                for c in range(1, room + 1):
+                    w = there[: np.searchsorted(there, c, "right")]
+                    ok = np.flatnonzero(can[c - w])
+                    if len(ok):
+                        reached[c], can[c] = w[ok[-1]], True
+            column, c = np.zeros(len(lengths)), int(np.flatnonzero(can)[-1])
+            column[top] += 1
+            while c:
+                column[place[int(reached[c])]] += 1
+                c -= int(reached[c])
+            used = column > 0
+            ratio = np.where(used, left / np.where(used, column, 1), np.inf)
+            out = int(ratio.argmin())
+            left = np.where(used, np.maximum(left - ratio[out] * column, 0), left)
+            left[out] = 0
+            basis[:, out] = column
+            for also in np.flatnonzero(used & (left <= 1e-9)):
+                left[also] = 0
+                if also != out:
+                    basis[also, also] = size // int(lengths[also])
+    return basis
+
+
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps. Numpy's own may start threads, which can hang in a process that holds a JVM."""
+    a, out = a.copy(), np.eye(len(a))
+    for k in range(len(a)):
+        i = k + int(np.abs(a[k:, k]).argmax())
+        for m in (a, out):
+            m[[k, i]] = m[[i, k]]
+        out[k] /= a[k, k]
+        a[k] /= a[k, k]
+        f = a[:, k].copy()
+        f[k] = 0
+        rows = np.flatnonzero(f)
+        a[rows] -= np.outer(f[rows], a[k])
+        out[rows] -= np.outer(f[rows], out[k])
+    return out
+
+
+def cutting_stock(demand: dict[int, int], size: int, gap: float = 0.002, max_columns: int = 2000) -> list[tuple[dict[int, int], float]]:
+    """Patterns and how often the linear program uses each: few sequences with all demand met exactly."""
     lengths = np.array(sorted(w for w, n in demand.items() if n > 0), np.int64)
     if not len(lengths):
         return []
     d = np.array([demand[int(w)] for w in lengths], float)
-    fit = size // lengths
-    columns = np.diag(fit).astype(float)
-    inverse = np.diag(1.0 / fit)
-    x = d / fit
+    columns = _first_basis(lengths, d, size)
+    inverse = _inverse(columns)
+    x = np.maximum((inverse * d).sum(axis=1), 0)
+    least = float((lengths * d).sum()) / size
     value = np.full(size + 1, -1.0)
     for _ in range(max_columns):
+        if x.sum() <= least * (1 + gap):
+            break
         duals = inverse.sum(axis=0)  # all columns cost 1
         value[lengths] = duals
         top, counts = _best_pattern(value, size)
-        if top <= 1 / (1 - gap):  # the bound of Farley: x.sum() / top
+        if top <= 1 + gap:  # the bound of Farley: x.sum() / top
             break
         column = counts[lengths].astype(float)
-        u = inverse @ column
+        u = (inverse * column).sum(axis=1)
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
@@ -87,16 +149,14 @@ def cutting_stock(demand: dict[int, int], size: int, gap: float = 0.002, max_col
     return [({int(w): int(n) for w, n in zip(lengths, columns[:, k], strict=True) if n}, float(x[k])) for k in range(len(x)) if x[k] > 1e-9]
 
 
-def slots(patterns: list[tuple[dict[int, int], float]], demand: dict[int, int], size: int) -> tuple[dict[str, np.ndarray], int]:
+def slots(patterns: list[tuple[dict[int, int], float]], demand: dict[int, int]) -> tuple[dict[str, np.ndarray], int]:
     """The slots of the patterns used, by length and rank; and how many sequences they make.
 
-    Only patterns without padding are used: full ones, and powers of two.
+    What is left for no slot is less than one use of each pattern, so at most
+    `size` patterns' items, whatever the number of documents.
     """
     left, seq, rows = dict(demand), 0, []
     for pattern, times in sorted(patterns, key=lambda p: -p[1]):
-        total = sum(w * n for w, n in pattern.items())
-        if total != size and total & (total - 1):
-            continue
         times = min([int(times + 1e-6), *(left[w] // n for w, n in pattern.items())])
         if times <= 0:
             continue
@@ -120,46 +180,48 @@ def _encode(path: str, p: Params):
         enc = encoder(path)
         end = np.array([p.end_id], enc.dtype).tobytes()
         crc = lambda b: zlib.crc32(np.frombuffer(b, enc.dtype).astype("<u4"))
-        whole = p.size * enc.dtype.itemsize
+        one, whole = enc.dtype.itemsize, p.size * enc.dtype.itemsize
+        half = whole // 2
         for batch in batches:
             for i in range(0, batch.num_rows, p.step):
                 part = batch.slice(i, p.step)
                 ids = [b + end for b in enc.many(part.column("text").to_pylist())]
                 full = [[crc(b[k : k + whole]) for k in range(0, len(b) - whole + 1, whole)] for b in ids]
                 rest = [b[len(f) * whole :] for b, f in zip(ids, full, strict=True)]
+                cuts = [[0, half, len(b)] if len(b) > half else [0, len(b)] for b in rest]
+                items = [[{"at": i // one, "n": (j - i) // one, "crc": crc(b[i:j])} for i, j in zip(c[:-1], c[1:], strict=True) if j > i] for b, c in zip(rest, cuts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("rk"),
                         part.column("doc_id"),
-                        pa.array([len(b) // enc.dtype.itemsize for b in ids], pa.int64()),
+                        pa.array([len(b) // one for b in ids], pa.int64()),
                         pa.array(full, pa.list_(pa.int64())),
-                        pa.array([len(b) // enc.dtype.itemsize for b in rest], pa.int64()),
-                        pa.array([crc(b) for b in rest], pa.int64()),
+                        pa.array([len(f) * p.size for f in full], pa.int64()),
+                        pa.array(items, pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64()), ("crc", pa.int64())]))),
                         pa.array(rest, pa.binary()),
                     ],
-                    names=["rk", "doc_id", "doc_tokens", "full", "rest", "rest_crc32", "rest_ids"],
+                    names=["rk", "doc_id", "doc_tokens", "full", "whole", "items", "rest_ids"],
                 )
 
     return run
 
 
-_ENCODED = "rk long, doc_id long, doc_tokens long, full array<long>, rest long, rest_crc32 long, rest_ids binary"
-_RANKED = "rk long, doc_id long, doc_tokens long, rest long, rest_crc32 long, rank long"
+_ENCODED = "rk long, doc_id long, doc_tokens long, full array<long>, whole long, items array<struct<at: long, n: long, crc: long>>, rest_ids binary"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def running(df: DataFrame, by: list[str], n: str, out: str, chunks: int) -> DataFrame:
-    """df with the sum of n over the rows before, in each group of `by`, in no given but one fixed order.
+def running(df: DataFrame, by: list[str], n: str, out: str, chunks: int, order: list[str]) -> DataFrame:
+    """df with the sum of n over the rows before, in each group of `by`, in a fixed order; the columns of order tell rows apart.
 
     Rows are dealt to chunks, so a group with most of the rows is no task's
     alone; a table of one row for each chunk and group has the bases.
     """
-    d = df.withColumn("_chunk", F.pmod(F.xxhash64("rk"), F.lit(chunks)))
+    d = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)))
     # Each group's chunks are at most `chunks` rows.
     each = d.groupBy(*by, "_chunk").agg(F.sum(n).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = each.select(*by, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*by, "_chunk").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_own", F.coalesce(F.sum(n).over(within), F.lit(0)))
     return d.join(base, [*by, "_chunk"]).withColumn(out, (F.col("_base") + F.col("_own")).cast("long")).drop("_chunk", "_own", "_base")
 
@@ -170,17 +232,17 @@ def _fill(table: dict[str, np.ndarray]):
     def run(batches):
         key = (table["length"] << 40) + table["first"]
         for b in batches:
-            c = {k: np.asarray(b.column(k)) for k in ("doc_tokens", "rest", "rest_crc32", "rank")}
-            i = np.searchsorted(key, (c["rest"] << 40) + c["rank"], "right") - 1
+            c = {k: np.asarray(b.column(k)) for k in ("doc_tokens", "start", "n", "crc", "rank")}
+            i = np.searchsorted(key, (c["n"] << 40) + c["rank"], "right") - 1
             k, each = c["rank"] - table["first"][i], table["each"][i]
-            cols = [b.column("doc_id"), *map(pa.array, (c["doc_tokens"] - c["rest"], c["rest"], c["rest_crc32"], c["doc_tokens"], table["sequence"][i] + k // each, table["offset"][i] + k % each * c["rest"]))]
+            cols = [b.column("doc_id"), *map(pa.array, (c["start"], c["n"], c["crc"], c["doc_tokens"], table["sequence"][i] + k // each, table["offset"][i] + k % each * c["n"]))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
 
 def _cut(total: int, size: int, first: int, dtype):
-    """Pieces of the items that are laid end to end: `at` is the item's place."""
+    """Pieces of the items that are laid end to end: `laid` is the item's place."""
     whole = total - total % size
     bounds, at = [], whole
     for k in reversed(range(size.bit_length())):
@@ -193,8 +255,8 @@ def _cut(total: int, size: int, first: int, dtype):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                ids = np.frombuffer(r["rest_ids"], dtype)
-                lo, hi = r["at"], r["at"] + r["rest"]
+                ids = np.frombuffer(r["ids"], dtype)
+                lo, hi = r["laid"], r["laid"] + r["n"]
                 while lo < hi:
                     if lo < whole:
                         begin, end, seq = lo // size * size, lo // size * size + size, lo // size
@@ -202,8 +264,8 @@ def _cut(total: int, size: int, first: int, dtype):
                         j = int(np.searchsorted(tails, lo, "right")) - 1
                         begin, end, seq = int(tails[j]), int(tails[j + 1]), whole // size + j
                     to = min(hi, end)
-                    piece = ids[lo - r["at"] : to - r["at"]]
-                    out.append({"doc_id": r["doc_id"], "start": r["doc_tokens"] - r["rest"] + lo - r["at"], "length": to - lo, "ids_crc32": zlib.crc32(piece.astype("<u4")), "doc_tokens": r["doc_tokens"], "sequence_id": first + seq, "offset": lo - begin})
+                    piece = ids[lo - r["laid"] : to - r["laid"]]
+                    out.append({"doc_id": r["doc_id"], "start": r["start"] + lo - r["laid"], "length": to - lo, "ids_crc32": zlib.crc32(piece.astype("<u4")), "doc_tokens": r["doc_tokens"], "sequence_id": first + seq, "offset": lo - begin})
                     lo = to
             yield pa.RecordBatch.from_pylist(out, pa.schema([(k, pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]))
 
@@ -222,21 +284,24 @@ def pack(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     root = scratch(spark, "packing")
     path = public_path(p.tokenizer)
     d = written(keyed(docs, root).select("rk", "doc_id", "text").mapInArrow(_encode(path, p), _ENCODED), f"{root}/encoded")
-    bars = {r["rest"]: r["n"] for r in d.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
-    count = sum(bars.values())
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // p.chunk))
-    demand = {w: n for w, n in bars.items() if w}
-    table, filled = slots(cutting_stock(demand, p.size, p.gap, p.max_columns), demand, p.size)
-    ranked = running(d.filter("rest > 0").select("rk", "doc_id", "doc_tokens", "rest", "rest_crc32", F.lit(1).alias("one")), ["rest"], "one", "rank", chunks).drop("one")
-    used = spark.createDataFrame([(int(w), int(n)) for w, n in zip(table["of"], table["used"], strict=True)], "rest long, used long")
-    ranked = written(ranked.join(F.broadcast(used), "rest"), f"{root}/ranked")  # used: a row for each length
+    size = encoder(path).dtype.itemsize
+    items = d.select("rk", "doc_id", "doc_tokens", "whole", "rest_ids", F.explode("items").alias("i")).select("rk", "doc_id", "doc_tokens", "i.at", "i.n", "i.crc", (F.col("whole") + F.col("i.at")).alias("start"), "rest_ids")
+    demand = {r["n"]: r["count"] for r in items.groupBy("n").count().collect()}  # at most `size` rows
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(demand.values()) // p.chunk))
+    table, filled = slots(cutting_stock(demand, p.size, p.gap, p.max_columns), demand)
+    light = items.select("rk", "at", "doc_id", "doc_tokens", "n", "crc", "start", F.lit(1).alias("one"))
+    ranked = running(light, ["n"], "one", "rank", chunks, ["rk", "at"]).drop("one")
+    used = spark.createDataFrame([(int(w), int(n)) for w, n in zip(table["of"], table["used"], strict=True)], "n long, used long")
+    ranked = written(ranked.join(F.broadcast(used), "n"), f"{root}/ranked")  # used: a row for each length
     fitted = ranked.filter("rank < used").mapInArrow(_fill(table), _PIECE)
-    over = ranked.filter("rank >= used").select("rk").join(d.select("rk", "doc_id", "doc_tokens", "rest", "rest_ids"), "rk")
+    # Bounded by the patterns, so broadcast: the ids of all items stay where they are.
+    over = items.join(F.broadcast(ranked.filter("rank >= used").select("rk", "at")), ["rk", "at"], "left_semi")
+    over = over.select("rk", "at", "doc_id", "doc_tokens", "n", "start", F.substring(F.col("rest_ids"), (F.col("at") * size + 1).cast("int"), (F.col("n") * size).cast("int")).alias("ids"))
     total = sum(w * (demand[w] - int(n)) for w, n in zip(table["of"].tolist(), table["used"], strict=True))
-    laid = running(over.withColumn("all", F.lit(0)), ["all"], "rest", "at", chunks).select("doc_id", "doc_tokens", "rest", "rest_ids", "at")
+    laid = running(over.withColumn("all", F.lit(0)), ["all"], "n", "laid", chunks, ["rk", "at"]).select("doc_id", "doc_tokens", "n", "start", "ids", "laid")
     cut = laid.mapInArrow(_cut(total, p.size, filled, encoder(path).dtype), _PIECE)
     first = filled + total // p.size + bin(total % p.size).count("1")
-    long = running(d.filter(F.size("full") > 0).select("rk", "doc_id", "doc_tokens", "full", F.size("full").cast("long").alias("n"), F.lit(0).alias("all")), ["all"], "n", "before", chunks)
+    long = running(d.filter(F.size("full") > 0).select("rk", "doc_id", "doc_tokens", "full", F.size("full").cast("long").alias("n"), F.lit(0).alias("all")), ["all"], "n", "before", chunks, ["rk"])
     whole = long.select("doc_id", "doc_tokens", "before", F.posexplode("full").alias("i", "crc")).select(
         "doc_id",
         (F.col("i") * F.lit(p.size).cast("long")).alias("start"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, token_files
+from loomstone.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, suffix_dedup, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_packing": packing.op7_packing,
     "op8_pii": pii.op8_pii,
     "op9_token_files": token_files.op9_token_files,

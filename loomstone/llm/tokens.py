@@ -18,7 +18,7 @@ from array import array
 import numpy as np
 
 #: A worker keeps the ids of about this many chunks, the first that it meets, so mostly frequent ones.
-MEMO = 200_000
+MEMO = 400_000
 #: What the chunks can't be trusted with: white space in a row, and characters that libraries class in different ways.
 _DOUBLE = re.compile(r"\s\s|[\0\x1c-\x1f\x85]")
 _encoders: dict[str, Encoder] = {}
