@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import vector_queries
+from loomstone.plans import lexical_queries, vector_queries
 
-_MODULES = [vector_queries]
+_MODULES = [vector_queries, lexical_queries]
 FLAGSHIP = "vec_topk_cosine"
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -19,7 +19,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, score: Callable[[Column,
     The score threshold is strict and applies after the cut to k.
     """
     pairs = corpus.crossJoin(queries).select("query_id", "vec_id", score(F.col("q"), F.col("v")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("vec_id"))
     out = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     if min_score is not None:
         out = out.filter(F.col("score") > min_score)
