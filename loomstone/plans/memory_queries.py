@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import vectors as V
 from loomstone.operators import adaptive_search as A
-from loomstone.operators import evaluation, hierarchy, segments
+from loomstone.functions import providers
+from loomstone.operators import evaluation, hierarchy, segments, themes
 from loomstone.operators import vector_graph as G
 from loomstone.sources.tables import table
 
@@ -185,6 +186,18 @@ def hier_search(spark, sf_dir):
     return row(chosen, "theme", "item", "step").unionByName(row(best, "semantic", "item", "step")).unionByName(row(episodes, "episodic", "episode", "rank"))
 
 
+def theme_build(spark, sf_dir):
+    """Themes of all documents' hashed vectors, user by user."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").alias("fact"), "text")
+    return themes.build_themes(providers.embedded(d, "text", "v").select("user_id", "fact", "v"))
+
+
+def semantic_dedup(spark, sf_dir):
+    """Facts that repeat an accepted one of their theme."""
+    e = _vecs(spark, sf_dir).select(F.lit("all").alias("user_id"), F.col("theme").alias("kind"), F.col("id").alias("fact"), "v")
+    return themes.greedy_dedup(e, 0.3)
+
+
 def _graph(spark, sf_dir):
     n, c, o = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     k = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
@@ -267,7 +280,7 @@ QUERIES = {
     for f in (
         vec_distance_metrics, vec_normalize, knn_graph_full, knn_graph_incremental, threshold_pairs, threshold_components, theme_centroids, theme_mean_intra, theme_cohesion, theme_objective, theme_assign_step,
         theme_merge_candidates, semantic_dup_pairs, segment_by_size, segment_by_gap, conversation_text, episode_fallback, episode_validate, buffer_stats, buffer_eviction, upsert_absent, hier_pool,
-        hier_candidate_themes, hier_episode_priority, ig_gate, hier_search, graph_build, graph_report, graph_upsert, theme_consistency, qa_f1, metric_aggregate, run_compare,
+        hier_candidate_themes, hier_episode_priority, ig_gate, hier_search, theme_build, semantic_dedup, graph_build, graph_report, graph_upsert, theme_consistency, qa_f1, metric_aggregate, run_compare,
     )
 }
 ORACLES = {
