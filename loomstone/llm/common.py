@@ -87,7 +87,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: st
     total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot = F.col(n) > max(least, total * part)
     few = right.filter(hot).drop(n)
-    rest = right.filter(~hot | F.col(n).isNull()).drop(n)
+    # The hint keeps one plan at every size, and the planner can split its skewed partitions.
+    rest = right.filter(~hot | F.col(n).isNull()).drop(n).hint("merge")
     if not few.limit(1).take(1):
         return left.join(rest, keys, how)
     of_hot = left.join(F.broadcast(few), keys)

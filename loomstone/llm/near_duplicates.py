@@ -239,10 +239,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa
         some.groupBy("c1", "c2", "n").agg(F.min(F.struct("rk", "doc_id", "bands")).alias("first"), F.count(F.lit(1)).alias("copies")).select("c1", "c2", "n", F.col("first.rk").alias("set_rk"), F.col("first.doc_id").alias("set_id"), F.col("first.bands").alias("bands"), "copies"),
         f"{root}/classes",
     )
-    each = classes.select(F.col("set_rk").alias("rk"), F.col("n").alias("grams"), "copies", "bands", F.posexplode("bands").alias("band", "key"))
+    each = classes.select(F.col("set_rk").alias("rk"), F.col("n").alias("grams"), F.posexplode("bands").alias("band", "key"))
     buckets = written(each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("grams").alias("all")).filter("n > 1"), f"{root}/buckets")
     parts = F.greatest(F.ceil(F.col("size") / p.block), F.ceil(F.col("all") / p.block_grams)).cast("int")
-    members = hot_join(each, buckets.withColumn("size", F.col("n")), ["band", "key"], "n").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int"))
+    # Only rows of buckets of two or more get all their bands again.
+    members = hot_join(each.drop("grams"), buckets.withColumn("size", F.col("n")), ["band", "key"], "n").hint("merge").join(classes.select(F.col("set_rk").alias("rk"), "bands"), "rk").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rk"), F.col("parts")).cast("int"))
     units = members.select("rk", "bands", "band", "key", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).select("band", "key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rk", "bands")
     active = units.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_active, "band int, key long, low int, high int, block int, rk long")
     active = written(active, f"{root}/active")

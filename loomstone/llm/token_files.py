@@ -118,7 +118,7 @@ def read_tokens(spark, root: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document in the files under root."""
     index = read_index(root)
     shards = spark.createDataFrame([(s["name"], s["base"]) for s in index["shards"]], "name string, base long")
-    return shards.repartition(len(index["shards"])).mapInArrow(_reader(root, index["dtype"]), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, len(index["shards"]))).mapInArrow(_reader(root, index["dtype"]), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark, sf_dir):
