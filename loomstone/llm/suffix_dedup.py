@@ -97,12 +97,18 @@ def _find(p: Params):
                     found.append((np.full(len(first), rk), first, last - first, h.view(np.int64), c.view(np.int64)))
             if found:
                 rk, first, more, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(first, pa.int64()), pa.array(more.astype(np.int32)), pa.array(h), pa.array(c)], names=["rk", "first", "more", "h", "c"])
+                # A text that repeats itself has an anchor at every period: equal ones of a text are one row.
+                order = np.lexsort((first, c, h, rk))
+                rk, first, more, h, c = (x[order] for x in (rk, first, more, h, c))
+                new = np.concatenate([[True], (rk[1:] != rk[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+                at = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(rk)]]).astype(np.int32)), pa.array(first, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(rk[at]), lists, pa.array(more[at].astype(np.int32)), pa.array(h[at]), pa.array(c[at])], names=["rk", "firsts", "more", "h", "c"])
 
     return run
 
 
-_PLACED = "rk long, first long, more int, h long, c long"
+_PLACED = "rk long, firsts array<long>, more int, h long, c long"
 
 
 def _contexts(p: Params):
@@ -264,12 +270,12 @@ def suffix_dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B
     d.mapInArrow(_find(p), _PLACED).repartition(buckets, "h").write.bucketBy(buckets, "h").sortBy("h", "c").format("parquet").option("path", f"{root}/anchors").saveAsTable(table)
     same, group = Window.partitionBy("h", "c"), Window.partitionBy("h")
     # Both windows follow the buckets: no shuffle.
-    placed = spark.table(table).withColumns({"n": F.count(F.lit(1)).over(same), "i": F.row_number().over(same.orderBy("rk", "first")), "all": F.count(F.lit(1)).over(group)}).filter("all > 1")
-    placed = written(placed.withColumn("different", F.sum((F.col("i") == 1).cast("long")).over(group)).select("rk", "first", "more", "h", "n", "i", "all", "different"), f"{root}/repeated")
+    placed = spark.table(table).withColumns({"n": F.sum(F.size("firsts")).over(same), "i": F.row_number().over(same.orderBy("rk")), "all": F.sum(F.size("firsts")).over(group)}).filter("all > 1")
+    placed = written(placed.withColumn("different", F.sum((F.col("i") == 1).cast("long")).over(group)).select("rk", "firsts", "more", "h", "n", "i", "different"), f"{root}/repeated")
     spark.sql(f"DROP TABLE {table}")
-    copies = placed.filter("n > 1").select("rk", F.col("first").alias("a"), (F.col("first") + F.col("more") + p.width).alias("b"))
+    copies = placed.filter("n > 1").select("rk", "more", F.explode("firsts").alias("a")).select("rk", "a", (F.col("a") + F.col("more") + p.width).alias("b"))
     # Contexts with others beside them; those of weight 1 only if they could share something.
-    wanted = placed.filter("i = 1 and different > 1").groupBy("rk").agg(F.collect_list(F.struct("h", "first", "more", "n", "different")).alias("want"))
+    wanted = placed.filter("i = 1 and different > 1").groupBy("rk").agg(F.collect_list(F.struct("h", F.col("firsts")[0].alias("first"), "more", "n", "different")).alias("want"))
     contexts = lambda which: wanted.withColumn("want", F.filter("want", which)).filter(F.size("want") > 0).hint("merge").join(d.select("rk", "text"), "rk").select("rk", "text", "want").mapInArrow(_contexts(p), "h long, rk long, first long, n long, context binary")
     near = contexts(lambda w: w["different"] <= p.most).repartition("h").sortWithinPartitions("h").mapInArrow(_judge(p), "rk long, a long, b long")
     spans = copies.unionByName(near)
