@@ -11,7 +11,6 @@ tokenizer, are encoded whole.
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
 
@@ -19,8 +18,8 @@ import numpy as np
 
 #: A worker keeps the ids of about this many chunks, the first that it meets, so mostly frequent ones.
 MEMO = 400_000
-#: What the chunks can't be trusted with: white space in a row, and characters that libraries class in different ways.
-_DOUBLE = re.compile(r"\s\s|[\0\x1c-\x1f\x85]")
+#: What the chunks can't be trusted with: white space in a row, and white space and separators besides space and line break.
+_ODD = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
 _encoders: dict[str, Encoder] = {}
 
 
@@ -39,6 +38,7 @@ class Encoder:
         pre = self.tok.pre_tokenizer
         self.chunked = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tok.normalizer is None and type(self.tok.model).__name__ == "BPE"
         self.memo: dict[str, bytes] = {}
+        self.ends = {c: b for c, b in zip(".,", self._whole([".", ","]), strict=True)} if self.chunked else {}
         #: Whether an id starts with a space or a line break, in the alphabet that bytes are written in.
         self.opens = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         self.opens[[i for t, i in self.tok.get_vocab().items() if t[:1] in ("\u0120", "\u010a")]] = True
@@ -47,6 +47,14 @@ class Encoder:
         kind = self.code
         return [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ended(self, chunk: str) -> bytes | None:
+        end = self.ends.get(chunk[-1:])
+        if end is not None and chunk[-2:-1].isalpha():
+            known = self.memo.get(chunk[:-1])
+            if known is not None:
+                return known + end
+        return None
+
     def one(self, text: str) -> bytes:
         return self.many([text])[0]
 
@@ -56,7 +64,7 @@ class Encoder:
             return self._whole(texts)
         get, known, asked = self.memo.get, [], []
         for text in texts:
-            if _DOUBLE.search(text):
+            if any(x in text for x in _ODD):
                 known.append(None)
                 asked += [(text, None)]
                 continue
@@ -64,7 +72,10 @@ class Encoder:
             head, chunks[0] = chunks[0], ""
             ids = list(map(get, chunks))
             ids[0] = b""
-            new = [c for c, b in zip(chunks, ids, strict=True) if b is None]
+            if None in ids:
+                # A known chunk and a full stop or comma are a known piece and another one.
+                ids = [b if b is not None else self._ended(c) for c, b in zip(chunks, ids, strict=True)]
+            new = [c for c, b in zip(chunks, ids, strict=True) if b is None] if None in ids else []
             known.append(ids)
             # The unknown chunks in a row are a text in which each starts with its space or line break.
             asked += [(head, None), ((" " + " ".join(new)).replace(" \n", "\n") if new else "", new)]
