@@ -1,9 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents come in batches, in doc_id order. A batch's line hashes (with the
-smallest doc_id that holds each) are merge-joined with the runs written by
-the batches before: hashes already there are owned by an earlier document,
-the others become a new sorted run. Runs of one level are merged into one of
+smallest doc_id that holds each) are merged with the runs written by the
+batches before: hashes already there are owned by an earlier document, the
+others (the anti-join) become a new sorted run. Runs of one level are merged into one of
 the next level when `fanout` of them are there. At the end each hash is in
 one run, with the document that owns it; every other document loses its
 lines of that hash.
@@ -113,18 +113,16 @@ def line_dedup(docs: DataFrame, p: Params = Params(), keep: list[str] = ()) -> D
     repeated = None
     for b in range(len(bounds) + 1):
         now = each.filter(F.col("batch") == b).select("h1", "h2", "owner", "last", "n")
-        seen = None
+        # A merge of the batch with the runs, once: what no run has is new, the rest has its owner there.
         for run in runs.tables():
-            # A key is in one run at most.
-            hit = now.join(run.select("h1", "h2", F.col("owner").alias("of")), ["h1", "h2"], "inner").select("h1", "h2", F.col("of").alias("owner"), "n")
-            seen = hit if seen is None else seen.unionByName(hit)
-            now = now.join(run, ["h1", "h2"], "left_anti")
-        again = now.filter(F.col("last") > F.col("owner")).select("h1", "h2", "owner", "n")
-        again = again if seen is None else again.unionByName(seen)
-        again = written(again, f"{root}/repeated/{b}")
+            r = run.select("h1", "h2", F.col("owner").alias("in_run")).hint("merge")
+            now = now.join(r, ["h1", "h2"], "left")
+            now = now.withColumn("of", F.coalesce("of", "in_run") if "of" in now.columns else F.col("in_run")).drop("in_run")
+        now = written(now if "of" in now.columns else now.withColumn("of", F.lit(None).cast("long")), f"{root}/merged/{b}")
+        again = now.filter("of is not null or last > owner").select("h1", "h2", F.coalesce("of", "owner").alias("owner"), "n")
         repeated = again if repeated is None else repeated.unionByName(again)
         if b < len(bounds):
-            runs.add(now.select("h1", "h2", "owner"))
+            runs.add(now.filter("of is null").select("h1", "h2", "owner"))
     runs.close()
     owners = repeated.groupBy("h1", "h2").agg(F.min("owner").alias("of"), F.sum("n").alias("n"))
     owners = written(owners, f"{root}/owners")
