@@ -2,29 +2,88 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import vectors as V
 
 
+#: Vectors that are sent to the executors at a time.
+BLOCK = 4096
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of unit length from an Arrow column of lists of one size; a zero row stays."""
+    m = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _against(asked: DataFrame, known: DataFrame, judge, same: str | None = None) -> DataFrame:
+    """src, dst, sim of the pairs that judge(sims, src ids, dst ids) marks, sims being known by asked.
+
+    The asked vectors go out in blocks of bounded size, each a pass over the
+    known ones; pairs are matrix products in Arrow batches and only marked
+    ones become rows. Null vectors and ones of another size are left out.
+    """
+    spark, more = asked.sparkSession, [same] if same else []
+    kind = asked.schema["id"].dataType
+    schema = "src long, dst long, sim double"
+    rows, out = asked.filter("v is not null").select(F.col("id").cast("long"), V.doubles(F.col("v")).alias("v"), *more), None
+    block: list = []
+
+    def send(block: list) -> DataFrame:
+        ids, m = np.array([r[0] for r in block]), _matrix(pa.array([r[1] for r in block], pa.list_(pa.float64())))
+        kinds = np.array([r[2] for r in block]) if same else None
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                dst = np.asarray(b.column("id"))
+                sims = _matrix(b.column("v")) @ m.T
+                mark = judge(sims, ids, dst)
+                if same:
+                    mark &= np.asarray(b.column(same))[:, None] == kinds[None, :]
+                i, j = np.nonzero(mark)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(dst[i]), pa.array(sims[i, j])], names=["src", "dst", "sim"])
+
+        d = known.filter(F.size("v") == m.shape[1]).select(F.col("id").cast("long").alias("id"), V.doubles(F.col("v")).alias("v"), *more)
+        return d.mapInArrow(run, schema)
+
+    for r in rows.toLocalIterator():
+        block.append(tuple(r))
+        if len(block) == BLOCK:
+            out = send(block) if out is None else out.unionByName(send(block))
+            block = []
+    if block:
+        out = send(block) if out is None else out.unionByName(send(block))
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return out.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "sim")
+
+
 def knn(new: DataFrame, known: DataFrame, k: int = 10) -> DataFrame:
     """src, dst, rank, sim: for each new vector (id, v) the k nearest known ones, itself left out, sim > 0."""
-    pairs = known.select(F.col("id").alias("dst"), F.col("v").alias("b")).join(new.select(F.col("id").alias("src"), F.col("v").alias("a")), F.col("src") != F.col("dst"))
+
+    def nearest(sims: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+        at = max(0, len(sims) - k - 1)  # itself may be among them
+        least = np.partition(sims, at, axis=0)[at]
+        return (sims >= least - 1e-9) & (sims > 0) & (dst[:, None] != src[None, :])
+
     best = Window.partitionBy("src").orderBy(F.round("sim", 9).desc(), F.asc("dst"))
-    return pairs.select("src", "dst", V.cosine(F.col("a"), F.col("b")).alias("sim")).withColumn("rank", F.row_number().over(best).cast("bigint")).filter(f"rank <= {int(k)} and sim > 0")
+    return _against(new, known, nearest).withColumn("rank", F.row_number().over(best).cast("bigint")).filter(f"rank <= {int(k)}")
 
 
 def pairs_above(vecs: DataFrame, threshold: float, same: str | None = None, strict: bool = False) -> DataFrame:
-    """a, b, sim for a < b with sim at or above the threshold; of equal `same` only, where given."""
-    keep = [same] if same else []
-    x = vecs.select(F.col("id").alias("a"), F.col("v").alias("va"), *(F.col(c).alias("_a") for c in keep))
-    y = vecs.select(F.col("id").alias("b"), F.col("v").alias("vb"), *(F.col(c).alias("_b") for c in keep))
-    on = F.col("a") < F.col("b")
-    if same:
-        on &= F.col("_a") == F.col("_b")
-    out = x.join(y, on).select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("sim"))
-    return out.filter(F.col("sim") > threshold if strict else F.col("sim") >= threshold)
+    """a, b, sim for a < b with sim at or above the threshold (above it if strict); of equal `same` only, where given."""
+
+    def near(sims: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+        return ((sims > threshold) if strict else (sims >= threshold)) & (src[None, :] < dst[:, None])
+
+    return _against(vecs, vecs, near, same).withColumnsRenamed({"src": "a", "dst": "b"})
 
 
 def components(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
