@@ -8,29 +8,49 @@ from pyspark.sql import functions as F
 from loomstone.functions.text import simple_tokens
 
 
-def token_f1(predicted: Column, gold: Column) -> Column:
-    """F1 of the sets of simple tokens; 0 where either is empty."""
-    a, b = F.array_distinct(simple_tokens(predicted)), F.array_distinct(simple_tokens(gold))
+def _f1(a: Column, b: Column) -> Column:
+    a, b = F.array_distinct(a), F.array_distinct(b)
     both = F.size(F.array_intersect(a, b))
     p, r = both / F.nullif(F.size(a), F.lit(0)), both / F.nullif(F.size(b), F.lit(0))
     return F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
 
 
+def token_f1(predicted: Column, gold: Column) -> Column:
+    """F1 of the sets of simple tokens; 0 where either is empty."""
+    return _f1(simple_tokens(predicted), simple_tokens(gold))
+
+
+def shared(a: Column, b: Column) -> Column:
+    """How many tokens two arrays share, each as often as in both."""
+    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+
+
+def scored(answers: DataFrame, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
+    """answers with exact, f1, bleu1 and rouge1; each text is tokenised once."""
+    d = answers.withColumns({"_a": simple_tokens(F.col(predicted)), "_b": simple_tokens(F.col(gold))})
+    d = d.withColumn("_hits", shared(F.col("_a"), F.col("_b")))
+    recall = F.coalesce(F.col("_hits") / F.nullif(F.size("_b"), F.lit(0)), F.lit(0.0))
+    return d.withColumns({"exact": exact_match(F.col(predicted), F.col(gold)), "f1": _f1(F.col("_a"), F.col("_b")), "bleu1": _bleu1(F.col("_a"), F.col("_b"), F.col("_hits")), "rouge1": recall}).drop("_a", "_b", "_hits")
+
+
 def exact_match(predicted: Column, gold: Column) -> Column:
     return (F.lower(F.trim(F.coalesce(predicted, F.lit("")))) == F.lower(F.trim(F.coalesce(gold, F.lit(""))))).cast("int")
 
 
-def bleu1(predicted: Column, gold: Column, eps: float = 0.1) -> Column:
-    """Clipped unigram precision with a brevity penalty; no match counts as eps; 0 for an empty answer."""
-    a, b = simple_tokens(predicted), simple_tokens(gold)
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    hits = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+def _bleu1(a: Column, b: Column, hits: Column, eps: float = 0.1) -> Column:
     n, m = F.size(a), F.size(b)
     precision = F.when(hits == 0, F.lit(eps)).otherwise(hits.cast("double")) / F.nullif(n, F.lit(0))
     brevity = F.when(n > m, F.lit(1.0)).otherwise(F.exp(1 - m / F.nullif(n, F.lit(0))))
     return F.coalesce(precision * brevity, F.lit(0.0))
 
 
+def bleu1(predicted: Column, gold: Column, eps: float = 0.1) -> Column:
+    """Clipped unigram precision with a brevity penalty; no match counts as eps; 0 for an empty answer."""
+    a, b = simple_tokens(predicted), simple_tokens(gold)
+    return _bleu1(a, b, shared(a, b), eps)
+
+
 def aggregate(scores: DataFrame, metric: str = "metric", value: str = "value", category: str = "category") -> DataFrame:
     """metric, category (null: all), mean, std (sample; 0 of one), median, min, max, count."""
     d = scores.select(metric, category, value)

@@ -245,8 +245,7 @@ def _answers(spark, sf_dir):
 
 
 def qa_f1(spark, sf_dir):
-    p, g = F.col("predicted"), F.col("gold")
-    return _round(_answers(spark, sf_dir).select("conv_id", "turn", evaluation.exact_match(p, g).alias("exact"), evaluation.token_f1(p, g).alias("f1"), evaluation.bleu1(p, g).alias("bleu1")), "f1", "bleu1")
+    return _round(evaluation.scored(_answers(spark, sf_dir)).select("conv_id", "turn", "exact", "f1", "bleu1"), "f1", "bleu1")
 
 
 def metric_aggregate(spark, sf_dir):

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
+from loomstone.operators import evaluation
 from loomstone.operators import vector_graph as G
 from loomstone.operators.vector_search import topk
-from loomstone.plans.memory_queries import _C, _EP, _E, _M, _P, _episodes, _messages, _vecs
+from loomstone.plans.memory_queries import _C, _EP, _E, _M, _P, _answers, _episodes, _messages, _vecs
 from loomstone.plans.vector_queries import _sides
 from loomstone.sources.tables import table
 
@@ -113,12 +114,7 @@ def update_by_id(spark, sf_dir):
 
 def rouge_n(spark, sf_dir):
     """ROUGE-1 recall of each turn against the one before it."""
-    from loomstone.plans.memory_queries import _answers
-
-    a, b = X.simple_tokens(F.col("predicted")), X.simple_tokens(F.col("gold"))
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    hits = F.aggregate(F.array_distinct(b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    return _answers(spark, sf_dir).select("conv_id", "turn", F.round(F.coalesce(hits / F.nullif(F.size(b), F.lit(0)), F.lit(0.0)), 6).alias("rouge1"))
+    return evaluation.scored(_answers(spark, sf_dir)).select("conv_id", "turn", F.round("rouge1", 6).alias("rouge1"))
 
 
 _S = "s AS (SELECT a.id AS query_id, b.id AS vec_id, {p} AS s FROM e a JOIN e b ON a.id % 50 = 0)".format(p=_P)
