@@ -39,7 +39,7 @@ def _patterns(t: Column, p: Params) -> dict[str, tuple[str, Column]]:
         "assign": (_ASSIGN, t.rlike(_KEYWORD)),
         "access": (r"AKIA[A-Z0-9]++", t.contains("AKIA")),
         # The whole runs of 24 or more; shorter ones fail anyway.
-        "hex": (r"[0-9a-f]{24,}+", t.rlike(r"[0-9][a-f0-9]{11}|[a-f]{24}")),
+        "hex": (r"[0-9a-f]{24,}+", t.rlike("[0-9a-f]{24}")),
         "random": (rf"{_TOKEN}{{{p.min_length},}}+", t.rlike(rf"{_TOKEN}{{{p.min_length}}}")),
     }
 

@@ -147,6 +147,12 @@ def test_pii_and_secrets(spark, docs, empty):
     assert pii.find_pii(empty).count() == 0 and secrets.find_secrets(empty).count() == 0
 
 
+def test_hex_runs_with_late_digits(spark):
+    texts = [(1, "deadbeefdeadbeef00000000"), (2, "see abcdefabcdefa12345678901."), (3, "deadbeefdeadbeef0000000"), (4, "f" * 23 + "0"), (5, "0" + "f" * 23)]
+    got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.base] for x in secrets.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: base_secrets(t) for i, t in texts} and got[1] == [(0, 2, 24)] and got[2] == [(4, 2, 28)] and got[3] == []
+
+
 def test_long_runs_are_linear(spark):
     d = spark.createDataFrame([(1, "1" * 300_000), (2, "a" * 300_000), (3, "1-" * 100_000), (4, "a@b" + ".c" * 100_000), (5, "+1" * 50_000)], "doc_id long, text string")
     assert pii.find_pii(d).count() == 5 and secrets.find_secrets(d).count() == 5
