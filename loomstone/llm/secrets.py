@@ -4,14 +4,15 @@ One model is of random strings, one of ordinary identifiers. Both are
 bigram counts over the ASCII characters of a token's alphabet. The labelled
 samples are made from the whole corpus: values found by the patterns are
 random, words of letters are ordinary. A long token is a secret where the
-log-likelihood ratio of the models, per character, is above a threshold.
+log-likelihood ratio of the models, per character, is above a threshold over
+the whole token, or else in those stretches of it where it is.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import scratch, sha256_hex, text_of, written
@@ -26,11 +27,11 @@ _VALUE = rf"^{_KEYWORD}[\"']?+\x20*+[:=]\x20*+[\"']?+([A-Za-z0-9+/_.=-]++)$"
 
 @dataclass(frozen=True)
 class Params:
-    #: Characters of a token that the models judge.
+    #: Characters of a token, and of a stretch of it, that the models judge.
     min_length: int = 20
     #: Log-likelihood ratio per character, in nats.
     min_ratio: float = 0.5
-    #: Words of letters from this length are samples of ordinary identifiers.
+    #: Words of letters from this length are samples of ordinary identifiers, unless so many letters in a row are to be judged themselves.
     min_word: int = 6
 
 
@@ -50,7 +51,7 @@ def candidates(docs: DataFrame, p: Params) -> DataFrame:
     found = matches(d, "text", _patterns(F.col("text"), p), ["rk", "doc_id"])
     m, kind = F.col("match"), F.col("kind")
     value = F.when(kind == 0, F.regexp_extract(m, _VALUE, 1)).otherwise(m)
-    ok = F.when(kind == 0, F.length(value) >= 6).when(kind == 1, F.length(m) >= 20).when(kind == 3, m.rlike("[0-9]") & m.rlike("[A-Za-z]")).otherwise(True)
+    ok = F.when(kind == 0, F.length(value) >= 6).when(kind == 1, F.length(m) >= 20).otherwise(True)
     bad = kind.isNotNull() & ~ok
     return found.select("rk", "doc_id", *(F.when(~bad, c).alias(n) for n, c in (("kind", kind), ("start", F.col("start")), ("end", F.col("end")), ("value", value))))
 
@@ -65,11 +66,14 @@ def models(found: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """gram, ratio: log P(second | first) under the random model less that under the ordinary one.
 
     At most a row for each pair of the 66 characters of tokens, whatever the
-    corpus, so the table may be broadcast. Counts start at one half.
+    corpus, so the table may be broadcast. Counts start at one half. Ordinary
+    words have no + / = -, so pairs with one of these tell nothing: ratio 0.
     """
     secret = _bigrams(found.filter("kind < 3").groupBy("value").agg(F.lit(1).alias("one")), F.lit(1))
-    words = docs.select(F.explode(F.array_distinct(F.split(text_of(docs), "[^A-Za-z_]+"))).alias("value")).filter(F.length("value") >= p.min_word).groupBy("value").agg(F.lit(1).alias("one"))
-    plain = _bigrams(words, F.lit(1))
+    words = docs.select(F.explode(F.array_distinct(F.split(text_of(docs), "[^A-Za-z_]+"))).alias("value")).filter((F.length("value") >= p.min_word) & ~F.col("value").rlike(f"[A-Za-z]{{{p.min_length}}}")).groupBy("value").agg(F.lit(1).alias("one"))
+    # Letters within a random sample are no ordinary word.
+    within = found.filter("kind < 3").select(F.explode(F.split("value", "[^A-Za-z_]+")).alias("value")).distinct()
+    plain = _bigrams(words.join(within, "value", "left_anti"), F.lit(1))
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
     a = F.split(F.lit(alphabet), "")
     spark = docs.sparkSession
@@ -77,7 +81,30 @@ def models(found: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     counts = secret.select("gram", F.col("n").alias("s"), F.lit(0).alias("o")).unionByName(plain.select("gram", F.lit(0).alias("s"), F.col("n").alias("o"))).unionByName(grid.select("gram", F.lit(0).alias("s"), F.lit(0).alias("o")))
     counts = counts.groupBy("gram").agg((F.sum("s") + 0.5).alias("s"), (F.sum("o") + 0.5).alias("o")).filter(F.col("gram").rlike(f"^{_TOKEN}{{2}}$"))
     first = counts.groupBy(F.substring("gram", 1, 1).alias("first")).agg(F.sum("s").alias("ss"), F.sum("o").alias("oo"))
-    return counts.join(F.broadcast(first), F.substring("gram", 1, 1) == F.col("first")).select("gram", (F.log(F.col("s") / F.col("ss")) - F.log(F.col("o") / F.col("oo"))).alias("ratio"))
+    ratio = F.when(F.col("gram").rlike("[+/=-]"), 0.0).otherwise(F.log(F.col("s") / F.col("ss")) - F.log(F.col("o") / F.col("oo")))
+    return counts.join(F.broadcast(first), F.substring("gram", 1, 1) == F.col("first")).select("gram", ratio.alias("ratio"))
+
+
+def _stretches(tokens: DataFrame, ratios: DataFrame, p: Params) -> DataFrame:
+    """token, at, array of (from, to): the random stretches of tokens (token, value); tokens of none are left out.
+
+    One stretch is the whole token if its mean ratio is high enough; else all
+    windows of min_length characters whose mean is, overlapping ones as one.
+    """
+    chars = F.split("value", "")
+    grams = tokens.select("token", F.posexplode(F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))).alias("i", "gram"))
+    n = p.min_length - 1
+    along = Window.partitionBy("token").orderBy("i")
+    d = grams.join(F.broadcast(ratios), "gram").withColumn("mean", F.avg("ratio").over(along.rowsBetween(1 - n, 0)))
+    d = d.withColumn("good", (F.col("i") >= n - 1) & (F.col("mean") >= p.min_ratio))
+    last = F.max(F.when(F.col("good"), F.col("i"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("new", (F.col("good") & (last.isNull() | (F.col("i") - last > p.min_length))).cast("int")).withColumn("part", F.sum("new").over(along))
+    # The rows before the first good window are part 0; they count in the token's mean alone.
+    parts = d.groupBy("token", "part").agg(F.sum("ratio").alias("ratio"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("good"), F.col("i"))).alias("lo"), F.max(F.when(F.col("good"), F.col("i"))).alias("hi"))
+    part = F.when(F.col("lo").isNotNull(), F.struct((F.col("lo") - n + 1).cast("bigint").alias("from"), (F.col("hi") + 2).cast("bigint").alias("to")))
+    t = parts.groupBy("token").agg((F.sum("ratio") / F.sum("n")).alias("mean"), F.sum("n").alias("n"), F.collect_list(part).alias("at"))
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("from"), (F.col("n") + 1).alias("to")))
+    return t.select("token", F.when(F.col("mean") >= p.min_ratio, whole).otherwise(F.col("at")).alias("at")).filter(F.size("at") > 0)
 
 
 def find_secrets(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
@@ -89,11 +116,11 @@ def find_secrets(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B
     """
     root = scratch(docs.sparkSession, "secrets")
     found = written(candidates(docs, p), f"{root}/candidates")
-    tokens = found.filter("kind = 3").groupBy("value").agg(F.count(F.lit(1)).alias("seen"))
-    chars = F.split("value", "")
-    grams = tokens.select("value", F.explode(F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))).alias("gram"))
-    judged = grams.join(F.broadcast(models(found, docs, p)), "gram").groupBy("value").agg((F.sum("ratio") / F.count(F.lit(1))).alias("ratio")).filter(F.col("ratio") >= p.min_ratio)
-    random = found.filter("kind = 3").join(judged, "value", "left_semi")
+    # A digest names a token: its value may be long and would be in the row of each of its pairs.
+    runs = found.filter("kind = 3").withColumn("token", F.md5("value"))
+    judged = _stretches(runs.groupBy("token").agg(F.first("value").alias("value")), models(found, docs, p), p)
+    random = runs.select("rk", "doc_id", "kind", "start", "token").join(judged, "token").select("rk", "doc_id", "kind", "start", F.explode("at").alias("at"))
+    random = random.select("rk", "doc_id", "kind", (F.col("start") + F.col("at.from")).alias("start"), (F.col("start") + F.col("at.to")).alias("end"), F.lit(None).cast("string").alias("value"))
     every = found.filter("kind is null or kind < 3").unionByName(random)
     span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end"))
     # A document whose only matches are judged ordinary stays, with nulls.

@@ -173,6 +173,22 @@ def test_random_token(spark):
     assert spans[90] == [(3, 4)] and spans[91] == []
 
 
+def test_random_stretches(spark):
+    r = random.Random(8)
+    alphabet = "bcdfghjklmnpqrst" + string.digits
+    key = lambda chars, n: "".join(r.choices(chars, k=n))
+    letters, digits, inner = key(alphabet[:16], 32), key(string.digits, 22), [key(alphabet, 32) for _ in range(2)]
+    words = ["".join(r.choices(["con", "figu", "ra", "tion", "de", "ploy", "ment", "set", "tings", "pro", "duc", "en", "vi", "ron", "ap", "pli", "ca", "re", "sour", "ces"], k=r.randint(3, 4))) for _ in range(4000)]
+    path = "/".join(words[:8])
+    rows = [(i, "token = " + key(alphabet, 40) + " " + " ".join(words[i * 20 : i * 20 + 20])) for i in range(200)]
+    rows += [(900, letters), (901, digits), (902, f"see {path}/{inner[0]}/{path}={inner[1]}"), (903, path), (904, "-" * 40 + " " + "=" * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == 3] for x in secrets.find_secrets(d).collect()}
+    assert got[900] == [(0, 32)] and got[901] == [(0, 22)] and got[903] == got[904] == []
+    at = [dict(rows)[902].index(x) for x in inner]
+    assert len(got[902]) == 2 and all(a <= i and i + 32 <= b and b - a < 32 + 2 * 20 for (a, b), i in zip(got[902], at, strict=True))
+
+
 def test_near_duplicates(spark, docs, empty):
     base = [prose(200, i) for i in range(5)]
     texts = [(i, t) for i, t in enumerate(base)]
