@@ -1,10 +1,11 @@
 """Personal data, and terms that reveal it.
 
-Entities are found by patterns. Terms are the words near an entity; over the
-whole corpus the co-occurrence of term and entity estimates how strongly the
-term reveals it: the share of the term's documents that hold the entity, and
-the pointwise mutual information of the two. Terms above both thresholds,
-seen in enough different contexts, are sanitised where they stand near it.
+Entities are found by patterns. Terms are the words of the documents that hold
+an entity; over the whole corpus the co-occurrence of term and entity estimates
+how strongly the term reveals it: the share of the term's documents that hold
+the entity, and the pointwise mutual information of the two. Terms above both
+thresholds, seen in enough different contexts, are sanitised wherever they
+stand in the documents of the entity.
 """
 
 from __future__ import annotations
@@ -14,18 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import scratch, sha256_hex, text_of, written
-from loomstone.llm.spans import matches, pieces, spelled
+from loomstone.llm.common import hot_join, keyed, scratch, sha256_hex, written
+from loomstone.llm.spans import MARK, matches, pieces, spelled
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 
 
 @dataclass(frozen=True)
 class Params:
-    #: Code points on each side of an entity in which terms are looked for.
-    around: int = 60
-    #: Different texts on either side of the entity where term and entity meet; copies count once, and
-    #: near copies that differ on one side do too.
+    #: Documents of different texts in which term and entity meet.
     min_contexts: int = 3
     #: Share of the term's documents that hold the entity.
     min_share: float = 0.5
@@ -65,78 +63,96 @@ def _valid() -> Column:
     )
 
 
-def entities(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
-    """rk, doc_id, kind, start, end, match, left, right of valid entities; nulls for a document of none."""
-    d = docs.select(F.monotonically_increasing_id().alias("rk"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
-    found = matches(d, "text", _patterns(F.col("text")), ["rk", "doc_id"], p.around)
+def entities(d: DataFrame) -> DataFrame:
+    """rk, doc_id, kind, start, end, match of valid entities of keyed documents; nulls for a document of none."""
+    found = matches(d, "text", _patterns(F.col("text")), ["rk", "doc_id"])
     bad = F.col("kind").isNotNull() & ~_valid()
-    return found.select("rk", "doc_id", *(F.when(~bad, F.col(c)).alias(c) for c in ("kind", "start", "end", "match", "left", "right")))
-
-
-def _terms(found: DataFrame, p: Params) -> DataFrame:
-    """rk, doc_id, start, end, term and entity hashes and the context's: words of four letters or more beside entities."""
-    sides = found.filter("kind is not null").select(
-        "rk",
-        "doc_id",
-        F.xxhash64("kind", "match").alias("entity"),
-        F.xxhash64("left").alias("before"),
-        F.xxhash64("right").alias("after"),
-        F.explode(F.array(F.struct((F.col("start") - F.length("left")).alias("at"), F.col("left").alias("words"), F.lit(0).alias("side")), F.struct(F.col("end").alias("at"), F.col("right").alias("words"), F.lit(1).alias("side")))).alias("s"),
-    ).select("rk", "doc_id", "entity", "before", "after", "s.*")
-    parts = F.transform(pieces(F.col("words"), r"\p{L}{4,}+", F.lit(True)), lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), F.when(i % 2 == 1, F.xxhash64(F.lower(x))).alias("term")))
-    key = ["rk", "doc_id", "entity", "before", "after", "at", "side"]
-    so_far = Window.partitionBy(*key).orderBy("i")
-    d = sides.select(*key, F.explode(parts).alias("x")).select(*key, "x.*").withColumn("end", F.col("at") + F.sum("n").over(so_far))
-    # A word cut by the window's edge is no term.
-    edge = ((F.col("side") == 0) & (F.col("end") - F.col("n") == F.col("at"))) | ((F.col("side") == 1) & (F.col("end") - F.col("at") == p.around))
-    return d.filter(F.col("term").isNotNull() & ~edge).select("rk", "doc_id", "entity", "before", "after", "term", (F.col("end") - F.col("n")).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
-
-
-def _document_counts(docs: DataFrame) -> DataFrame:
+    return found.select("rk", "doc_id", *(F.when(~bad, F.col(c)).alias(c) for c in ("kind", "start", "end", "match")))
+
+
+def _held(d: DataFrame) -> DataFrame:
+    """Documents that may hold an entity."""
+    t = F.col("text")
+    some = F.lit(False)
+    for pattern, guard in _patterns(t).values():
+        some = some | (guard & t.rlike(pattern))
+    return d.filter(some)
+
+
+def _words() -> Column:
+    """Hashes of the text's different words of four letters or more; a word that touches an entity, which only e-mails have letters for, is none."""
+    t = F.col("text")
+    bare = F.when(t.contains("@"), F.regexp_replace(F.regexp_replace(t, _patterns(t)["email"][0], MARK), rf"(?<!\p{{L}})\p{{L}}*+(?:{MARK}\p{{L}}*+)+", " ")).otherwise(t)
+    return F.transform(F.filter(F.array_distinct(F.split(F.lower(bare), r"[^\p{L}]+")), lambda w: F.length(w) >= 4), lambda w: F.xxhash64(w))
+
+
+def _document_counts(d: DataFrame) -> DataFrame:
     """term, n_term: documents of the corpus that hold the word."""
-    words = F.array_distinct(F.split(F.lower(text_of(docs)), r"[^\p{L}]+"))
-    return docs.select(F.explode(words).alias("w")).filter(F.length("w") >= 4).groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n_term"))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    return d.select(F.explode(words).alias("w")).filter(F.length("w") >= 4).groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n_term"))
+
 
+def disclosing(d: DataFrame, found: DataFrame, p: Params, root: str) -> DataFrame:
+    """rk, terms: documents that hold an entity, and their words that disclose it.
 
-def disclosing(terms: DataFrame, found: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
-    """term, entity, share, bits of the pairs above the thresholds."""
+    Entities and words that cannot pass the thresholds go first: a share is at
+    most n_entity / n_term, and the bits are at most log2(n_docs / n_entity).
+    """
     total = found.agg(F.count_distinct("rk").alias("n_docs"))
-    of_entity = found.filter("kind is not null").groupBy(F.xxhash64("kind", "match").alias("entity")).agg(F.count_distinct("rk").alias("n_entity"))
-    pairs = terms.groupBy("term", "entity").agg(F.least(F.count_distinct("before"), F.count_distinct("after")).alias("contexts"), F.count_distinct("rk").alias("n_both")).filter(F.col("contexts") >= p.min_contexts)
-    scored = pairs.join(_document_counts(docs), "term").join(of_entity, "entity").crossJoin(F.broadcast(total))  # one row
+    holders = found.filter("kind is not null").select("rk", F.xxhash64("kind", "match").alias("entity")).distinct()
+    of_entity = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).crossJoin(F.broadcast(total))  # one row
+    of_entity = of_entity.filter((F.col("n_entity") >= p.min_contexts) & (F.col("n_entity") * 2**p.min_bits <= F.col("n_docs")))
+    live = written(hot_join(holders, written(of_entity.withColumn("n", F.col("n_entity")), f"{root}/of_entity"), ["entity"], "n"), f"{root}/live")
+    most = live.groupBy("rk").agg(F.max("n_entity").alias("most"))
+    words = written(_held(d).join(most, "rk").select("rk", "most", F.xxhash64("text").alias("copy"), F.explode(_words()).alias("term")), f"{root}/words")
+    counts = written(_document_counts(d).filter(F.col("n_term") >= p.min_contexts).withColumn("n", F.col("n_term")), f"{root}/counts")
+    rare = hot_join(words, counts, ["term"], "n").filter(F.col("n_term") * p.min_share <= F.col("most"))
+    met = written(rare.join(live, "rk").filter(F.col("n_term") * p.min_share <= F.col("n_entity")).select("rk", "copy", "term", "entity", "n_term", "n_entity", "n_docs"), f"{root}/met")
+    pairs = met.groupBy("term", "entity", "n_term", "n_entity", "n_docs").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("copy").alias("contexts"))
     bits = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity")))
     share = F.col("n_both") / F.col("n_term")
-    return scored.filter((share >= p.min_share) & (bits >= p.min_bits)).select("term", "entity", share.alias("share"), bits.alias("bits"))
+    pairs = pairs.filter((F.col("contexts") >= p.min_contexts) & (share >= p.min_share) & (bits >= p.min_bits)).select("term", "entity")
+    return met.join(pairs, ["term", "entity"], "left_semi").groupBy("rk").agg(F.collect_set("term").alias("terms"))
+
+
+def _places(d: DataFrame, marks: DataFrame) -> DataFrame:
+    """rk, doc_id, kind, start, end of each place of the marked terms (rk, terms)."""
+    parts = F.transform(pieces(F.col("text"), r"\p{L}{4,}+", F.lit(True)), lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), ((i % 2 == 1) & F.array_contains("terms", F.xxhash64(F.lower(x)))).alias("hit")))
+    x = _held(d).join(marks, "rk").select("rk", "doc_id", F.explode(parts).alias("x")).select("rk", "doc_id", "x.*")
+    x = x.withColumn("end", F.sum("n").over(Window.partitionBy("rk", "doc_id").orderBy("i")).cast("bigint")).filter("hit")
+    return x.select("rk", "doc_id", F.lit(4).alias("kind"), (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def find_pii(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """One row per row of docs: rk, doc_id, base and spans, sorted arrays of (kind, start, end); kind is the place in KINDS.
 
     A null text is empty and has no spans. Rows of equal or null doc_id stay
-    apart and count as documents of their own, but equal contexts count once.
+    apart and count as documents of their own, but equal texts are one context.
     Other columns are not read. Term spans may not touch an entity.
     """
     root = scratch(docs.sparkSession, "pii")
-    found = written(entities(docs, p), f"{root}/entities")
-    terms = written(_terms(found, p), f"{root}/terms")
-    pairs = disclosing(terms, found, docs, p)
-    near = terms.join(pairs.select("term", "entity"), ["term", "entity"], "left_semi").select("rk", "doc_id", F.lit(4).alias("kind"), "start", "end").distinct()
+    return _find(keyed(docs, root), p, root)
+
+
+def _find(d: DataFrame, p: Params, root: str) -> DataFrame:
+    found = written(entities(d), f"{root}/entities")
+    near = _places(d, written(disclosing(d, found, p, root), f"{root}/marks"))
     every = found.select("rk", "doc_id", "kind", "start", "end").unionByName(near)
     span = F.when(F.col("kind").isNotNull(), F.struct("kind", "start", "end"))
     all_ = F.array_sort(F.collect_list(span)).alias("spans")
-    d = every.groupBy("rk", "doc_id").agg(all_)
+    out = every.groupBy("rk", "doc_id").agg(all_)
     base = F.filter("spans", lambda s: s["kind"] < 4)
     apart = F.filter("spans", lambda s: (s["kind"] < 4) | ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return d.withColumn("base", base).withColumn("spans", apart)
+    return out.withColumn("base", base).withColumn("spans", apart)
 
 
 def sanitise(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """doc_id and text, with entities generalised to their kind and disclosing terms removed.
 
-    Overlapping spans are one, named by the first. Rows are told apart by
-    their place in the input, so docs must be a table or another stable plan.
+    Overlapping spans are one, named by the first.
     """
-    d = docs.select(F.monotonically_increasing_id().alias("rk"), text_of(docs).alias("text"))
+    root = scratch(docs.sparkSession, "pii")
+    d = keyed(docs, root)
     one = F.aggregate(
         F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at")),
@@ -147,7 +163,7 @@ def sanitise(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
             )
         ),
     )
-    j = find_pii(docs, p).join(d, "rk")
+    j = _find(d, p, root).join(d.select("rk", "text"), "rk")
     j = j.withColumn("_a", one)
     return j.select("doc_id", F.concat(F.array_join("_a.out", ""), F.substring(F.col("text"), (F.col("_a.at") + 1).cast("int"), F.length("text"))).alias("text"))
 

@@ -167,6 +167,16 @@ def test_disclosing_term(spark):
     assert "codename" not in clean[0] and "[EMAIL]" in clean[0] and clean[60] == dict(rows)[60]
 
 
+def test_term_far_from_entity(spark):
+    rows = [(i, f"Roedeer {prose(30, i)} {prose(30, i + 500)} eve@corp.example") for i in range(6)]
+    rows += [(20 + i, f"ROEDEER {prose(20, i + 40)}, born 12 {prose(30, i + 60)} roedeer card 4111 1111 1111 1111") for i in range(6)]
+    rows += [(50 + i, prose(40, 50 + i)) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [dict(rows)[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 4] for r in pii.find_pii(d).collect()}
+    assert all(found[i] == ["Roedeer"] and found[20 + i] == ["ROEDEER", "born", "roedeer", "card"] for i in range(6))
+    assert not any(found[50 + i] for i in range(200))
+
+
 def test_random_token(spark):
     rows = [(i, "token = " + hashlib.sha1(str(i).encode()).hexdigest()) for i in range(40)] + [(90, "see " + hashlib.md5(b"q").hexdigest()[:23] + " and internationalization2things"), (91, LONG)]
     spans = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
