@@ -23,8 +23,12 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 
 @dataclass(frozen=True)
 class Params:
-    #: Documents of different texts in which term and entity meet.
+    #: Documents of different texts in which term and entity meet; copies and near copies count once.
     min_contexts: int = 3
+    #: Part of their five-word sequences, as estimated, that near copies have in common.
+    near: float = 0.8
+    #: Least hashes of these sequences kept of a text for the estimate.
+    sketch: int = 64
     #: Share of the term's documents that hold the entity.
     min_share: float = 0.5
     #: Bits of pointwise mutual information.
@@ -86,6 +90,27 @@ def _words() -> Column:
     return F.transform(F.filter(F.array_distinct(F.split(F.lower(bare), r"[^\p{L}]+")), lambda w: F.length(w) >= 4), lambda w: F.xxhash64(w))
 
 
+def _sketch(p: Params) -> Column:
+    """The least hashes of the text's five-word sequences, sorted; fewer words are one sequence."""
+    w = F.split(F.lower(F.trim("text")), r"\s+")
+    grams = F.arrays_zip(*(F.slice(w, i + 1, F.greatest(F.size(w) - 4, F.lit(1))).alias(f"w{i}") for i in range(5)))
+    return F.slice(F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(*(g[f"w{i}"] for i in range(5)))))), 1, p.sketch)
+
+
+def _apart(met: DataFrame, sketches: DataFrame, p: Params) -> DataFrame:
+    """term, entity of the pairs of met (rk, term, entity) with min_contexts documents or more that are no near copies of one another.
+
+    Each round takes a pair's first document, and its near copies with it.
+    """
+    left = met.join(sketches, "rk")
+    for _ in range(p.min_contexts - 1):
+        first = left.groupBy("term", "entity").agg(F.min_by("sketch", "rk").alias("first"))
+        least = F.slice(F.array_sort(F.array_union("sketch", "first")), 1, p.sketch)
+        both = F.size(F.array_intersect(F.array_intersect("sketch", "first"), least))
+        left = left.join(first, ["term", "entity"]).filter(both < p.near * F.size(least)).drop("first")
+    return left.select("term", "entity").distinct()
+
+
 def _document_counts(d: DataFrame) -> DataFrame:
     """term, n_term: documents of the corpus that hold the word."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
@@ -104,14 +129,17 @@ def disclosing(d: DataFrame, found: DataFrame, p: Params, root: str) -> DataFram
     of_entity = of_entity.filter((F.col("n_entity") >= p.min_contexts) & (F.col("n_entity") * 2**p.min_bits <= F.col("n_docs")))
     live = written(hot_join(holders, written(of_entity.withColumn("n", F.col("n_entity")), f"{root}/of_entity"), ["entity"], "n"), f"{root}/live")
     most = live.groupBy("rk").agg(F.max("n_entity").alias("most"))
-    words = written(_held(d).join(most, "rk").select("rk", "most", F.xxhash64("text").alias("copy"), F.explode(_words()).alias("term")), f"{root}/words")
+    texts = written(_held(d).join(most, "rk").select("rk", "most", _words().alias("words"), _sketch(p).alias("sketch")), f"{root}/texts")
+    words = texts.select("rk", "most", F.explode("words").alias("term"))
     counts = written(_document_counts(d).filter(F.col("n_term") >= p.min_contexts).withColumn("n", F.col("n_term")), f"{root}/counts")
     rare = hot_join(words, counts, ["term"], "n").filter(F.col("n_term") * p.min_share <= F.col("most"))
-    met = written(rare.join(live, "rk").filter(F.col("n_term") * p.min_share <= F.col("n_entity")).select("rk", "copy", "term", "entity", "n_term", "n_entity", "n_docs"), f"{root}/met")
-    pairs = met.groupBy("term", "entity", "n_term", "n_entity", "n_docs").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("copy").alias("contexts"))
+    met = written(rare.join(live, "rk").filter(F.col("n_term") * p.min_share <= F.col("n_entity")).select("rk", "term", "entity", "n_term", "n_entity", "n_docs"), f"{root}/met")
+    pairs = met.groupBy("term", "entity", "n_term", "n_entity", "n_docs").agg(F.count(F.lit(1)).alias("n_both"))
     bits = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity")))
     share = F.col("n_both") / F.col("n_term")
-    pairs = pairs.filter((F.col("contexts") >= p.min_contexts) & (share >= p.min_share) & (bits >= p.min_bits)).select("term", "entity")
+    pairs = pairs.filter((F.col("n_both") >= p.min_contexts) & (share >= p.min_share) & (bits >= p.min_bits)).select("term", "entity")
+    met = written(met.join(pairs, ["term", "entity"], "left_semi").select("rk", "term", "entity"), f"{root}/scored")
+    pairs = _apart(met, texts.select("rk", "sketch"), p)
     return met.join(pairs, ["term", "entity"], "left_semi").groupBy("rk").agg(F.collect_set("term").alias("terms"))
 
 
@@ -127,7 +155,7 @@ def find_pii(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """One row per row of docs: rk, doc_id, base and spans, sorted arrays of (kind, start, end); kind is the place in KINDS.
 
     A null text is empty and has no spans. Rows of equal or null doc_id stay
-    apart and count as documents of their own, but equal texts are one context.
+    apart and count as documents of their own, but near copies are one context.
     Other columns are not read. Term spans may not touch an entity.
     """
     root = scratch(docs.sparkSession, "pii")

@@ -177,6 +177,19 @@ def test_term_far_from_entity(spark):
     assert not any(found[50 + i] for i in range(200))
 
 
+def test_contexts_of_terms(spark):
+    rows = [(i, f"{prose(12, i)} codename {prose(12, i + 500)} eve@corp.example") for i in range(4)]  # the text's end
+    rows += [(10 + i, f"Codeword bob@corp.example {prose(30, i + 40)}") for i in range(4)]  # its start
+    rows += [(20 + i, f"{prose(40, i + 60)} codephrase amy@corp.example this is the footer of all of our letters") for i in range(4)]  # a template's
+    copy = prose(150, 99).split()
+    rows += [(30 + i, " ".join([*copy[: 7 * i], f"new{i}", *copy[7 * i + 1 :], "codecopy", "joe@corp.example"])) for i in range(20)]  # near copies only
+    rows += [(50 + i, prose(40, 50 + i)) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [dict(rows)[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 4] for r in pii.find_pii(d).collect()}
+    assert all(found[i] == ["codename"] and found[10 + i] == ["Codeword"] and "codephrase" in found[20 + i] for i in range(4))
+    assert not any(found[30 + i] for i in range(20))
+
+
 def test_random_token(spark):
     rows = [(i, "token = " + hashlib.sha1(str(i).encode()).hexdigest()) for i in range(40)] + [(90, "see " + hashlib.md5(b"q").hexdigest()[:23] + " and internationalization2things"), (91, LONG)]
     spans = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
