@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import vectors as V
+from loomstone.functions.providers import Scorer
 
 
 def fact_pool(queries: DataFrame, facts: DataFrame, k: int = 40) -> DataFrame:
@@ -72,6 +73,36 @@ def pick(candidates: DataFrame, knn: DataFrame, most: int, coverage: float = 1.0
     return rows.groupBy("query_id").applyInPandas(run, "query_id long, item long, step long")
 
 
+def episode_pool(chosen: DataFrame, sources: DataFrame, queries: DataFrame, episodes: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, episode, score: source episodes of the chosen facts, and the top k of all episodes by cosine.
+
+    chosen: query_id, fact; sources: fact, episode; episodes: episode, v. A
+    null vector scores 0 and is in no top k; sources not in episodes are left out.
+    """
+    q = queries.select("query_id", "q")
+    score = V.cosine(F.col("q"), F.col("v"))
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("episode"))
+    near = episodes.filter("v is not null").crossJoin(q).select("query_id", "episode", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    of = chosen.join(sources, "fact").select("query_id", "episode").distinct().join(episodes, "episode").join(q, "query_id")
+    both = of.select("query_id", "episode", F.coalesce(score, F.lit(0.0)).alias("score")).unionByName(near.drop("rank"))
+    return both.groupBy("query_id", "episode").agg(F.max("score").alias("score"))
+
+
+def information_gain(probes: DataFrame, uncertainty: Scorer) -> DataFrame:
+    """query_id, episode, rank, ig of probes (query_id, episode, rank, question, context, text).
+
+    ig is the uncertainty from the context less that from the context with the episode's text.
+    """
+
+    def run(frames):
+        for pdf in frames:
+            before = {x: uncertainty(*x) for x in set(zip(pdf["question"], pdf["context"], strict=True))}
+            pdf["ig"] = [float(before[q, c] - uncertainty(q, f"{c}\n{t}")) for q, c, t in zip(pdf["question"], pdf["context"], pdf["text"], strict=True)]
+            yield pdf[["query_id", "episode", "rank", "ig"]]
+
+    return probes.select("query_id", "episode", "rank", "question", "context", "text").mapInPandas(run, "query_id long, episode long, rank long, ig double")
+
+
 def episode_priority(vec_scores: DataFrame, parents: DataFrame, probe: int = 10) -> DataFrame:
     """query_id, episode, priority, rank: min-max of the score over the pool plus half the best parent fact's norm.
 

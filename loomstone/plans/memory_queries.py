@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import vectors as V
 from loomstone.operators import adaptive_search as A
 from loomstone.functions import providers
+from loomstone.llm.common import scratch, written
 from loomstone.operators import evaluation, hierarchy, segments, themes
 from loomstone.operators import vector_graph as G
 from loomstone.sources.tables import table
@@ -170,18 +171,38 @@ def ig_gate(spark, sf_dir):
     return A.gate(e, most=6)
 
 
-def hier_search(spark, sf_dir):
-    """The top-down search: pooled facts, representative themes, their facts, then episodes by priority and gate."""
+def _named(df, kind, item):
+    """query_id and the items in order of their step, a line each."""
+    steps = F.array_sort(F.collect_list(F.struct("step", F.concat(F.lit(f"{kind} "), F.col(item).cast("string")).alias("line"))))
+    return df.groupBy("query_id").agg(F.array_join(F.transform(steps, lambda x: x["line"]), "\n").alias(kind))
+
+
+def hier_search(spark, sf_dir, uncertainty=providers.constant_uncertainty):
+    """The top-down search: pooled facts, representative themes, their facts, then episodes by priority and gate.
+
+    Episodes are those of the chosen facts and the nearest by vector. The table
+    has no texts, so the scorer of uncertainty is given the items' names.
+    """
     e, q = _vecs(spark, sf_dir), _asked(spark, sf_dir)
-    pool, themes = _themes(spark, sf_dir)
+    root = scratch(spark, "search")
+    # Written, as each is used several times: the plan would double with every use.
+    pool, themes = (written(x, f"{root}/{n}") for x, n in zip(_themes(spark, sf_dir), ("pool", "themes"), strict=True))
     cents = G.centroids(e, "theme").select(F.col("theme").cast("long").alias("id"), F.col("centroid").alias("v"))
-    chosen = A.pick(themes.select("query_id", F.col("theme").cast("long").alias("item"), "score"), G.knn(cents, cents), 5)
+    chosen = written(A.pick(themes.select("query_id", F.col("theme").cast("long").alias("item"), "score"), G.knn(cents, cents), 5), f"{root}/chosen")
     of = e.select(F.col("id").alias("fact"), F.col("theme").cast("long").alias("theme"))
     facts = pool.join(of, "fact").join(chosen.select("query_id", F.col("item").alias("theme")), ["query_id", "theme"], "left_semi").select("query_id", F.col("fact").alias("item"), "score")
     near = G.knn(e, e)
-    best = A.pick(facts, near, 20)
-    probes = _priority(spark, sf_dir).withColumn("ig", F.lit(0.0))
-    episodes = A.gate(probes)
+    best = written(A.pick(facts, near, 20), f"{root}/best")
+    episode = (F.col("id") % 97).cast("bigint").alias("episode")
+    sources = e.select(F.col("id").alias("fact"), episode)
+    vectors = G.centroids(e.select("id", "v", episode), "episode").select("episode", F.col("centroid").alias("v"))
+    taken = best.select("query_id", F.col("item").alias("fact"))
+    parents = taken.join(pool, ["query_id", "fact"]).join(sources, "fact").select("query_id", "episode", "norm")
+    probes = A.episode_priority(A.episode_pool(taken, sources, q, vectors), parents)
+    context = _named(chosen, "theme", "item").join(_named(best, "fact", "item"), "query_id").select("query_id", F.concat_ws("\n", "theme", "fact").alias("context"))
+    question = F.concat(F.lit("query "), F.col("query_id").cast("string"))
+    probes = probes.join(context, "query_id").withColumns({"question": question, "text": F.concat(F.lit("episode "), F.col("episode").cast("string"))})
+    episodes = A.gate(written(A.information_gain(probes, uncertainty), f"{root}/gains"))
     row = lambda d, kind, item, rank: d.select("query_id", F.lit(kind).alias("kind"), F.col(item).cast("long").alias("item"), F.col(rank).cast("long").alias("rank"))
     return row(chosen, "theme", "item", "step").unionByName(row(best, "semantic", "item", "step")).unionByName(row(episodes, "episodic", "episode", "rank"))
 

@@ -142,3 +142,35 @@ def test_providers(spark):
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-5
     e = spark.createDataFrame([("e", "One. Two!  ")], "episode_id string, content string")
     assert [r.content for r in providers.statements(e).collect()] == ["One.", "Two!"]
+
+
+def test_episode_pool(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
+    episodes = spark.createDataFrame([(i, [float(20 - i), float(i)]) for i in range(20)] + [(30, None)], "episode long, v array<double>")
+    sources = spark.createDataFrame([(7, 15), (7, 30), (8, 2), (9, 18), (7, 99)], "fact long, episode long")
+    chosen = spark.createDataFrame([(1, 7), (1, 8)], "query_id long, fact long")
+    got = {r.episode: r.score for r in A.episode_pool(chosen, sources, q, episodes, 3).collect()}
+    assert set(got) == {0, 1, 2, 15, 30} and got[30] == 0.0 and abs(got[0] - 1) < 1e-9
+
+
+def test_hier_search_pool_and_gate(spark):
+    from loomstone.plans import memory_queries
+
+    sf = "/root/testdata/sf0.001"
+    picks = lambda **k: [(r.query_id, r.kind, r["item"], r["rank"]) for r in memory_queries.hier_search(spark, sf, **k).collect()]
+    rows, shut = picks(), picks(uncertainty=lambda question, context: 5.0 + context.count("episode"))
+    e = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    cents = {k: np.mean([v for i, v in e.items() if i % 97 == k], axis=0) for k in {i % 97 for i in e}}
+    for q in {r[0] for r in rows}:
+        facts = [x for i, kind, x, _ in rows if i == q and kind == "semantic"]
+        near = sorted(cents, key=lambda k: (-round(cos(e[q], cents[k]), 9), k))[:10]
+        pool = {x % 97 for x in facts} | set(near)
+        score, all_ = {k: cos(e[q], cents[k]) for k in pool}, [cos(e[q], v) for v in e.values()]
+        lo, hi = min(score.values()), max(score.values())
+        norm = lambda x, q=q, all_=all_: (cos(e[q], e[x]) - min(all_)) / (max(all_) - min(all_))
+        part = {k: (score[k] - lo) / (hi - lo) + 0.5 * max((norm(x) for x in facts if x % 97 == k), default=0) for k in pool}
+        want = sorted(pool, key=lambda k: (-round(part[k], 9), k))[:10]
+        got = [x for _, x in sorted((n, x) for i, kind, x, n in rows if i == q and kind == "episodic")]
+        assert got == want
+        assert [(x, n) for i, kind, x, n in shut if i == q and kind == "episodic"] == [(want[0], 1)]
