@@ -30,7 +30,7 @@ _OTHER = re.compile(r"[\W_]+")
 class Params:
     #: Edits allowed for each character of a normalised item.
     rate: float = 0.08
-    #: Normalised characters of the shortest item that says enough to be looked for.
+    #: Normalised characters of the shortest item that edits are allowed for; shorter ones are looked for exactly, as whole words.
     min_chars: int = 30
     #: Characters of items that are sent to the executors at a time.
     block_chars: int = 8_000_000
@@ -57,8 +57,10 @@ def places(low: str) -> list[int]:
 class Item:
     """A test item with the bit masks of its characters, forwards and backwards."""
 
-    def __init__(self, item_id: int, text: str, budget: int):
+    def __init__(self, item_id: int | None, text: str, budget: int, whole: bool = False):
         self.id, self.text, self.budget = item_id, text, budget
+        #: Short items stand on word bounds.
+        self.whole = whole
         self.forward, self.backward = self._masks(text), self._masks(text[::-1])
 
     @staticmethod
@@ -125,44 +127,49 @@ class Matcher:
         if self.empty or not text:
             return []
         low, flat = normalised(text)
-        tried: dict[int, list[tuple[int, int]]] = {}
-        best: dict[int, tuple[int, int, int]] = {}
+        tried: dict[Item, list[tuple[int, int]]] = {}
+        best: dict[Item, tuple[int, int, int]] = {}
         for last, (n, of) in self.auto.iter(flat):
             for item, at in of:
                 k, m = item.budget, len(item.text)
                 start = last - n + 1 - at
+                if item.whole:
+                    if item not in best and (start == 0 or flat[start - 1] == " ") and (start + m == len(flat) or flat[start + m] == " "):
+                        best[item] = (0, start, start + m)
+                    continue
                 # A window already searched holds whatever this hit could be part of.
-                if any(a <= start - k and start + m + k <= b for a, b in tried.setdefault(item.id, [])):
+                if any(a <= start - k and start + m + k <= b for a, b in tried.setdefault(item, [])):
                     continue
                 lo, hi = max(0, start - 2 * k), start + m + 2 * k
-                tried[item.id].append((start - 2 * k, hi))
-                had = best.get(item.id)
+                tried[item].append((start - 2 * k, hi))
+                had = best.get(item)
                 if had and had[0] == 0:
                     continue
                 window = flat[lo:hi]
                 i = window.find(item.text)
                 if i >= 0:
-                    best[item.id] = (0, lo + i, lo + i + m)
+                    best[item] = (0, lo + i, lo + i + m)
                     continue
                 d, e = myers(item.forward, m, window, k)
                 if e >= 0 and (not had or d < had[0]):
                     _, back = myers(item.backward, m, window[:e][::-1], d, True)
-                    best[item.id] = (d, lo + e - back, lo + e)
+                    best[item] = (d, lo + e - back, lo + e)
         if not best:
             return []
         where = places(low)
-        return [(i, where[s], where[e], d) for i, (d, s, e) in sorted(best.items())]
+        return [(i.id, where[s], where[e], d) for i, (d, s, e) in sorted(best.items(), key=lambda x: (x[0].id is None, x[0].id or 0, x[1]))]
 
 
 def items_of(benchmark: DataFrame, p: Params) -> Iterator[list[Item]]:
-    """The benchmark's items in blocks. Null and short ones match nothing and are left out; equal texts stay items of their own."""
+    """The benchmark's items in blocks. Ones without letters and digits match nothing and are left out; equal texts, and null or equal ids, stay items of their own."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null and item_id is not null").toLocalIterator()
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text")).filter("text is not null").toLocalIterator()
     for item_id, text in rows:
         flat = normalised(text)[1].strip()
-        if len(flat) < p.min_chars:
+        if not flat:
             continue
-        block.append(Item(item_id, flat, int(p.rate * len(flat))))
+        short = len(flat) < p.min_chars
+        block.append(Item(item_id, flat, 0 if short else int(p.rate * len(flat)), short))
         size += len(flat)
         if size >= p.block_chars:
             yield block
@@ -171,7 +178,7 @@ def items_of(benchmark: DataFrame, p: Params) -> Iterator[list[Item]]:
         yield block
 
 
-def _search(items: list[tuple[int, str, int]]):
+def _search(items: list[tuple[int | None, str, int, bool]]):
     def run(batches):
         match = Matcher([Item(*i) for i in items])
         for b in batches:
@@ -185,7 +192,7 @@ def _search(items: list[tuple[int, str, int]]):
 def find_items(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """One row per row of docs and item that is in it: doc_id, item_id, start, end, distance.
 
-    start and end are code points of the text. Null and empty texts hold
+    The place is the best one, the first of equal ones. start and end are code points of the text. Null and empty texts hold
     nothing; rows of equal or null doc_id are searched each on its own; other
     columns are not read. Without items the result is empty.
     """
@@ -194,12 +201,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
     schema = "doc_id long, item_id long, start long, end long, distance long"
     out = None
     for block in items_of(benchmark, p):
-        found = d.mapInArrow(_search([(i.id, i.text, i.budget) for i in block]), schema)
+        found = d.mapInArrow(_search([(i.id, i.text, i.budget, i.whole) for i in block]), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _clean(items: list[tuple[int, str, int]]):
+def _clean(items: list[tuple[int | None, str, int, bool]]):
     def run(batches):
         match = Matcher([Item(*i) for i in items])
         for b in batches:
@@ -212,10 +219,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params())
     """The rows of docs, with all their columns, that hold no item; nothing is shuffled."""
     ship(docs.sparkSession)
     for block in items_of(benchmark, p):
-        docs = docs.mapInArrow(_clean([(i.id, i.text, i.budget) for i in block]), docs.schema)
+        docs = docs.mapInArrow(_clean([(i.id, i.text, i.budget, i.whole) for i in block]), docs.schema)
     return docs
 
 
 def op3_decontamination(spark, sf_dir):
-    """All places of benchmark items in all documents."""
+    """The best place of each benchmark item in each document that holds it."""
     return find_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -274,6 +274,14 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_items(docs, b.filter("false")).count() == 0 and decontamination.find_items(empty, b).count() == 0
 
 
+def test_short_and_unnamed_items(spark):
+    item = prose(30, 78)
+    d = spark.createDataFrame([(1, LONG + " Who was, Ada?"), (2, "who was adam"), (3, f"{LONG} {item}"), (4, LONG)], "doc_id long, text string")
+    b = spark.createDataFrame([(9, "Who was Ada"), (None, item), (None, "was adam"), (7, "?!")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontamination.find_items(d, b).collect()} == {(1, 9, 0), (2, None, 0), (3, None, 0)}
+    assert {r.doc_id for r in decontamination.decontaminated(d, b).collect()} == {4}
+
+
 def test_myers():
     def plain(p, t, anchored):
         last = list(range(len(t) + 1)) if anchored else [0] * (len(t) + 1)
