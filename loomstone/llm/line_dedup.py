@@ -1,19 +1,22 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents come in batches, in doc_id order. A batch's line hashes (with the
-smallest doc_id that holds each) are merged with the runs written by the
-batches before: hashes already there are owned by an earlier document, the
-others (the anti-join) become a new sorted run. Runs of one level are merged into one of
-the next level when `fanout` of them are there. At the end each hash is in
-one run, with the document that owns it; every other document loses its
-lines of that hash.
-
-Runs are tables bucketed and sorted by hash, so the joins with them shuffle
-only the batch. Lines that are not repeated are never shuffled as text.
+The runs are a lasting table in a folder: levels of tables bucketed and
+sorted by hash, listed in a manifest. A batch's line hashes (with the
+smallest doc_id that holds each) are merged with the runs in one pass: a hash
+that a run has is owned by an earlier document, one that none has (the
+anti-join) is new and becomes part of the batch's own run. Before a batch,
+full levels are compacted: `fanout` runs are merged bucket by bucket, without
+a shuffle, into one of the next level. Batches of one call come in doc_id
+order; a later call with the same runs goes on where the last one ended.
+
+Only hashes are shuffled. Texts of documents that lose no line pass straight
+through: a bit filter of fixed size tells them; the others are joined with
+the places of their lines.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -21,9 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import hot_join, keyed, scratch, sha256_hex, written
+from loomstone.llm.storage import Out, open_fs
 
 #: Sorts after every document, for a null doc_id.
 LAST = 2**63 - 1
+#: Before every document.
+FIRST = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -33,6 +39,8 @@ class Params:
     batches: int = 4
     #: Runs of a level that are merged into one of the next.
     fanout: int = 2
+    #: Bits of the filter of documents that lose lines, a multiple of 65,536: 16 MB, broadcast. With many more documents than bits it lets all through to the join.
+    filter_bits: int = 1 << 27
     #: A key with more than this part of all (key, document) pairs is joined by broadcast: at most its inverse are there.
     hot_part: float = 1 / 1000
 
@@ -45,41 +53,83 @@ def line_keys(text: Column) -> Column:
 
 
 class Runs:
-    """The levelled runs: each a table (h1, h2, owner), bucketed and sorted by h1, h2."""
+    """Levelled runs in a folder: each a table (h1, h2, owner), bucketed and sorted by h1, h2.
 
-    def __init__(self, spark, root: str, fanout: int):
-        self.spark, self.root, self.fanout, self.levels = spark, root, fanout, []
-        self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    A folder that has runs already is opened as it is. The batch's own table
+    also says what the merge found, in the column `of`; its run is the rows
+    where that is null.
+    """
+
+    def __init__(self, spark, root: str, fanout: int = 2):
+        self.spark, self.root, self.fanout, self.names = spark, root, fanout, {}
+        fs, path = open_fs(f"{root}/manifest.json")
+        if fs.get_file_info(path).is_file:
+            with fs.open_input_stream(path) as f:
+                told = json.loads(f.read())
+            self.buckets, self.levels = told["buckets"], told["levels"]
+        else:
+            self.buckets, self.levels = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), [[]]
 
     def _write(self, df: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        df.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.root}/{name}").saveAsTable(name)
-        return name
-
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(n) for level in self.levels for n in level]
-
-    def add(self, new: DataFrame) -> None:
-        """A new run at level 0, and merges of full levels into the next."""
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(new))
-        for i in range(len(self.levels)):
-            if len(self.levels[i]) < self.fanout:
-                break
+        """df, whose rows are dealt by h1, h2 into the buckets already, as the table of a new run."""
+        run = uuid.uuid4().hex
+        self.names[run] = f"line_run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.root}/{run}").saveAsTable(self.names[run])
+        return run
+
+    def _table(self, run: str) -> DataFrame:
+        if run not in self.names:
+            name = f"line_run_{uuid.uuid4().hex}"
+            columns = ", ".join(f"{f.name} BIGINT" for f in self.spark.read.parquet(f"{self.root}/{run}").schema)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{run}'")
+            self.names[run] = name
+        return self.spark.table(self.names[run])
+
+    def _new(self, run: str) -> DataFrame:
+        """h1, h2, owner of the hashes that this run was the first to have."""
+        t = self._table(run)
+        return (t.filter("of is null") if "of" in t.columns else t).select("h1", "h2", "owner")
+
+    def _save(self) -> None:
+        out = Out(f"{self.root}/manifest.json")
+        out.write(json.dumps({"buckets": self.buckets, "levels": self.levels}).encode())
+        out.done()
+
+    def compact(self) -> None:
+        """Merges the runs of each full level, bucket by bucket, into one of the next."""
+        for i, level in enumerate(self.levels):
+            if len(level) < self.fanout:
+                continue
+            merged = self._new(level[0])
+            for run in level[1:]:
+                # No hash is in two runs, so a full merge join has each row of both.
+                other = self._new(run).withColumnRenamed("owner", "other").hint("merge")
+                merged = merged.join(other, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("owner", "other").alias("owner"))
             if i + 1 == len(self.levels):
                 self.levels.append([])
-            old, self.levels[i] = self.levels[i], []
-            merged = self.spark.table(old[0])
-            for n in old[1:]:
-                merged = merged.unionByName(self.spark.table(n))
             self.levels[i + 1].append(self._write(merged))
-            for n in old:
-                self.spark.sql(f"DROP TABLE {n}")
+            level.clear()
+        self._save()
+
+    def append(self, batch: DataFrame) -> DataFrame:
+        """Merges a batch (h1, h2 unique, owner, other columns) with the runs and adds its own; the batch with `of`, the owner in an earlier one or null."""
+        self.compact()
+        now = batch.withColumn("of", F.lit(None).cast("long"))
+        for run in [r for level in self.levels for r in level]:
+            now = now.join(self._new(run).withColumnRenamed("owner", "in_run").hint("merge"), ["h1", "h2"], "left").withColumn("of", F.coalesce("of", "in_run")).drop("in_run")
+        # The batch's own shuffle deals it into the buckets, unless a session has other partitions than the one that made the runs.
+        if self.spark.conf.get("spark.sql.shuffle.partitions") != str(self.buckets):
+            now = now.repartition(self.buckets, "h1", "h2")
+        run = self._write(now)
+        self.levels[0].append(run)
+        self._save()
+        return self._table(run)
 
     def close(self) -> None:
-        for n in [n for level in self.levels for n in level]:
-            self.spark.sql(f"DROP TABLE {n}")
+        """Takes the tables out of the session's catalog; the files stay."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = {}
 
 
 def _bounds(d: DataFrame, n: int) -> list[int]:
@@ -88,47 +138,72 @@ def _bounds(d: DataFrame, n: int) -> list[int]:
     return sorted(set(q or []))
 
 
-def line_dedup(docs: DataFrame, p: Params = Params(), keep: list[str] = ()) -> DataFrame:  # noqa: B008
+def _batch(owner: Column, bounds: list[int]) -> Column:
+    out = F.lit(0)
+    for b in bounds:
+        out = out + (owner > b).cast("int")
+    return out
+
+
+def _bits(ids: DataFrame, p: Params) -> DataFrame:
+    """slot, words: a bit for the hash of each rk; filter_bits of them, whatever the number of rows."""
+    d = ids.select(*_bit_of(F.col("rk"), p)).groupBy("slot", "word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("x"))
+    pairs = d.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("of"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.element_at("of", i), F.lit(0).cast("long")))
+    return pairs.select("slot", words.alias("words"))
+
+
+def _bit_of(rk: Column, p: Params) -> list[Column]:
+    h = F.xxhash64(F.lit(3), rk)
+    low = F.shiftrightunsigned(h, 32)
+    return [F.pmod(h, F.lit(p.filter_bits // 65536)).cast("int").alias("slot"), (F.shiftrightunsigned(low, 6) % 1024).cast("int").alias("word"), (low % 64).cast("int").alias("bit")]
+
+
+def _with_gone(d: DataFrame, gone: DataFrame, p: Params) -> DataFrame:
+    """d with the column gone, of the rows of gone (rk, gone) or null."""
+    slot, word, bit = _bit_of(F.col("rk"), p)
+    # filter_bits / 8 bytes at most.
+    tested = d.withColumn("slot", slot).join(F.broadcast(_bits(gone, p)), "slot", "left").drop("slot")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.get("words", word), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    through = tested.filter(~hit).drop("words").withColumn("gone", F.lit(None).cast("array<int>"))
+    others = tested.filter(hit).drop("words").hint("merge").join(gone.withColumnRenamed("rk", "of_rk"), F.col("rk") == F.col("of_rk"), "left").drop("of_rk")
+    return through.unionByName(others)
+
+
+def line_dedup(docs: DataFrame, p: Params = Params(), keep: list[str] = (), runs: Runs | None = None) -> DataFrame:  # noqa: B008
     """One row per row of docs: rk, doc_id, text (the kept lines), n_lines, n_dropped, and the columns of keep.
 
     A null or empty text is one empty line. The owner of a key is the
     smallest doc_id that holds it; a null doc_id comes after all others, and
     rows of one doc_id are one holder, so none of them loses a line to
-    another. A text that loses all its lines is empty. Other columns of docs
-    are not read. Keys are told apart by 128 bits of hash.
+    another. With runs, lines of documents of earlier calls are owned by
+    these, whatever their ids, and the lines of docs are added. A text that
+    loses all its lines is empty. Other columns of docs are not read. Keys are
+    told apart by 128 bits of hash. A very long text is one row with as many
+    keys as lines; only its hashes are shuffled, unless it loses a line.
     """
     spark = docs.sparkSession
     root = scratch(spark, "lines")
+    runs = runs or Runs(spark, f"{root}/runs", p.fanout)
     d = keyed(docs, root, keep).withColumn("owner", F.coalesce("doc_id", F.lit(LAST)))
-    keys = d.select("rk", "owner", F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).filter(F.length("key") >= p.min_chars).select("rk", "owner", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
-    keys = written(keys, f"{root}/keys")
     bounds = _bounds(d, p.batches)
-    batch = F.lit(0)
-    for b in bounds:
-        batch = batch + (F.col("owner") > b).cast("int")
-    # What a batch knows of a key: its first holder, and whether there is another.
-    each = keys.groupBy(batch.alias("batch"), "h1", "h2").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"), F.count(F.lit(1)).alias("n"))
-    each = written(each, f"{root}/batches", ["batch"]) if len(bounds) else written(each, f"{root}/batches")
-    runs = Runs(spark, root, p.fanout)
+    keys = d.select("rk", "owner", _batch(F.col("owner"), bounds).alias("batch"), F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).filter(F.length("key") >= p.min_chars)
+    keys = written(keys.select("rk", "owner", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"), "batch"), f"{root}/keys", ["batch"])
     repeated = None
-    for b in range(len(bounds) + 1):
-        now = each.filter(F.col("batch") == b).select("h1", "h2", "owner", "last", "n")
-        # A merge of the batch with the runs, once: what no run has is new, the rest has its owner there.
-        for run in runs.tables():
-            r = run.select("h1", "h2", F.col("owner").alias("in_run")).hint("merge")
-            now = now.join(r, ["h1", "h2"], "left")
-            now = now.withColumn("of", F.coalesce("of", "in_run") if "of" in now.columns else F.col("in_run")).drop("in_run")
-        now = written(now if "of" in now.columns else now.withColumn("of", F.lit(None).cast("long")), f"{root}/merged/{b}")
-        again = now.filter("of is not null or last > owner").select("h1", "h2", F.coalesce("of", "owner").alias("owner"), "n")
-        repeated = again if repeated is None else repeated.unionByName(again)
-        if b < len(bounds):
-            runs.add(now.filter("of is null").select("h1", "h2", "owner"))
-    runs.close()
-    owners = repeated.groupBy("h1", "h2").agg(F.min("owner").alias("of"), F.sum("n").alias("n"))
-    owners = written(owners, f"{root}/owners")
+    try:
+        for b in range(len(bounds) + 1):
+            # What a batch knows of a key: its first holder, and whether there is another.
+            each = keys.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"), F.count(F.lit(1)).alias("n"))
+            now = runs.append(each).filter("of is not null or last > owner")
+            # All lines of a key with an earlier owner go.
+            again = now.select("h1", "h2", F.when(F.col("of").isNull(), F.col("owner")).otherwise(F.lit(FIRST)).alias("of"), "n", F.lit(b).alias("batch"))
+            repeated = again if repeated is None else repeated.unionByName(again)
+        owners = written(repeated, f"{root}/owners")
+    finally:
+        runs.close()
     drops = _dropped(keys, owners, p)
-    gone = drops.groupBy("rk").agg(F.collect_list("pos").alias("gone"))
-    j = d.join(gone.withColumnRenamed("rk", "of_rk"), F.col("rk") == F.col("of_rk"), "left")
+    gone = written(drops.groupBy("rk").agg(F.collect_list("pos").alias("gone")), f"{root}/gone")
+    j = _with_gone(d, gone, p)
     kept = _without(F.split("text", "\n"), F.col("gone"))
     return j.select(
         "rk",
@@ -154,7 +229,7 @@ def _dropped(keys: DataFrame, owners: DataFrame, p: Params) -> DataFrame:
     Keys with a large part of all repeated lines are joined by broadcast, at
     most 1 / hot_part of them; any other key is small against the whole.
     """
-    return hot_join(keys, owners, ["h1", "h2"], "n", part=p.hot_part).filter("owner > of").select("rk", "pos")
+    return hot_join(keys, owners, ["batch", "h1", "h2"], "n", part=p.hot_part).filter("owner > of").select("rk", "pos")
 
 
 def op4_line_dedup(spark, sf_dir):

@@ -89,6 +89,32 @@ def test_lines(docs, empty):
     for p in (line_dedup.Params(), line_dedup.Params(batches=7, fanout=3), line_dedup.Params(batches=1)):
         assert pairs(line_dedup.line_dedup(docs, p).collect(), "text", "n_lines", "n_dropped") == want
     assert line_dedup.line_dedup(empty).count() == 0
+    got = pairs(line_dedup.line_dedup(docs, line_dedup.Params(filter_bits=65536)).collect(), "text", "n_lines", "n_dropped")
+    assert got == want
+
+
+def test_line_runs_last(spark):
+    """A later call with the same folder, in a session that knows nothing of its tables, goes on where the last one ended."""
+    at = scratch(spark, "t")
+    seen = set()
+    for call in range(5):
+        rows = [(100 - 10 * call + i, "\n".join(["a line of every call", f"line of call {call}", f"a line {i} of five", f"own line {call} {i}"])) for i in range(3)]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(d, line_dedup.Params(batches=2), runs=line_dedup.Runs(spark, at)).collect()}
+        for i, t in rows:
+            want = [x for x in t.split("\n") if x not in seen or len(x) < 10]
+            assert got[i] == (want if want else [""])
+            seen.update(t.split("\n"))
+    assert spark.sql("SHOW TABLES LIKE 'line_run*'").count() == 0
+    levels = line_dedup.Runs(spark, at).levels
+    assert len(levels) > 2 and all(len(x) <= 2 for x in levels)
+
+
+def test_lines_of_long_text(spark):
+    t = "\n".join(f"line number {i % 700_00}" for i in range(140_000))
+    d = spark.createDataFrame([(1, t), (2, "line number 5\nx"), (3, "z" * 3_000_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(d).collect()}
+    assert got == {1: (t, 140_000, 0), 2: ("x", 2, 1), 3: ("z" * 3_000_000, 1, 0)}
 
 
 def test_quality(docs, empty):
