@@ -34,69 +34,49 @@ class Params:
     size: int = 1024
     #: The linear program ends within this part of its bound.
     gap: float = 0.002
-    max_columns: int = 2000
     step: int = 256
     #: Documents of a rank chunk, about.
     chunk: int = 20_000
 
 
-def _best_pattern(value: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """The multiset of lengths up to size of the largest total value: unbounded knapsack. value[w] is of length w."""
+def _knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the largest total value in each room up to size, and a length to take there (0: none). value[w] is of length w."""
     best, take = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     for c in range(1, size + 1):
         got = best[c - 1 :: -1] + value[1 : c + 1]
         w = int(got.argmax())
         best[c], take[c] = (got[w], w + 1) if got[w] > best[c - 1] else (best[c - 1], 0)
-    counts, c = np.zeros(size + 1, np.int64), size
+    return best, take
+
+
+def _pattern(take: np.ndarray, size: int) -> np.ndarray:
+    """How often each length is in the knapsack's best pattern."""
+    counts, c = np.zeros(len(take)), size
     while c > 0:
         if take[c]:
             counts[take[c]] += 1
-            c -= take[c]
+            c -= int(take[c])
         else:
             c -= 1
-    return float(best[size]), counts
-
+    return counts
 
-def _first_basis(lengths: np.ndarray, demand: np.ndarray, size: int) -> np.ndarray:
-    """A square matrix of patterns (columns) that meet the demand: each uses up the demand of a length of its own.
 
-    Each pattern takes the longest length left and fills the rest with
-    lengths left, exactly if that can be, else as far as it can.
-    """
-    left, basis = demand.copy(), np.zeros((len(lengths), len(lengths)))
-    place = {int(w): i for i, w in enumerate(lengths)}
-    for top in range(len(lengths) - 1, -1, -1):
-        while left[top] > 0:
-            room = size - int(lengths[top])
-            there = lengths[left > 0]
-            # reached[c]: the longest length whose use fills c exactly, together with lengths used before.
-            reached = np.zeros(room + 1, np.int64)
-            can = np.zeros(room + 1, bool)
-            can[0] = True
-            if room and (left[place[room]] if room in place else 0) > 0:
-                reached[room], can[room] = room, True
-            else:
-                for c in range(1, room + 1):
-                    w = there[: np.searchsorted(there, c, "right")]
-                    ok = np.flatnonzero(can[c - w])
-                    if len(ok):
-                        reached[c], can[c] = w[ok[-1]], True
-            column, c = np.zeros(len(lengths)), int(np.flatnonzero(can)[-1])
-            column[top] += 1
-            while c:
-                column[place[int(reached[c])]] += 1
-                c -= int(reached[c])
-            used = column > 0
-            ratio = np.where(used, left / np.where(used, column, 1), np.inf)
-            out = int(ratio.argmin())
-            left = np.where(used, np.maximum(left - ratio[out] * column, 0), left)
-            left[out] = 0
-            basis[:, out] = column
-            for also in np.flatnonzero(used & (left <= 1e-9)):
-                left[also] = 0
-                if also != out:
-                    basis[also, also] = size // int(lengths[also])
-    return basis
+def _priced(prices: np.ndarray, lengths: np.ndarray, demand: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """The largest value of a pattern under the prices, and columns: the best pattern, then the best ones of the lengths that those before, used as often as can be, leave a demand of."""
+    left, value, columns, most = demand.copy(), np.full(size + 1, -1.0), [], 0.0
+    while (left > 0).any():
+        value[lengths] = np.where(left > 0, prices, -1.0)
+        best, take = _knapsack(value, size)
+        column = _pattern(take, size)[lengths]
+        if not column.any():
+            break
+        most = most or float(best[size])
+        columns.append(column)
+        used = column > 0
+        times = (left[used] / column[used]).min()
+        left[used] -= times * column[used]
+        left[left < 1e-9] = 0
+    return most, np.array(columns).T if columns else np.zeros((len(lengths), 0))
 
 
 def _inverse(a: np.ndarray) -> np.ndarray:
@@ -116,27 +96,59 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def cutting_stock(demand: dict[int, int], size: int, gap: float = 0.002, max_columns: int = 2000) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often the linear program uses each: few sequences with all demand met exactly."""
+@dataclass(frozen=True)
+class Solution:
+    #: Patterns (length -> times) and how often the linear program uses each.
+    patterns: list[tuple[dict[int, int], float]]
+    #: The program's value, and a bound that no solution is below.
+    value: float = 0.0
+    bound: float = 0.0
+    #: Knapsacks solved, and columns that came into the basis.
+    priced: int = 0
+    pivots: int = 0
+
+
+def cutting_stock(demand: dict[int, int], size: int, gap: float = 0.002) -> Solution:
+    """The linear program of few sequences with all demand met exactly, by column generation.
+
+    It starts from patterns of one length each. The knapsack on the duals
+    gives new columns, which enter by the revised simplex method; then prices
+    change and the knapsack is solved anew. Duals swing widely from round to
+    round, so they are smoothed towards the ones of the best bound so far, at
+    first each length's part of a sequence. It ends where the value is within
+    the gap of a bound: Farley's, the duals' value divided by that of the best
+    pattern under them.
+    """
     lengths = np.array(sorted(w for w, n in demand.items() if n > 0), np.int64)
     if not len(lengths):
-        return []
+        return Solution([])
     d = np.array([demand[int(w)] for w in lengths], float)
-    columns = _first_basis(lengths, d, size)
-    inverse = _inverse(columns)
-    x = np.maximum((inverse * d).sum(axis=1), 0)
-    least = float((lengths * d).sum()) / size
-    value = np.full(size + 1, -1.0)
-    for _ in range(max_columns):
-        if x.sum() <= least * (1 + gap):
-            break
+    # Demands moved a little, each otherwise: no two rows tie, so the simplex method can't go in circles.
+    moved = d + 1e-6 * np.random.default_rng(1).random(len(d))
+    columns = np.diag((size // lengths).astype(float))
+    inverse = np.diag(1 / (size // lengths))
+    x = inverse.diagonal() * moved
+    centre = lengths / size
+    bound, pool, priced, pivots = float((centre * d).sum()), np.zeros((len(lengths), 0)), 0, 0
+    while x.sum() > bound * (1 + gap):
         duals = inverse.sum(axis=0)  # all columns cost 1
-        value[lengths] = duals
-        top, counts = _best_pattern(value, size)
-        if top <= 1 + gap:  # the bound of Farley: x.sum() / top
-            break
-        column = counts[lengths].astype(float)
-        u = (inverse * column).sum(axis=1)
+        gain = np.einsum("i,ij->j", duals, pool) if pool.size else np.zeros(1)
+        best = int(gain.argmax())
+        if gain[best] <= 1 + 1e-9:
+            for smooth in (0.9, 0.6, 0.0):
+                prices = smooth * centre + (1 - smooth) * duals
+                top, pool = _priced(prices, lengths, d, size)
+                priced += 1
+                if (found := float((prices * d).sum()) / top) > bound:
+                    bound, centre = found, prices / top
+                pool = pool[:, np.einsum("i,ij->j", duals, pool) > 1 + 1e-9]
+                if pool.size:
+                    break
+            else:
+                break
+            continue
+        column = pool[:, best]
+        u = np.einsum("ij,j->i", inverse, column)
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
@@ -146,7 +158,13 @@ def cutting_stock(demand: dict[int, int], size: int, gap: float = 0.002, max_col
         inverse -= np.outer(u, row)
         inverse[out] = row
         columns[:, out] = column
-    return [({int(w): int(n) for w, n in zip(lengths, columns[:, k], strict=True) if n}, float(x[k])) for k in range(len(x)) if x[k] > 1e-9]
+        pivots += 1
+        if pivots % 500 == 0:  # rounding errors grow with the steps
+            inverse = _inverse(columns)
+            x = np.maximum(np.einsum("ij,j->i", inverse, moved), 0)
+    x = np.maximum(np.einsum("ij,j->i", inverse, d), 0)
+    used = [({int(w): int(n) for w, n in zip(lengths, columns[:, k], strict=True) if n}, float(x[k])) for k in range(len(x)) if x[k] > 1e-9]
+    return Solution(used, float(x.sum()), bound, priced, pivots)
 
 
 def slots(patterns: list[tuple[dict[int, int], float]], demand: dict[int, int]) -> tuple[dict[str, np.ndarray], int]:
@@ -157,7 +175,7 @@ def slots(patterns: list[tuple[dict[int, int], float]], demand: dict[int, int])
     """
     left, seq, rows = dict(demand), 0, []
     for pattern, times in sorted(patterns, key=lambda p: -p[1]):
-        times = min([int(times + 1e-6), *(left[w] // n for w, n in pattern.items())])
+        times = min([int(times + 1e-4), *(left[w] // n for w, n in pattern.items())])
         if times <= 0:
             continue
         at = 0
@@ -288,7 +306,7 @@ def pack(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     items = d.select("rk", "doc_id", "doc_tokens", "whole", "rest_ids", F.explode("items").alias("i")).select("rk", "doc_id", "doc_tokens", "i.at", "i.n", "i.crc", (F.col("whole") + F.col("i.at")).alias("start"), "rest_ids")
     demand = {r["n"]: r["count"] for r in items.groupBy("n").count().collect()}  # at most `size` rows
     chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(demand.values()) // p.chunk))
-    table, filled = slots(cutting_stock(demand, p.size, p.gap, p.max_columns), demand)
+    table, filled = slots(cutting_stock(demand, p.size, p.gap).patterns, demand)
     light = items.select("rk", "at", "doc_id", "doc_tokens", "n", "crc", "start", F.lit(1).alias("one"))
     ranked = running(light, ["n"], "one", "rank", chunks, ["rk", "at"]).drop("one")
     used = spark.createDataFrame([(int(w), int(n)) for w, n in zip(table["of"], table["used"], strict=True)], "n long, used long")
