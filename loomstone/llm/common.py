@@ -16,9 +16,11 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is made only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a local one is made only where that is unset and the master is this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomstone-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -94,3 +96,25 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: st
     of_hot = left.join(F.broadcast(few), keys)
     others = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how)
     return of_hot.unionByName(others)
+
+
+def _bit_of(x: Column, bits: int) -> tuple[Column, Column, Column]:
+    h = F.xxhash64(F.lit(3), x)
+    low = F.shiftrightunsigned(h, 32)
+    return F.pmod(h, F.lit(bits // 65536)).cast("int"), (F.shiftrightunsigned(low, 6) % 1024).cast("int"), (low % 64).cast("int")
+
+
+def bit_filter(rows: DataFrame, x: Column, bits: int) -> DataFrame:
+    """_slot, _words: a bit for the hash of each x. A multiple of 65,536 bits, bits / 8 bytes, whatever the number of rows, so it may be broadcast."""
+    slot, word, bit = _bit_of(x, bits)
+    d = rows.select(slot.alias("_slot"), word.alias("_word"), bit.alias("_bit")).groupBy("_slot", "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_x"))
+    of = d.groupBy("_slot").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_x"))).alias("_of"))
+    return of.select("_slot", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.element_at("_of", i), F.lit(0).cast("long"))).alias("_words"))
+
+
+def maybe_in(rows: DataFrame, x: Column, filter_: DataFrame, bits: int, name: str) -> DataFrame:
+    """rows with a column of that name: true where x is in the bit filter's rows, and for some others; no row moves."""
+    slot, word, bit = _bit_of(x, bits)
+    d = rows.withColumn("_slot", slot).join(F.broadcast(filter_), "_slot", "left")
+    hit = F.call_function("shiftrightunsigned", F.get("_words", word), bit).bitwiseAND(F.lit(1)) == 1
+    return d.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_slot", "_words")

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import hot_join, keyed, scratch, sha256_hex, written
+from loomstone.llm.common import bit_filter, hot_join, keyed, maybe_in, scratch, sha256_hex, written
 from loomstone.llm.storage import Out, open_fs
 
 #: Sorts after every document, for a null doc_id.
@@ -145,28 +145,11 @@ def _batch(owner: Column, bounds: list[int]) -> Column:
     return out
 
 
-def _bits(ids: DataFrame, p: Params) -> DataFrame:
-    """slot, words: a bit for the hash of each rk; filter_bits of them, whatever the number of rows."""
-    d = ids.select(*_bit_of(F.col("rk"), p)).groupBy("slot", "word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("x"))
-    pairs = d.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("word", "x"))).alias("of"))
-    words = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.element_at("of", i), F.lit(0).cast("long")))
-    return pairs.select("slot", words.alias("words"))
-
-
-def _bit_of(rk: Column, p: Params) -> list[Column]:
-    h = F.xxhash64(F.lit(3), rk)
-    low = F.shiftrightunsigned(h, 32)
-    return [F.pmod(h, F.lit(p.filter_bits // 65536)).cast("int").alias("slot"), (F.shiftrightunsigned(low, 6) % 1024).cast("int").alias("word"), (low % 64).cast("int").alias("bit")]
-
-
 def _with_gone(d: DataFrame, gone: DataFrame, p: Params) -> DataFrame:
     """d with the column gone, of the rows of gone (rk, gone) or null."""
-    slot, word, bit = _bit_of(F.col("rk"), p)
-    # filter_bits / 8 bytes at most.
-    tested = d.withColumn("slot", slot).join(F.broadcast(_bits(gone, p)), "slot", "left").drop("slot")
-    hit = F.coalesce(F.call_function("shiftrightunsigned", F.get("words", word), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    through = tested.filter(~hit).drop("words").withColumn("gone", F.lit(None).cast("array<int>"))
-    others = tested.filter(hit).drop("words").hint("merge").join(gone.withColumnRenamed("rk", "of_rk"), F.col("rk") == F.col("of_rk"), "left").drop("of_rk")
+    tested = maybe_in(d, F.col("rk"), bit_filter(gone, F.col("rk"), p.filter_bits), p.filter_bits, "hit")
+    through = tested.filter(~F.col("hit")).drop("hit").withColumn("gone", F.lit(None).cast("array<int>"))
+    others = tested.filter("hit").drop("hit").hint("merge").join(gone.withColumnRenamed("rk", "of_rk"), F.col("rk") == F.col("of_rk"), "left").drop("of_rk")
     return through.unionByName(others)
 
 

@@ -3,7 +3,9 @@
 Entities are found by patterns. Terms are the words of the documents that hold
 an entity; over the whole corpus the co-occurrence of term and entity estimates
 how strongly the term reveals it: the share of the term's documents that hold
-the entity, and the pointwise mutual information of the two. Terms above both
+the entity, and the pointwise mutual information of the two. Most values are
+in one document only, so the estimate backs off to the kind: a term may also
+reveal that some e-mail, address, card or phone number is there. Terms above both
 thresholds, seen in enough different contexts, are sanitised wherever they
 stand in the documents of the entity.
 """
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import hot_join, keyed, scratch, sha256_hex, written
+from loomstone.llm.common import bit_filter, hot_join, keyed, maybe_in, scratch, sha256_hex, written
 from loomstone.llm.spans import MARK, matches, pieces, spelled
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -25,6 +27,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 class Params:
     #: Documents of different texts in which term and entity meet; copies and near copies count once.
     min_contexts: int = 3
+    #: The same for a term and a kind of entity: chance brings rare words and a frequent kind together more often.
+    kind_contexts: int = 5
     #: Part of their five-word sequences, as estimated, that near copies have in common.
     near: float = 0.8
     #: Least hashes of these sequences kept of a text for the estimate.
@@ -33,6 +37,8 @@ class Params:
     min_share: float = 0.5
     #: Bits of pointwise mutual information.
     min_bits: float = 3.0
+    #: Bits of the filter of words whose documents are counted, 8 MB: fixed, whatever the corpus.
+    filter_bits: int = 1 << 26
 
 
 def _patterns(t: Column) -> dict[str, tuple[str, Column]]:
@@ -97,50 +103,59 @@ def _sketch(p: Params) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(*(g[f"w{i}"] for i in range(5)))))), 1, p.sketch)
 
 
-def _apart(met: DataFrame, sketches: DataFrame, p: Params) -> DataFrame:
-    """term, entity of the pairs of met (rk, term, entity) with min_contexts documents or more that are no near copies of one another.
+def _apart(met: DataFrame, sketches: DataFrame, p: Params, root: str) -> DataFrame:
+    """term, entity, n of the pairs of met (rk, term, entity, need) with `need` documents or more that are no near copies of one another.
 
-    Each round takes a pair's first document, and its near copies with it.
+    Each round takes a pair's first document, and its near copies with it. A
+    pair may be in any number of documents, so its first one comes back by a
+    join without a hot task.
     """
-    left = met.join(sketches, "rk")
-    for _ in range(p.min_contexts - 1):
-        first = left.groupBy("term", "entity").agg(F.min_by("sketch", "rk").alias("first"))
+    left, pair = met.join(sketches, "rk"), ["term", "entity"]
+    for i in range(1, max(p.min_contexts, p.kind_contexts)):
+        first = written(left.filter(F.col("need") > i).groupBy(*pair).agg(F.min_by("sketch", "rk").alias("first"), F.count(F.lit(1)).alias("n")), f"{root}/first-{i}")
         least = F.slice(F.array_sort(F.array_union("sketch", "first")), 1, p.sketch)
         both = F.size(F.array_intersect(F.array_intersect("sketch", "first"), least))
-        left = left.join(first, ["term", "entity"]).filter(both < p.near * F.size(least)).drop("first")
-    return left.select("term", "entity").distinct()
+        others = hot_join(left.filter(F.col("need") > i), first, pair, "n").filter(both < p.near * F.size(least)).drop("first")
+        left = left.filter(F.col("need") <= i).unionByName(others)
+        if i % 2 == 0:
+            left = written(left, f"{root}/left-{i}")
+    return left.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _document_counts(d: DataFrame) -> DataFrame:
-    """term, n_term: documents of the corpus that hold the word."""
+def _document_counts(d: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
+    """term, n_term: documents of the corpus that hold the word, of the wanted terms and few others; the rest of the corpus's words are not shuffled."""
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    return d.select(F.explode(words).alias("w")).filter(F.length("w") >= 4).groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("n_term"))
+    each = d.select(F.explode(words).alias("w")).filter(F.length("w") >= 4).select(F.xxhash64("w").alias("term"))
+    return maybe_in(each, F.col("term"), bit_filter(wanted, F.col("term"), p.filter_bits), p.filter_bits, "some").filter("some").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
 def disclosing(d: DataFrame, found: DataFrame, p: Params, root: str) -> DataFrame:
-    """rk, terms: documents that hold an entity, and their words that disclose it.
+    """rk, terms: documents that hold an entity, and their words that disclose it or its kind.
 
     Entities and words that cannot pass the thresholds go first: a share is at
     most n_entity / n_term, and the bits are at most log2(n_docs / n_entity).
     """
     total = found.agg(F.count_distinct("rk").alias("n_docs"))
-    holders = found.filter("kind is not null").select("rk", F.xxhash64("kind", "match").alias("entity")).distinct()
-    of_entity = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).crossJoin(F.broadcast(total))  # one row
-    of_entity = of_entity.filter((F.col("n_entity") >= p.min_contexts) & (F.col("n_entity") * 2**p.min_bits <= F.col("n_docs")))
-    live = written(hot_join(holders, written(of_entity.withColumn("n", F.col("n_entity")), f"{root}/of_entity"), ["entity"], "n"), f"{root}/live")
+    value = F.struct(F.xxhash64("kind", "match").alias("entity"), F.lit(p.min_contexts).alias("need"))
+    kind = F.struct(F.xxhash64(F.lit("kind"), "kind").alias("entity"), F.lit(p.kind_contexts).alias("need"))
+    holders = found.filter("kind is not null").select("rk", F.explode(F.array(value, kind)).alias("e")).select("rk", "e.*").distinct()
+    of_entity = holders.groupBy("entity", "need").agg(F.count(F.lit(1)).alias("n_entity")).crossJoin(F.broadcast(total))  # one row
+    of_entity = of_entity.filter((F.col("n_entity") >= F.col("need")) & (F.col("n_entity") * 2**p.min_bits <= F.col("n_docs")))
+    live = written(hot_join(holders.drop("need"), written(of_entity.withColumn("n", F.col("n_entity")), f"{root}/of_entity"), ["entity"], "n"), f"{root}/live")
     most = live.groupBy("rk").agg(F.max("n_entity").alias("most"))
     texts = written(_held(d).join(most, "rk").select("rk", "most", _words().alias("words"), _sketch(p).alias("sketch")), f"{root}/texts")
     words = texts.select("rk", "most", F.explode("words").alias("term"))
-    counts = written(_document_counts(d).filter(F.col("n_term") >= p.min_contexts).withColumn("n", F.col("n_term")), f"{root}/counts")
+    wanted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(p.min_contexts, p.kind_contexts))
+    counts = written(_document_counts(d, wanted, p).join(wanted, "term").select("term", "n_term", "n"), f"{root}/counts")
     rare = hot_join(words, counts, ["term"], "n").filter(F.col("n_term") * p.min_share <= F.col("most"))
-    met = written(rare.join(live, "rk").filter(F.col("n_term") * p.min_share <= F.col("n_entity")).select("rk", "term", "entity", "n_term", "n_entity", "n_docs"), f"{root}/met")
-    pairs = met.groupBy("term", "entity", "n_term", "n_entity", "n_docs").agg(F.count(F.lit(1)).alias("n_both"))
-    bits = F.log2(F.col("n_both") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity")))
-    share = F.col("n_both") / F.col("n_term")
-    pairs = pairs.filter((F.col("n_both") >= p.min_contexts) & (share >= p.min_share) & (bits >= p.min_bits)).select("term", "entity")
-    met = written(met.join(pairs, ["term", "entity"], "left_semi").select("rk", "term", "entity"), f"{root}/scored")
-    pairs = _apart(met, texts.select("rk", "sketch"), p)
-    return met.join(pairs, ["term", "entity"], "left_semi").groupBy("rk").agg(F.collect_set("term").alias("terms"))
+    met = written(rare.join(live, "rk").filter(F.col("n_term") * p.min_share <= F.col("n_entity")).select("rk", "term", "entity", "need", "n_term", "n_entity", "n_docs"), f"{root}/met")
+    pairs = met.groupBy("term", "entity", "need", "n_term", "n_entity", "n_docs").agg(F.count(F.lit(1)).alias("n"))
+    bits = F.log2(F.col("n") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity")))
+    share = F.col("n") / F.col("n_term")
+    pairs = written(pairs.filter((F.col("n") >= F.col("need")) & (share >= p.min_share) & (bits >= p.min_bits)).select("term", "entity", "n"), f"{root}/pairs")
+    met = written(hot_join(met.select("rk", "term", "entity", "need"), pairs, ["term", "entity"], "n"), f"{root}/scored")
+    pairs = written(_apart(met, texts.select("rk", "sketch"), p, root), f"{root}/apart")
+    return hot_join(met.select("rk", "term", "entity"), pairs, ["term", "entity"], "n").groupBy("rk").agg(F.collect_set("term").alias("terms"))
 
 
 def _places(d: DataFrame, marks: DataFrame) -> DataFrame:

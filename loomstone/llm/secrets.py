@@ -1,9 +1,11 @@
 """Secret scan: patterns, and two character Markov models.
 
 One model is of random strings, one of ordinary identifiers. Both are
-bigram counts over the ASCII characters of a token's alphabet. The labelled
-samples are made from the whole corpus: values found by the patterns are
-random, words of letters are ordinary. A long token is a secret where the
+bigram counts over the ASCII characters of a token's alphabet, trained from
+labelled samples: a table of (value, random), which a caller may give. By
+default random ones are a documented number of digests in four spellings, and
+the corpus's access keys, hex runs, and assigned values that mix digits with
+letters; ordinary ones are all words of letters in the corpus. A long token is a secret where the
 log-likelihood ratio of the models, per character, is above a threshold over
 the whole token, or else in those stretches of it where it is.
 """
@@ -33,6 +35,8 @@ class Params:
     min_ratio: float = 0.5
     #: Words of letters from this length are samples of ordinary identifiers, unless so many letters in a row are to be judged themselves.
     min_word: int = 6
+    #: Digests that are samples of random strings, each in four spellings.
+    digests: int = 2048
 
 
 def _patterns(t: Column, p: Params) -> dict[str, tuple[str, Column]]:
@@ -56,30 +60,38 @@ def candidates(docs: DataFrame, p: Params) -> DataFrame:
     return found.select("rk", "doc_id", *(F.when(~bad, c).alias(n) for n, c in (("kind", kind), ("start", F.col("start")), ("end", F.col("end")), ("value", value))))
 
 
-def _bigrams(values: DataFrame, n: Column) -> DataFrame:
-    """gram, n: two-character strings of the column value, counted n times each."""
-    chars = F.split("value", "")
-    return values.select(n.alias("n"), F.explode(F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))).alias("gram")).filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+def corpus_samples(found: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+    """value, random: the labelled samples that come without any from outside, each once.
+
+    The digests are of the numbers from 0. An assigned value of letters or of
+    digits alone is no sample: it may be a word, a name or a date.
+    """
+    spark = docs.sparkSession
+    bits = F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256)))
+    plain = F.regexp_replace(bits, "[+/=]", "")
+    made = spark.range(p.digests).select(F.explode(F.array(plain, F.lower(plain), F.upper(plain), F.md5(F.col("id").cast("string")))).alias("value"))
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    secret = found.filter((F.col("kind").isin(1, 2)) | ((F.col("kind") == 0) & mixed)).select("value")
+    words = docs.select(F.explode(F.array_distinct(F.split(text_of(docs), "[^A-Za-z_]+"))).alias("value")).filter((F.length("value") >= p.min_word) & ~F.col("value").rlike(f"[A-Za-z]{{{p.min_length}}}")).groupBy("value").agg(F.lit(1).alias("one")).select("value")
+    # Letters within a base match are no ordinary word.
+    within = found.filter("kind < 3").select(F.explode(F.split("value", "[^A-Za-z_]+")).alias("value")).distinct()
+    return made.unionByName(secret).distinct().withColumn("random", F.lit(True)).unionByName(words.join(within, "value", "left_anti").withColumn("random", F.lit(False)))
 
 
-def models(found: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def models(samples: DataFrame, root: str) -> DataFrame:
     """gram, ratio: log P(second | first) under the random model less that under the ordinary one.
 
     At most a row for each pair of the 66 characters of tokens, whatever the
-    corpus, so the table may be broadcast. Counts start at one half. Ordinary
+    samples, so the table may be broadcast. Counts start at one half. Ordinary
     words have no + / = -, so pairs with one of these tell nothing: ratio 0.
     """
-    secret = _bigrams(found.filter("kind < 3").groupBy("value").agg(F.lit(1).alias("one")), F.lit(1))
-    words = docs.select(F.explode(F.array_distinct(F.split(text_of(docs), "[^A-Za-z_]+"))).alias("value")).filter((F.length("value") >= p.min_word) & ~F.col("value").rlike(f"[A-Za-z]{{{p.min_length}}}")).groupBy("value").agg(F.lit(1).alias("one"))
-    # Letters within a random sample are no ordinary word.
-    within = found.filter("kind < 3").select(F.explode(F.split("value", "[^A-Za-z_]+")).alias("value")).distinct()
-    plain = _bigrams(words.join(within, "value", "left_anti"), F.lit(1))
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-    a = F.split(F.lit(alphabet), "")
-    spark = docs.sparkSession
-    grid = spark.range(1).select(F.explode(F.flatten(F.transform(a, lambda x: F.transform(a, lambda y: F.concat(x, y))))).alias("gram"))
-    counts = secret.select("gram", F.col("n").alias("s"), F.lit(0).alias("o")).unionByName(plain.select("gram", F.lit(0).alias("s"), F.col("n").alias("o"))).unionByName(grid.select("gram", F.lit(0).alias("s"), F.lit(0).alias("o")))
-    counts = counts.groupBy("gram").agg((F.sum("s") + 0.5).alias("s"), (F.sum("o") + 0.5).alias("o")).filter(F.col("gram").rlike(f"^{_TOKEN}{{2}}$"))
+    spark = samples.sparkSession
+    a = F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), "")
+    grid = spark.range(1).select(F.explode(F.flatten(F.transform(a, lambda x: F.transform(a, lambda y: F.concat(x, y))))).alias("gram"), F.lit(0).alias("s"), F.lit(0).alias("o"))
+    chars = F.split("value", "")
+    grams = samples.select("random", F.explode(F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda x, y: F.concat(x, y))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count_if("random").alias("s"), F.count_if(~F.col("random")).alias("o")).unionByName(grid)
+    counts = written(counts.groupBy("gram").agg((F.sum("s") + 0.5).alias("s"), (F.sum("o") + 0.5).alias("o")).filter(F.col("gram").rlike(f"^{_TOKEN}{{2}}$")), f"{root}/bigrams")
     first = counts.groupBy(F.substring("gram", 1, 1).alias("first")).agg(F.sum("s").alias("ss"), F.sum("o").alias("oo"))
     ratio = F.when(F.col("gram").rlike("[+/=-]"), 0.0).otherwise(F.log(F.col("s") / F.col("ss")) - F.log(F.col("o") / F.col("oo")))
     return counts.join(F.broadcast(first), F.substring("gram", 1, 1) == F.col("first")).select("gram", ratio.alias("ratio"))
@@ -107,18 +119,19 @@ def _stretches(tokens: DataFrame, ratios: DataFrame, p: Params) -> DataFrame:
     return t.select("token", F.when(F.col("mean") >= p.min_ratio, whole).otherwise(F.col("at")).alias("at")).filter(F.size("at") > 0)
 
 
-def find_secrets(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
+def find_secrets(docs: DataFrame, p: Params = Params(), samples: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """One row per row of docs: rk, doc_id, base and spans, sorted arrays of (start, kind, end); kind is the place in KINDS.
 
     A null text is empty and has no spans; rows of equal or null doc_id stay
     apart; other columns are not read. Spans of kind random do not touch base
-    ones. Without any base match the random model is uniform.
+    ones. samples (value string, random boolean) are what the models are
+    trained from; those of the corpus where it is not given.
     """
     root = scratch(docs.sparkSession, "secrets")
     found = written(candidates(docs, p), f"{root}/candidates")
     # A digest names a token: its value may be long and would be in the row of each of its pairs.
     runs = found.filter("kind = 3").withColumn("token", F.md5("value"))
-    judged = _stretches(runs.groupBy("token").agg(F.first("value").alias("value")), models(found, docs, p), p)
+    judged = _stretches(runs.groupBy("token").agg(F.first("value").alias("value")), models(corpus_samples(found, docs, p) if samples is None else samples, root), p)
     random = runs.select("rk", "doc_id", "kind", "start", "token").join(judged, "token").select("rk", "doc_id", "kind", "start", F.explode("at").alias("at"))
     random = random.select("rk", "doc_id", "kind", (F.col("start") + F.col("at.from")).alias("start"), (F.col("start") + F.col("at.to")).alias("end"), F.lit(None).cast("string").alias("value"))
     every = found.filter("kind is null or kind < 3").unionByName(random)

@@ -9,20 +9,24 @@ one, with a weight. What is left of a group's contexts, cut to what a
 neighbour in sorted order can share, goes into one suffix array, made by
 linear grouping; windows that are there twice, by weight, are repeated.
 
-Anchors are shuffled once, into a table bucketed by hash. Groups of very
-many different contexts are not one task's: their windows are counted by
-hash instead, which is exact as well.
+A group may hold any number of different contexts, a passage of every
+document, say. One that is too large for a task is split by the bytes beside
+its gram: the windows of a context fall into classes by where the gram stands
+in them, those of a class have all but few bytes in common, and the hash of
+these names the smaller group. The same steps follow for it, in the last
+round with one place a class. A window is in one group still, so nothing is
+lost. A hash with a large part of all rows is counted by partial sums and
+joined back without a hot task.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import hot_join, keyed, scratch, written
@@ -35,8 +39,13 @@ class Params:
     width: int = 200
     #: Bytes of a gram.
     gram: int = 48
-    #: Contexts of a group that one suffix array may hold.
-    most: int = 20_000
+    #: Different contexts of a group that goes into one suffix array; a larger group is split into smaller ones first.
+    most: int = 5_000
+    #: Places of the gram in a class of windows, by round of splitting; the last must be 1.
+    classes: tuple[int, ...] = (20, 1)
+    #: A hash with more than this part of all rows is counted by partial sums: at most the inverse of it are there.
+    hot_part: float = 1 / 1000
+    hot_rows: int = 10_000
 
 
 #: Bytes that are searched for anchors at a time, besides the overlap.
@@ -103,12 +112,43 @@ def _find(p: Params):
                 new = np.concatenate([[True], (rk[1:] != rk[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
                 at = np.flatnonzero(new)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([at, [len(rk)]]).astype(np.int32)), pa.array(first, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(rk[at]), lists, pa.array(more[at].astype(np.int32)), pa.array(h[at]), pa.array(c[at])], names=["rk", "firsts", "more", "h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(rk[at]), lists, pa.array(more[at].astype(np.int32)), pa.array(h[at]), pa.array(c[at]), pa.array(np.ones(len(at), np.int64))], names=["rk", "firsts", "more", "h", "c", "each"])
 
     return run
 
 
-_PLACED = "rk long, firsts array<long>, more int, h long, c long"
+#: Windows that start at one of firsts or up to `more` places after; each of these places stands for `each` ones.
+_PLACED = "rk long, firsts array<long>, more int, h long, c long, each long"
+
+
+def _split(p: Params, k: int):
+    """Contexts of large groups as rows of smaller ones: the windows of a class have the gram in one of k places."""
+
+    def digest(*parts: bytes) -> int:
+        out = hashlib.blake2b(digest_size=8)
+        for x in parts:
+            out.update(x)
+        return int.from_bytes(out.digest(), "little", signed=True)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for h, rk, first, n, s in zip(*(b.column(c).to_pylist() for c in ("h", "rk", "first", "n", "context")), strict=True):
+                gram = _gram_place(s, p)
+                least = gram - (len(s) - p.width)
+                for low in range(least // k * k, gram + 1, k):
+                    # From the windows' last start to their first end: all of them have these bytes.
+                    common = s[max(0, gram - low) : gram - (low + k - 1) + p.width]
+                    # The gram's places in the class's windows that are here.
+                    a, z = max(low, least), min(low + k - 1, gram)
+                    part = s[gram - z : gram - a + p.width]
+                    rows.append((rk, [first + gram - z], z - a, digest(h.to_bytes(8, "little", signed=True), low.to_bytes(2, "little"), common), digest(z.to_bytes(2, "little"), part), n))
+            for at in range(0, len(rows), 10_000):
+                cols = list(zip(*rows[at : at + 10_000], strict=True))
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["rk", "firsts", "more", "h", "c", "each"])
+
+    return run
 
 
 def _contexts(p: Params):
@@ -154,7 +194,7 @@ def _shared(strings: list[bytes]) -> list[int]:
     return out
 
 
-def _gram_hashes(s: bytes, p: Params) -> int:
+def _gram_place(s: bytes, p: Params) -> int:
     """Where the anchor is in a context: the gram of the smallest hash in its first window."""
     part = np.frombuffer(s[: p.width], np.uint8)
     power, inverse = _powers(p.width)
@@ -165,7 +205,7 @@ def _gram_hashes(s: bytes, p: Params) -> int:
 
 def repeated_in_group(contexts: list[bytes], weights: list[int], p: Params) -> list[list[tuple[int, int]]]:
     """For each context of weight 1 in a group, stretches (from, to) of bytes whose windows are repeated."""
-    at = [_gram_hashes(s, p) for s in contexts]
+    at = [_gram_place(s, p) for s in contexts]
     right = _shared([s[k:] for s, k in zip(contexts, at, strict=True)])
     left = _shared([s[:k][::-1] for s, k in zip(contexts, at, strict=True)])
     # No other context shares more than this with it around the anchor.
@@ -222,19 +262,6 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["rk", "a", "b"])
 
 
-def _windows(p: Params):
-    """Each window of a context with its hash: for groups that are too large for one suffix array."""
-
-    def run(batches):
-        for b in batches:
-            for rk, first, n, s in zip(*(b.column(c).to_pylist() for c in ("rk", "first", "n", "context")), strict=True):
-                hashes = [hashlib.blake2b(s[i : i + p.width], digest_size=16).digest() for i in range(len(s) - p.width + 1)]
-                k = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array([rk] * k, pa.int64()), pa.array(range(first, first + k), pa.int64()), pa.array([n] * k, pa.int64()), pa.array(hashes, pa.binary())], names=["rk", "a", "n", "w"])
-
-    return run
-
-
 def _kept(batches):
     for b in batches:
         rows = []
@@ -254,35 +281,63 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([b.column("rk"), b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.array([r[3] for r in rows], pa.binary())], names=["rk", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _hot(rows: DataFrame, p: Params) -> list[int]:
+    """Hashes of more than hot_part of all rows and more than hot_rows, and perhaps some that are little less frequent."""
+    k = int(1 / p.hot_part)
+    total, top = rows.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h, {k}, {10 * k})")).first()
+    return [x[0] for x in top or [] if x[1] > max(p.hot_rows, total * p.hot_part)]
+
+
+def _meet(rows: DataFrame, p: Params, root: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of _PLACED by group: those whose context is there twice (rk, firsts, more, each), and one row of each context that has others beside it (rk, first, more, h, n, big)."""
+    hot = _hot(rows, p)
+    cold = rows.filter(~F.col("h").isin(hot)) if hot else rows
+    same, group = Window.partitionBy("h", "c"), Window.partitionBy("h")
+    n = F.col("each") * F.size("firsts")
+    # Both windows follow the repartition, one shuffle for all.
+    placed = cold.repartition("h").withColumns({"n": F.sum(n).over(same), "i": F.row_number().over(same.orderBy("rk", "firsts")), "all": F.sum(n).over(group)}).filter("all > 1")
+    placed = written(placed.withColumn("different", F.sum((F.col("i") == 1).cast("long")).over(group)).select("rk", "firsts", "more", "each", "h", "n", "i", "different"), f"{root}/repeated")
+    big = (F.col("different") > p.most).alias("big")
+    copies = placed.filter("n > 1").select("rk", "firsts", "more", "each")
+    beside = placed.filter("i = 1 and different > 1").select("rk", F.col("firsts")[0].alias("first"), "more", "h", "n", big)
+    if hot:
+        few = rows.filter(F.col("h").isin(hot))
+        told = written(few.groupBy("h", "c").agg(F.sum(n).alias("n"), F.min(F.struct("rk", F.col("firsts")[0].alias("first"), "more")).alias("one"), F.count(F.lit(1)).alias("rows")), f"{root}/hot")
+        different = told.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
+        copies = copies.unionByName(hot_join(few, told.filter("n > 1").select("h", "c", "rows"), ["h", "c"], "rows").select("rk", "firsts", "more", "each"))
+        # different: at most 1 / hot_part rows.
+        beside = beside.unionByName(told.join(F.broadcast(different), "h").select("one.rk", "one.first", "one.more", "h", "n", big))
+    return copies, beside
+
+
 def suffix_dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """One row per row of docs: rk, doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
 
     A byte goes if it is in a string of `width` bytes that starts anywhere
     else too. A null text is empty; rows of equal or null doc_id are texts of
     their own, so all of an exact copy of enough bytes goes. Other columns of
-    docs are not read.
+    docs are not read. A very long text is searched in blocks that overlap,
+    with the same result.
     """
-    spark = docs.sparkSession
-    root = scratch(spark, "suffix")
+    root = scratch(docs.sparkSession, "suffix")
     d = keyed(docs, root).select("rk", "doc_id", "text")
-    table = f"anchors_{uuid.uuid4().hex}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    d.mapInArrow(_find(p), _PLACED).repartition(buckets, "h").write.bucketBy(buckets, "h").sortBy("h", "c").format("parquet").option("path", f"{root}/anchors").saveAsTable(table)
-    same, group = Window.partitionBy("h", "c"), Window.partitionBy("h")
-    # Both windows follow the buckets: no shuffle.
-    placed = spark.table(table).withColumns({"n": F.sum(F.size("firsts")).over(same), "i": F.row_number().over(same.orderBy("rk")), "all": F.sum(F.size("firsts")).over(group)}).filter("all > 1")
-    placed = written(placed.withColumn("different", F.sum((F.col("i") == 1).cast("long")).over(group)).select("rk", "firsts", "more", "h", "n", "i", "different"), f"{root}/repeated")
-    spark.sql(f"DROP TABLE {table}")
-    copies = placed.filter("n > 1").select("rk", "more", F.explode("firsts").alias("a")).select("rk", "a", (F.col("a") + F.col("more") + p.width).alias("b"))
-    # Contexts with others beside them; those of weight 1 only if they could share something.
-    wanted = placed.filter("i = 1 and different > 1").groupBy("rk").agg(F.collect_list(F.struct("h", F.col("firsts")[0].alias("first"), "more", "n", "different")).alias("want"))
-    contexts = lambda which: wanted.withColumn("want", F.filter("want", which)).filter(F.size("want") > 0).hint("merge").join(d.select("rk", "text"), "rk").select("rk", "text", "want").mapInArrow(_contexts(p), "h long, rk long, first long, n long, context binary")
-    near = contexts(lambda w: w["different"] <= p.most).repartition("h").sortWithinPartitions("h").mapInArrow(_judge(p), "rk long, a long, b long")
-    spans = copies.unionByName(near)
-    if placed.filter(F.col("different") > p.most).limit(1).take(1):
-        windows = written(contexts(lambda w: w["different"] > p.most).mapInArrow(_windows(p), "rk long, a long, n long, w binary"), f"{root}/windows")
-        counted = written(windows.groupBy("w").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")).filter("weight > 1").drop("weight"), f"{root}/counted")
-        spans = spans.unionByName(hot_join(windows.select("rk", "a", "w"), counted, ["w"], "rows").select("rk", "a", (F.col("a") + p.width).alias("b")))
+    rows, spans = written(d.mapInArrow(_find(p), _PLACED), f"{root}/anchors"), None
+
+    def contexts(beside: DataFrame, which: Column) -> DataFrame:
+        wanted = beside.filter(which).groupBy("rk").agg(F.collect_list(F.struct("h", "first", "more", "n")).alias("want"))
+        return wanted.hint("merge").join(d.select("rk", "text"), "rk").select("rk", "text", "want").mapInArrow(_contexts(p), "h long, rk long, first long, n long, context binary")
+
+    for i, k in enumerate((*p.classes, 0)):
+        copies, beside = _meet(rows, p, f"{root}/{i}")
+        # A place that stands for several is repeated by itself, and was found before.
+        found = copies.filter("each = 1").select("rk", "more", F.explode("firsts").alias("a")).select("rk", "a", (F.col("a") + F.col("more") + p.width).alias("b"))
+        spans = found if spans is None else spans.unionByName(found)
+        if not k:
+            break
+        spans = spans.unionByName(contexts(beside, ~F.col("big")).repartition("h").sortWithinPartitions("h").mapInArrow(_judge(p), "rk long, a long, b long"))
+        if not beside.filter("big").limit(1).take(1):
+            break
+        rows = written(contexts(beside, F.col("big")).mapInArrow(_split(p, k), _PLACED), f"{root}/split-{i}")
     spans = spans.groupBy("rk").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return d.hint("merge").join(spans, "rk", "left").select("rk", "doc_id", "text", "spans").mapInArrow(_kept, "rk long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

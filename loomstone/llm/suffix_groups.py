@@ -12,42 +12,56 @@ and recursing.
 
 from __future__ import annotations
 
+#: No pointer yet; -1 is before the text.
+UNKNOWN = -2
+
 
 def suffix_array(text: list[int]) -> list[int]:
-    """Starts of the suffixes of text in ascending order; a prefix comes before what it is a prefix of."""
+    """Starts of the suffixes of text in ascending order; a prefix comes before what it is a prefix of. Characters should be few integers from 0: their range is walked once."""
     n = len(text)
     if n < 2:
         return list(range(n))
     members: list[list[int]] = []
     group = [0] * n
-    by_char: dict[int, list[int]] = {}
+    by_char: list[list[int]] = [[] for _ in range(max(text) + 1)]
     for i, c in enumerate(text):
-        by_char.setdefault(c, []).append(i)
-    for g, c in enumerate(sorted(by_char)):
-        members.append(by_char[c])
-        for i in by_char[c]:
-            group[i] = g
+        by_char[c].append(i)
+    for of in by_char:
+        if of:
+            for i in of:
+                group[i] = len(members)
+            members.append(of)
     lower = list(range(-1, len(members) - 1))
     upper = list(range(1, len(members) + 1))
     upper[-1] = -1
     #: Of groups: their place among the ones that were there when they were made is their parent's; done ones are higher.
     done = [False] * len(members)
-    previous = [-1] * n
+    previous = [UNKNOWN] * n
     g = len(members) - 1
     while g >= 0:
         own = [i for i in members[g] if group[i] == g]
-        own.sort()
         members[g] = own
         done[g] = True
+        # at[i]: how far the search for the pointer of i has come; one that needs another's pointer waits for it.
+        at = {i: i - 1 for i in own}
+        for i in own:
+            waiting = [i] if previous[i] == UNKNOWN else []
+            while waiting:
+                j = waiting[-1]
+                q = at[j]
+                # All that is in this or a higher group has its own pointer already, or gets it first.
+                while q >= 0 and done[group[q]] and previous[q] != UNKNOWN:
+                    q = previous[q]
+                at[j] = q
+                if q >= 0 and done[group[q]]:
+                    waiting.append(q)
+                else:
+                    previous[j] = q
+                    waiting.pop()
         pointed: dict[int, int] = {}
         for i in own:
-            p = i - 1
-            # All that is in this or a higher group has its own pointer already.
-            while p >= 0 and done[group[p]]:
-                p = previous[p]
-            previous[i] = p
-            if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
+            if previous[i] >= 0:
+                pointed[previous[i]] = pointed.get(previous[i], 0) + 1
         if pointed:
             of_count: dict[int, dict[int, list[int]]] = {}
             for p, k in pointed.items():

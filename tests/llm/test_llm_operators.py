@@ -1,5 +1,6 @@
 """The operators against plain code, on small tables with nulls, empties, repeated rows and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from loomstone.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, suffix_dedup, suffix_groups, token_files, tokens
 from loomstone.llm.common import scratch
@@ -139,6 +141,36 @@ def test_host_prior_spares_small_hosts(spark):
     assert kept == {*range(200, 600), 1000}
 
 
+def test_host_verdicts(spark):
+    """Against plain code, over tables of hosts: few and large, many and small, all alike."""
+    r = random.Random(11)
+    p = quality_rules.Params()
+    tables = [[(f"h{i}", n := r.randint(1, 300), sum(r.random() < q for _ in range(n))) for i, q in enumerate([0.1] * 20 + [0.4, 0.52, 0.6, 0.7, 0.95])], [(f"h{i}", 1, int(r.random() < 0.3)) for i in range(300)] + [("big", 1000, 900)], [("one", 50, 45)], [("a", 5, 0), ("b", 9, 0)]]
+    tables.append([(f"s{i}", 1, int(r.random() < 0.6)) for i in range(500)])
+    refused = []
+    for hosts in tables:
+        total, k = sum(n for _, n, _ in hosts), len(hosts)
+        m = sum(b for *_, b in hosts) / total
+        known = total - sum(n * n for _, n, _ in hosts) / total - (k - 1)
+        c = (sum(n * (b / n - m) ** 2 for _, n, b in hosts) / (m * (1 - m)) - (k - 1)) / known if 0 < m < 1 and known > 1e-9 else 0
+        weight = 1 / min(0.5, max(0.001, c)) - 1
+        rate = {h: (b + weight * m) / (n + weight) for h, n, b in hosts}
+        ok = {h: rate[h] - 1.96 * (rate[h] * (1 - rate[h]) / (n + weight + 1)) ** 0.5 <= max(0.5, m) for h, n, b in hosts}
+        got = {x._host: x for x in quality_rules.host_verdicts(spark.createDataFrame(hosts, "_host string, n long, bad long"), p).collect()}
+        assert {h: x.host_ok for h, x in got.items()} == ok and all(abs(got[h].rate - rate[h]) < 1e-9 for h in rate)
+        refused.append({h for h in ok if not ok[h]})
+    assert {"h23", "h24"} <= refused[0] and not refused[0] & {f"h{i}" for i in range(21)} and refused[1] == {"big"} and not refused[2] | refused[3] | refused[4]
+
+
+def test_quality_names(spark):
+    """Columns of any name come through; hosts of null, of all rows, and rows that are alike."""
+    rows = [(None, None, None, 1, 2, 3, True)] * 50 + [(1, prose(60, 1), "a", 1, 2, 3, True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _host int, _salt int, n_lines int, Kept boolean")
+    out = quality_rules.quality_rules(d)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "source", "_host", "_salt", "n_lines", *quality_rules.RESULTS])
+    assert Counter((r["_host"], r["_salt"], r.n_lines, r.kept) for r in out.collect()) == {(1, 2, 3, False): 50, (1, 2, 3, True): 1}
+
+
 def base_pii(t):
     out = []
     rx = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -238,6 +270,128 @@ def test_random_stretches(spark):
     assert len(got[902]) == 2 and all(a <= i and i + 32 <= b and b - a < 32 + 2 * 20 for (a, b), i in zip(got[902], at, strict=True))
 
 
+def all_pii(texts, p):
+    """All spans by plain code: base, and terms by co-occurrence with values and kinds over the documents."""
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    base = [base_pii(t or "") for _, t in texts]
+    held = [{e for k, a, b in found for e in ((k, t[a:b]), k)} for (_, t), found in zip(texts, base, strict=True)]
+    every = [{w for w in regex.split(r"[^\p{L}]+", (t or "").lower()) if len(w) >= 4} for _, t in texts]
+    beside = [{w for w in regex.split(r"[^\p{L}]+", regex.sub(rf"\p{{L}}*{email}\p{{L}}*", " ", t or "").lower()) if len(w) >= 4} for _, t in texts]
+    grams = []
+    for _, t in texts:
+        w = (t or "").strip(" ").lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    n_entity, n_term, met = Counter(e for h in held for e in h), Counter(w for x in every for w in x), {}
+    for i, h in enumerate(held):
+        for e in h:
+            for w in beside[i]:
+                met.setdefault((w, e), []).append(i)
+    terms = [set() for _ in texts]
+    for (w, e), at in met.items():
+        need = p.min_contexts if isinstance(e, tuple) else p.kind_contexts
+        apart, left = 0, at
+        while left:
+            apart, left = apart + 1, [i for i in left if len(grams[i] & grams[left[0]]) < p.near * len(grams[i] | grams[left[0]])]
+        bits = np.log2(len(at) * len(texts) / (n_term[w] * n_entity[e]))
+        if n_entity[e] >= need and n_entity[e] * 2**p.min_bits <= len(texts) and len(at) >= need and len(at) / n_term[w] >= p.min_share and bits >= p.min_bits and apart >= need:
+            for i in at:
+                terms[i].add(w)
+    out = Counter()
+    for (i, t), found, mine in zip(texts, base, terms, strict=True):
+        more = [(4, m.start(), m.end()) for m in regex.finditer(r"\p{L}{4,}", t or "") if m[0].lower() in mine]
+        out[i, tuple([*found, *(s for s in more if not any(a < s[2] and s[1] < b for _, a, b in found))])] += 1
+    return out
+
+
+def test_pii_terms(spark):
+    """All spans against plain code: terms of a value, of a kind, of chance, and near copies."""
+    r = random.Random(31)
+    few = ["".join(r.choices("abcdefgé", k=r.randint(4, 7))) for _ in range(150)]
+    texts = []
+    for i in range(400):
+        t = r.choices(few, k=r.randint(6, 20))
+        if i % 11 == 0:
+            t[3:3] = ["Reachable" if i % 2 else "at", f"a{i}@mail.example.org"]
+        if i % 17 == 0:
+            t[1:1] = ["codename", "x eve@corp.example"]
+        if i % 23 == 0:
+            t += ["Téléphone", f"+1 (555) 010-{1000 + i}", r.choice(few)]
+        if i % 29 == 0:
+            t += ["zebra", "quagga"]
+        texts.append((i, " ".join(t)))
+    texts += [(500 + i, texts[0][1] + " uncopied") for i in range(9)] + [(None, None), (600, ""), (600, "eve@corp.example")]
+    p = pii.Params()
+    got = Counter((x.doc_id, tuple((s.kind, s.start, s.end) for s in x.spans)) for x in pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"), p).collect())
+    assert got == all_pii(texts, p)
+    found = {dict(texts)[i][a:b] for i, spans in got for k, a, b in spans if k == 4}
+    assert {"Reachable", "codename", "Téléphone"} <= found and not found & {"zebra", "quagga", "uncopied"}
+
+
+def random_spans(texts, samples, p):
+    """The spans of kind random by plain code; samples (value, random)."""
+    alphabet = string.ascii_letters + string.digits + "+/_=-"
+    n = {k: Counter(v[i : i + 2] for v, x in samples if x == k for i in range(len(v) - 1)) for k in (True, False)}
+    ratio = {}
+    for a in alphabet:
+        total = {k: sum(n[k][a + b] + 0.5 for b in alphabet) for k in n}
+        for b in alphabet:
+            ratio[a + b] = 0 if set(a + b) & set("+/=-") else np.log((n[True][a + b] + 0.5) / total[True]) - np.log((n[False][a + b] + 0.5) / total[False])
+    out = []
+    for i, t in texts:
+        base, found = base_secrets(t or ""), []
+        for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{p.min_length},}}", t or ""):
+            r = [ratio[m[0][k : k + 2]] for k in range(len(m[0]) - 1)]
+            if np.mean(r) >= p.min_ratio:
+                found.append([m.start(), m.end()])
+                continue
+            w, last = p.min_length - 1, None
+            for k in range(len(r) - w + 1):
+                if np.mean(r[k : k + w]) >= p.min_ratio:
+                    if last is not None and k - last <= p.min_length:
+                        found[-1][1] = m.start() + k + w + 1
+                    else:
+                        found.append([m.start() + k, m.start() + k + w + 1])
+                    last = k
+        out.append((i, tuple(sorted([*base, *((a, 3, b) for a, b in found if not any(x < b and a < y for x, _, y in base))]))))
+    return Counter(out)
+
+
+def test_secret_models(spark):
+    """All spans against plain code, with samples given and with those of the corpus."""
+    r = random.Random(21)
+    syllables = ["con", "figu", "ra", "tion", "de", "ploy", "ment", "set", "tings", "pro", "duc", "en", "vi", "ron"]
+    word = lambda k: "".join(r.choices(syllables, k=k))
+    rand = lambda k, chars=string.ascii_letters + string.digits: "".join(r.choices(chars, k=k))
+    texts = []
+    for i in range(150):
+        t = [word(r.randint(2, 4)) for _ in range(12)]
+        kind = i % 6
+        t.insert(r.randint(0, 12), [rand(24), rand(22, string.ascii_lowercase), "/".join(word(3) for _ in range(4)), word(3) + "_" + rand(26) + "_" + word(9), f"password: {rand(12)}", f"secret={word(3)}"][kind])
+        texts.append((i, " ".join(t)))
+    texts += [(900, None), (901, ""), (902, "AKIA" + rand(20, string.ascii_uppercase)), (903, hashlib.md5(b"1").hexdigest())]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    p = secrets.Params()
+    own = [(rand(30), True) for _ in range(300)] + [(word(3), False) for _ in range(300)]
+    got = lambda rows: Counter((x.doc_id, tuple((s.start, s.kind, s.end) for s in x.spans)) for x in rows.collect())
+    want = random_spans(texts, own, p)
+    assert got(secrets.find_secrets(d, p, spark.createDataFrame(own, "value string, random boolean"))) == want
+    assert sum(s[1] == 3 for _, x in want for s in x) > 60
+    made = set()
+    for k in range(p.digests):
+        x = re.sub("[+/=]", "", base64.b64encode(hashlib.sha256(str(k).encode()).digest()).decode())
+        made |= {x, x.lower(), x.upper(), hashlib.md5(str(k).encode()).hexdigest()}
+    within = set()
+    for i, t in texts:
+        for start, kind, end in base_secrets(t or ""):
+            v = t[start:end]
+            v = re.split(r"[:=]\x20*", v, maxsplit=1)[1] if kind == 0 else v
+            within |= set(re.split("[^A-Za-z_]+", v))
+            if kind or (re.search("[0-9]", v) and re.search("[A-Za-z]", v)):
+                made.add(v)
+    words = {w for _, t in texts for w in re.split("[^A-Za-z_]+", t or "") if len(w) >= 6 and not re.search("[A-Za-z]{20}", w)} - within
+    assert got(secrets.find_secrets(d)) == random_spans(texts, [(v, True) for v in made] + [(v, False) for v in words], p)
+
+
 def test_near_duplicates(spark, docs, empty):
     base = [prose(200, i) for i in range(5)]
     texts = [(i, t) for i, t in enumerate(base)]
@@ -333,26 +487,54 @@ def test_suffix_array():
         assert suffix_groups.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_suffix_dedup(spark, docs, empty, most):
-    shared = prose(80, 40)
-    r = random.Random(4)
-    texts = [(i, prose(60, 60 + i) + shared[r.randint(0, 150) : r.randint(280, 420)] + prose(50, 90 + i)) for i in range(25)]
-    texts += [(200 + i, t) for i, (_, t) in enumerate(TEXTS)]
+def long_repeats(texts, width=200):
+    """doc_id -> n_bytes, n_removed, n_spans, kept by plain code."""
     raw = [(i, (t or "").encode()) for i, t in texts]
-    n = Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
+    n = Counter(b[k : k + width] for _, b in raw for k in range(len(b) - width + 1))
     want = {}
     for i, b in raw:
         gone = bytearray(len(b))
-        for k in range(len(b) - 199):
-            if n[b[k : k + 200]] > 1:
-                gone[k : k + 200] = b"\1" * 200
+        for k in range(len(b) - width + 1):
+            if n[b[k : k + width]] > 1:
+                gone[k : k + width] = b"\1" * width
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         want[i] = (len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone, strict=True) if not g))
-    got = suffix_dedup.suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string"), suffix_dedup.Params(most=most)).collect()
-    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == want
-    if most > 2:
-        assert suffix_dedup.suffix_dedup(docs).count() == len(TEXTS) and suffix_dedup.suffix_dedup(empty).count() == 0
+    return want
+
+
+def removed(spark, texts, p):
+    rows = suffix_dedup.suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string"), p).collect()
+    return {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in rows}
+
+
+@pytest.mark.parametrize("p", [suffix_dedup.Params(), suffix_dedup.Params(most=2), suffix_dedup.Params(most=2, classes=(40, 7, 1), hot_rows=3, hot_part=0.01)])
+def test_suffix_dedup(spark, docs, empty, p):
+    shared = prose(80, 40)
+    r = random.Random(4)
+    texts = [(i, prose(60, 60 + i) + shared[r.randint(0, 150) : r.randint(280, 420)] + prose(50, 90 + i)) for i in range(25)]
+    texts += [(200 + i, t) for i, (_, t) in enumerate(TEXTS)]
+    assert removed(spark, texts, p) == long_repeats(texts)
+    if p.most > 2:
+        assert suffix_dedup.suffix_dedup(docs, p).count() == len(TEXTS) and suffix_dedup.suffix_dedup(empty, p).count() == 0
+
+
+def test_suffix_dedup_of_common_passage(spark):
+    """A passage in all texts, whole or cut, with other bytes around it: its groups are hot and are split."""
+    shared = prose(60, 41)
+    r = random.Random(5)
+    texts = [(i, prose(20, 300 + i) + shared[(a := r.randint(0, 60)) : a + r.randint(100, 260)] + prose(20, 900 + i)) for i in range(250)]
+    p = suffix_dedup.Params(most=20, hot_rows=50, hot_part=0.0001)
+    assert removed(spark, texts, p) == long_repeats(texts)
+
+
+def test_suffix_dedup_of_long_text(spark, monkeypatch):
+    """Repeats across the bounds of blocks."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 20)
+    r = random.Random(6)
+    filler = "".join(r.choices(string.ascii_letters + " ", k=2_500_000))
+    inner = filler[(1 << 20) - 150 : (1 << 20) + 170]
+    texts = [(1, filler), (2, "x" + inner + "y"), (3, filler[2_000_000:2_000_300])]
+    assert removed(spark, texts, suffix_dedup.Params()) == {1: (2_500_000, 620, 2, (filler[: (1 << 20) - 150] + filler[(1 << 20) + 170 : 2_000_000] + filler[2_000_300:]).encode()), 2: (322, 320, 1, b"xy"), 3: (300, 300, 1, b"")}
 
 
 def test_encoder():
@@ -411,11 +593,33 @@ def test_packing(spark, docs, empty):
 
 def test_cutting_stock():
     r = np.random.default_rng(1)
-    for lengths in (r.integers(1, 513, 5000), np.full(300, 400), np.array([512, 512, 1])):
+    for lengths in (r.integers(1, 513, 5000), np.minimum(r.lognormal(5, 1, 100_000).astype(int) + 1, 512), r.choice(r.integers(200, 1025, 80), 3000), np.full(300, 400), np.array([512, 512, 1])):
         d = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
-        use = packing.cutting_stock(d, 1024)
+        got = packing.cutting_stock(d, 1024)
+        use = got.patterns
         for w, n in d.items():
-            assert abs(sum(p.get(w, 0) * x for p, x in use) - n) < 1e-6 * n + 1e-6
+            assert abs(sum(p.get(w, 0) * x for p, x in use) - n) < 1e-4 * n + 1e-4
         assert all(sum(k * n for k, n in p.items()) <= 1024 for p, _ in use)
+        plain = sum(n / (1024 // w) for w, n in d.items())
+        assert got.bound * (1 - 1e-9) <= got.value <= max(got.bound * 1.002, got.bound + 1e-3) and got.value <= plain + 1e-3
+        if len(d) > 3:  # patterns of one length are far from it, so columns are priced and come in
+            assert got.priced > 0 and got.pivots > 0 and got.value < 0.95 * plain
         table, _ = packing.slots(use, d)
         assert (table["used"] >= 0).all()
+
+
+def test_knapsack_prices_best_pattern():
+    r = random.Random(3)
+    for _ in range(200):
+        size, lengths = r.randint(4, 12), None
+        lengths = np.array(sorted(r.sample(range(1, size + 1), r.randint(1, 4))))
+        value = np.full(size + 1, -1.0)
+        value[lengths] = [r.random() for _ in lengths]
+
+        def best(room):
+            return max([0.0, *(value[w] + best(room - w) for w in lengths if w <= room)])
+
+        demand = np.array([float(r.randint(1, 9)) for _ in lengths])
+        top, columns = packing._priced(value[lengths], lengths, demand, size)
+        assert abs(top - best(size)) < 1e-9 and abs(value[lengths] @ columns[:, 0] - top) < 1e-9
+        assert (lengths @ columns <= size).all() and (columns.sum(axis=1) > 0).all()
