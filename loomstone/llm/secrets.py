@@ -3,11 +3,11 @@
 One model is of random strings, one of ordinary identifiers. Both are
 bigram counts over the ASCII characters of a token's alphabet, trained from
 labelled samples: a table of (value, random), which a caller may give. By
-default random ones are a documented number of digests in four spellings, and
-the corpus's access keys, hex runs, and assigned values that mix digits with
-letters; ordinary ones are all words of letters in the corpus. A long token is a secret where the
-log-likelihood ratio of the models, per character, is above a threshold over
-the whole token, or else in those stretches of it where it is.
+default the whole corpus is labelled by what its patterns find: access keys,
+hex runs, and assigned values that mix digits with letters are random, words
+of letters are ordinary. A long token is a secret where the log-likelihood
+ratio of the models, per character, is above a threshold over the whole
+token, or else in those stretches of it where it is.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ class Params:
     min_ratio: float = 0.5
     #: Words of letters from this length are samples of ordinary identifiers, unless so many letters in a row are to be judged themselves.
     min_word: int = 6
-    #: Digests that are samples of random strings, each in four spellings.
-    digests: int = 2048
 
 
 def _patterns(t: Column, p: Params) -> dict[str, tuple[str, Column]]:
@@ -63,19 +61,15 @@ def candidates(docs: DataFrame, p: Params) -> DataFrame:
 def corpus_samples(found: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """value, random: the labelled samples that come without any from outside, each once.
 
-    The digests are of the numbers from 0. An assigned value of letters or of
-    digits alone is no sample: it may be a word, a name or a date.
+    An assigned value of letters or of digits alone is no sample: it may be a
+    word, a name or a date.
     """
-    spark = docs.sparkSession
-    bits = F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256)))
-    plain = F.regexp_replace(bits, "[+/=]", "")
-    made = spark.range(p.digests).select(F.explode(F.array(plain, F.lower(plain), F.upper(plain), F.md5(F.col("id").cast("string")))).alias("value"))
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     secret = found.filter((F.col("kind").isin(1, 2)) | ((F.col("kind") == 0) & mixed)).select("value")
     words = docs.select(F.explode(F.array_distinct(F.split(text_of(docs), "[^A-Za-z_]+"))).alias("value")).filter((F.length("value") >= p.min_word) & ~F.col("value").rlike(f"[A-Za-z]{{{p.min_length}}}")).groupBy("value").agg(F.lit(1).alias("one")).select("value")
     # Letters within a base match are no ordinary word.
     within = found.filter("kind < 3").select(F.explode(F.split("value", "[^A-Za-z_]+")).alias("value")).distinct()
-    return made.unionByName(secret).distinct().withColumn("random", F.lit(True)).unionByName(words.join(within, "value", "left_anti").withColumn("random", F.lit(False)))
+    return secret.distinct().withColumn("random", F.lit(True)).unionByName(words.join(within, "value", "left_anti").withColumn("random", F.lit(False)))
 
 
 def models(samples: DataFrame, root: str) -> DataFrame:
