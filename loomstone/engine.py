@@ -7,20 +7,56 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import providers
 from loomstone.functions import text as X
-from loomstone.operators import fusion, lexical, segments, themes
+from loomstone.operators import fusion, hierarchy, lexical, retrieval, segments, themes
+from loomstone.operators import vector_graph as G
 from loomstone.operators import vector_search as VS
-from loomstone.sources.store import SCHEMAS, Store
+from loomstone.runtime import Settings
+from loomstone.sources.store import KEYS, SCHEMAS, Repository, Store, scratch, written
 
 
 class MemoryEngine:
-    """Everything lazy is a DataFrame; what changes the store runs at once."""
+    """Everything lazy is a DataFrame; what changes the store runs at once. The store may be any repository."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: providers.Embedder = providers.hashed_trigrams, most: int = 25, least: int = 2):
-        self.spark, self.store, self.embed, self.most, self.least = spark, Store(spark, root), embed, most, least
+    def __init__(self, spark: SparkSession, root: str, embed: providers.Embedder = providers.hashed_trigrams, most: int = 25, least: int = 2, store: Repository | None = None):
+        self.spark, self.store, self.embed, self.most, self.least = spark, store or Store(spark, root), embed, most, least
+        self._pending: DataFrame | None = None
+        self._consumed: dict[str, DataFrame] = {}
+        self._graph: tuple[DataFrame, DataFrame] | None = None
 
-    def add_messages(self, messages: DataFrame) -> None:
-        """Episodes and facts of messages (owner, seq, role, content, ts): buffers cut by size, short rests left out."""
-        cut = segments.by_size(messages, self.most, self.least)
+    @classmethod
+    def configured(cls, spark: SparkSession, root: str, settings: Settings, **more) -> MemoryEngine:
+        return cls(spark, root, most=settings.validate().buffer_most, least=settings.episode_least, **more)
+
+    def __enter__(self) -> MemoryEngine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Ends the buffers: what is in them becomes episodes."""
+        self.flush()
+
+    def flush(self) -> None:
+        """Episodes of what is left in all buffers; rests of fewer than `least` messages are lost."""
+        if self._pending is not None:
+            d, self._pending = self._pending, None
+            self._take(segments.by_size(d, self.most, self.least))
+
+    def add_messages(self, messages: DataFrame, flush: bool = True) -> None:
+        """Episodes of messages (owner, seq, role, content, ts): buffers cut by size. Without flush the rests wait for the next messages."""
+        d = messages.select("owner", "seq", "role", "content", "ts")
+        d = d if self._pending is None else self._pending.unionByName(d)
+        self._pending = None
+        if flush:
+            self._take(segments.by_size(d, self.most, self.least))
+            return
+        d = written(d, scratch(self.spark, "buffers"))
+        rest = segments.left_over(d, self.most)
+        self._take(segments.by_size(d, self.most).join(rest.select("owner", "seq"), ["owner", "seq"], "left_anti"))
+        self._pending = rest.drop("episode")
+
+    def _take(self, cut: DataFrame) -> None:
         e = segments.fallback_episodes(cut, ["owner", "episode"])
         raw = cut.groupBy("owner", "episode").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("m"))
         key = F.sha2(F.concat_ws("\0", F.col("owner").cast("string"), F.col("ts").cast("string"), "content"), 256)
@@ -43,7 +79,7 @@ class MemoryEngine:
         return self.spark.createDataFrame([], SCHEMAS[kind]).columns
 
     def derive_facts(self) -> None:
-        """Sentences of the messages of all episodes as facts; those whose text a user's fact has are left out."""
+        """Sentences of the messages of all episodes as facts, user by user in one plan; those whose text a user's fact has are left out."""
         e = self.store.read("episodes")
         m = e.select("user_id", "created_at", F.col("episode_id").alias("of"), F.explode("original_messages").alias("m")).select("user_id", "created_at", "of", F.col("m.message_id").alias("episode_id"), F.col("m.content").alias("content"))
         s = providers.statements(m).join(m.drop("content"), "episode_id")
@@ -52,6 +88,43 @@ class MemoryEngine:
         rows = first.select(F.sha2(F.concat_ws("\0", "user_id", "k"), 256).alias("memory_id"), "user_id", "f.content", F.lit("knowledge").alias("knowledge_type"), "f.created_at", null("string").alias("updated_at"), F.array_sort("source_episodes").alias("source_episodes"), F.lit(0.8).alias("confidence"), null("map<string,string>").alias("metadata"), F.array().cast("array<string>").alias("tags"), F.lit(1).alias("revision_count"))
         self.store.add_absent("semantic", rows.select(*self._columns("semantic")))
 
+    def increment(self, kind: str) -> DataFrame:
+        """The rows of a kind that were not consumed yet."""
+        d = self.store.read(kind)
+        return hierarchy.unconsumed(d, self._consumed[kind], KEYS[kind]) if kind in self._consumed else d
+
+    def consume(self, kind: str) -> None:
+        """From now on increment() gives later rows only."""
+        self._consumed[kind] = written(self.store.read(kind).select(KEYS[kind]), scratch(self.spark, "consumed"))
+
+    def update_graph(self) -> tuple[int, int]:
+        """Takes what was not consumed into the graph of messages, episodes, facts and themes; the numbers of all nodes and edges."""
+        e, f = self.increment("episodes"), self.increment("semantic")
+        messages = F.transform("original_messages", lambda m: m["message_id"])
+        t = self.themes().select(F.concat_ws(":", "user_id", F.col("theme").cast("string")).alias("theme_id"), "fact")
+        t = t.join(self.store.read("semantic").select(F.xxhash64("memory_id").alias("fact"), "memory_id"), "fact").groupBy("theme_id").agg(F.collect_list("memory_id").alias("semantic_ids"))
+        node = lambda d, level, key, text: d.select(F.lit(level).alias("level"), key.alias("raw_id"), text.alias("text"))
+        m = e.select(F.explode("original_messages").alias("m"))
+        new = node(m, 0, F.col("m.message_id"), F.col("m.content")).unionByName(node(e, 1, F.col("episode_id"), F.col("title"))).unionByName(node(f, 2, F.col("memory_id"), F.col("content"))).unionByName(node(t, 3, F.col("theme_id"), F.lit("")))
+        edges = hierarchy.increment_edges(e.select("episode_id", messages.alias("message_ids")), f.select("memory_id", "source_episodes"), t)
+        root = scratch(self.spark, "graph")
+        old = self._graph or (self.spark.createDataFrame([], "node_id long, level int, raw_id string, text string"), self.spark.createDataFrame([], "a string, b string, kind string"))
+        both = old[1].select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", F.lit(-1).alias("seq")).unionByName(edges)
+        self._graph = written(hierarchy.upsert_nodes(old[0], new), f"{root}/nodes"), written(hierarchy.simple_edges(both), f"{root}/edges")
+        for kind in ("episodes", "semantic"):
+            self.consume(kind)
+        return self._graph[0].count(), self._graph[1].count()
+
+    def neighbours(self, k: int = 10) -> DataFrame:
+        """src, dst, rank, sim: the nearest facts of each fact that was not consumed, among all."""
+        vectors = lambda d: providers.embedded(d.select(F.xxhash64("memory_id").alias("id"), "content"), "content", "v", self.embed).select("id", "v")
+        return G.knn(vectors(self.increment("semantic")), vectors(self.store.read("semantic")), k)
+
+    def search_all(self, queries: DataFrame, k_episodes: int = 10, k_facts: int = 10, method: str = "hybrid", combined: int | None = None) -> DataFrame:
+        """category, query_id, kind, item, rank, score of both kinds of memory; k = 0 gives none of a kind."""
+        lists = {"episodic": (self.search(queries, "episodes", method, max(1, k_episodes)), k_episodes), "semantic": (self.search(queries, "semantic", method, max(1, k_facts)), k_facts)}
+        return retrieval.categorised(lists, combined)
+
     def themes(self) -> DataFrame:
         """user_id, fact, theme of all facts."""
         f = self.store.read("semantic").select("user_id", F.xxhash64("memory_id").alias("fact"), "content")

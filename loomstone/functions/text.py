@@ -30,12 +30,19 @@ def token_estimate(text: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON object in a model's answer: the text, what a code fence holds, or the first { to the last }; else null."""
+    """The JSON object in a model's answer: the text, what a code fence holds, the first flat {...} that is one, or the first { to the last }; else null."""
     t = F.trim(text)
     fenced = F.trim(F.regexp_replace(F.regexp_replace(t, r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
     inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.startswith("{"), x)
-    return F.coalesce(valid(t), valid(fenced), valid(inner))
+    # The parser ends at the first value; what follows it must not be taken along.
+    valid = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.startswith("{") & x.endswith("}"), x)
+    flat = F.get(F.filter(F.regexp_extract_all(t, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.try_parse_json(x).isNotNull()), 0)
+    return F.coalesce(valid(t), valid(fenced), valid(inner), flat)
+
+
+def json_or_marker(text: Column) -> Column:
+    """The JSON object in a model's answer, or {"error": "no_json"}."""
+    return F.coalesce(json_object(text), F.lit('{"error": "no_json"}'))
 
 
 def statement_key(text: Column) -> Column:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from loomstone.functions import vectors as V
 
 
-#: Vectors that are sent to the executors at a time.
-BLOCK = 4096
+#: Vectors of a block, about.
+BLOCK = 2048
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of unit length from an Arrow column of lists of one size; a zero row stays."""
+    column = column.combine_chunks()
     m = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
@@ -24,44 +25,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _against(asked: DataFrame, known: DataFrame, judge, same: str | None = None) -> DataFrame:
     """src, dst, sim of the pairs that judge(sims, src ids, dst ids) marks, sims being known by asked.
 
-    The asked vectors go out in blocks of bounded size, each a pass over the
-    known ones; pairs are matrix products in Arrow batches and only marked
-    ones become rows. Null vectors and ones of another size are left out.
+    Both sides are dealt into blocks of bounded size by hash, and a pair of
+    blocks is a task's unit: a matrix product of which only marked pairs
+    become rows. Null vectors are left out, and so are, on both sides, those
+    of another size than most of the asked ones.
     """
-    spark, more = asked.sparkSession, [same] if same else []
+    more = [F.col(same).alias("_same")] if same else []
     kind = asked.schema["id"].dataType
-    schema = "src long, dst long, sim double"
-    rows, out = asked.filter("v is not null").select(F.col("id").cast("long"), V.doubles(F.col("v")).alias("v"), *more), None
-    block: list = []
-
-    def send(block: list) -> DataFrame:
-        ids, m = np.array([r[0] for r in block]), _matrix(pa.array([r[1] for r in block], pa.list_(pa.float64())))
-        kinds = np.array([r[2] for r in block]) if same else None
-
-        def run(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                dst = np.asarray(b.column("id"))
-                sims = _matrix(b.column("v")) @ m.T
-                mark = judge(sims, ids, dst)
-                if same:
-                    mark &= np.asarray(b.column(same))[:, None] == kinds[None, :]
-                i, j = np.nonzero(mark)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(dst[i]), pa.array(sims[i, j])], names=["src", "dst", "sim"])
-
-        d = known.filter(F.size("v") == m.shape[1]).select(F.col("id").cast("long").alias("id"), V.doubles(F.col("v")).alias("v"), *more)
-        return d.mapInArrow(run, schema)
-
-    for r in rows.toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == BLOCK:
-            out = send(block) if out is None else out.unionByName(send(block))
-            block = []
-    if block:
-        out = send(block) if out is None else out.unionByName(send(block))
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    side = lambda d: d.filter("v is not null").select(F.col("id").cast("long").alias("id"), V.doubles(F.col("v")).alias("v"), *more)
+    a, k = side(asked), side(known)
+    n_a, size = a.agg(F.count(F.lit(1)), F.mode(F.size("v"))).first()
+    if not n_a:
+        return asked.sparkSession.createDataFrame([], f"src {kind.simpleString()}, dst {kind.simpleString()}, sim double")
+    a, k = (d.filter(F.size("v") == size) for d in (a, k))
+    blocks_a, blocks_k = -(-n_a // BLOCK), max(1, -(-k.count() // BLOCK))
+    dealt = lambda d, own, n, other, m: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    a, k = dealt(a, "_a", blocks_a, "_k", blocks_k), dealt(k, "_k", blocks_k, "_a", blocks_a)
+
+    def unit(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"src": [], "dst": [], "sim": []}
+        if left.num_rows and right.num_rows:
+            src, dst = np.asarray(left.column("id")), np.asarray(right.column("id"))
+            sims = _matrix(right.column("v")) @ _matrix(left.column("v")).T
+            mark = judge(sims, src, dst)
+            if same:
+                kinds = [np.array(t.column("_same").to_pylist(), dtype=object) for t in (right, left)]
+                mark &= kinds[0][:, None] == kinds[1][None, :]
+            i, j = np.nonzero(mark)
+            out = {"src": src[j], "dst": dst[i], "sim": sims[i, j]}
+        return pa.table({c: pa.array(out[c], t) for c, t in (("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64()))})
+
+    keys = ["_a", "_k"]
+    out = a.groupBy(*keys).cogroup(k.groupBy(*keys)).applyInArrow(unit, "src long, dst long, sim double")
     return out.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "sim")
 
 
@@ -69,7 +64,7 @@ def knn(new: DataFrame, known: DataFrame, k: int = 10) -> DataFrame:
     """src, dst, rank, sim: for each new vector (id, v) the k nearest known ones, itself left out, sim > 0."""
 
     def nearest(sims: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-        at = max(0, len(sims) - k - 1)  # itself may be among them
+        at = max(0, len(sims) - k - 1)  # itself may be among them; the k nearest of all are among the k nearest of a block
         least = np.partition(sims, at, axis=0)[at]
         return (sims >= least - 1e-9) & (sims > 0) & (dst[:, None] != src[None, :])
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from loomstone.functions import vectors as V
 from loomstone.operators import adaptive_search as A
 from loomstone.functions import providers
-from loomstone.llm.common import scratch, written
 from loomstone.operators import evaluation, hierarchy, segments, themes
 from loomstone.operators import vector_graph as G
+from loomstone.sources.store import scratch, written
 from loomstone.sources.tables import table
 
 
@@ -50,8 +50,6 @@ def threshold_pairs(spark, sf_dir):
 
 
 def threshold_components(spark, sf_dir):
-    from loomstone.sources.store import scratch
-
     e = _vecs(spark, sf_dir)
     return G.components(e, G.pairs_above(e, 0.35), scratch(spark, "components"))
 
@@ -349,7 +347,7 @@ SELECT level, count(*) AS nodes, min(d) AS min_degree, max(d) AS max_degree, rou
     "qa_f1": f"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS pt, b.text AS gt, {_TOK.format(c='a.text')} AS p, {_TOK.format(c='b.text')} AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
 q AS (SELECT *, len(list_intersect(list_distinct(p), list_distinct(g))) AS shared, len(list_distinct(p)) AS np, len(list_distinct(g)) AS ng, coalesce(list_sum([least(len(list_filter(p, lambda y: y = t)), len(list_filter(g, lambda y: y = t))) for t in list_distinct(p)]), 0) AS hits FROM p)
 SELECT conv_id, turn, CAST(lower(trim(pt)) = lower(trim(gt)) AS INT) AS exact, round(CASE WHEN shared = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * shared / (np + ng) END, 6) AS f1,
- round(CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE CASE WHEN hits = 0 THEN 0.1::DOUBLE ELSE hits::DOUBLE END / len(p) * CASE WHEN len(p) > len(g) THEN 1.0::DOUBLE ELSE exp(1 - len(g)::DOUBLE / len(p)) END END, 6) AS bleu1 FROM q""",
+ round(CASE WHEN len(p) = 0 THEN 0.0::DOUBLE ELSE hits::DOUBLE / len(p) * CASE WHEN len(p) > len(g) THEN 1.0::DOUBLE ELSE exp(1 - len(g)::DOUBLE / len(p)) END END, 6) AS bleu1 FROM q""",
     "metric_aggregate": "SELECT 'chars' AS metric, lang AS category, round(avg(n_chars), 6) AS mean, round(coalesce(stddev_samp(n_chars), 0), 6) AS std, round(median(n_chars), 6) AS median, round(min(n_chars)::DOUBLE, 6) AS min, round(max(n_chars)::DOUBLE, 6) AS max, count(*) AS count FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (lang))",
     "run_compare": """WITH l AS (SELECT conv_id, role, arg_max(length(text), turn) AS l FROM conversations WHERE turn % 2 = 0 GROUP BY 1, 2), r AS (SELECT conv_id, role, arg_max(length(text), turn) AS r FROM conversations WHERE turn % 2 = 1 GROUP BY 1, 2)
 SELECT conv_id, role, CAST(l AS INT) AS l, CAST(r AS INT) AS r, CASE WHEN r IS NULL THEN 'only_left' WHEN l IS NULL THEN 'only_right' WHEN l > r THEN 'better' WHEN l < r THEN 'worse' ELSE 'equal' END AS outcome FROM l FULL JOIN r USING (conv_id, role)""",

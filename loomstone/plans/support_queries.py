@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
-from loomstone.operators import evaluation
-from loomstone.operators import vector_graph as G
+from loomstone.functions import vectors as V
+from loomstone.operators import evaluation, retrieval
 from loomstone.operators.vector_search import topk
-from loomstone.plans.memory_queries import _C, _EP, _E, _M, _P, _answers, _episodes, _messages, _vecs
+from loomstone.plans.memory_queries import _EP, _E, _M, _P, _answers, _episodes, _messages
 from loomstone.plans.vector_queries import _sides
 from loomstone.sources.tables import table
 
@@ -25,22 +25,8 @@ def relevant_statements(spark, sf_dir):
 def norlift_rank(spark, sf_dir):
     """z-scores of a query's similarities through a sigmoid, by their lift over the mean; an extension of plain search."""
     q, v = _sides(spark, sf_dir)
-    from loomstone.functions import vectors as V
-
-    s = v.crossJoin(q).select("query_id", "vec_id", V.cosine(F.col("q"), F.col("v")).alias("s"))
-    m = s.groupBy("query_id").agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d"))
-    p = s.join(m, "query_id").withColumn("p", 1 / (1 + F.exp(-(F.col("s") - F.col("m")) / (F.col("d") + 1e-6))))
-    base = p.groupBy("query_id").agg(F.avg("p").alias("base"))
-    lift = p.join(base, "query_id").withColumn("lift", F.col("p") / (F.col("base") + 1e-6))
-    best = Window.partitionBy("query_id").orderBy(F.round("lift", 9).desc(), "vec_id")
-    return lift.withColumn("rank", F.row_number().over(best).cast("bigint")).filter("rank <= 10").select("query_id", "vec_id", "rank", F.round("lift", 6).alias("lift"))
-
-
-def context_neighbourhood(spark, sf_dir):
-    """Themes 0 and 5 with the two nearest of each."""
-    c = G.centroids(_vecs(spark, sf_dir), "theme").select(F.col("theme").alias("id"), F.col("centroid").alias("v"))
-    edges = G.knn(c, c, 2).filter(F.col("src").isin(0, 5))
-    return edges.select(F.explode(F.array("src", "dst")).alias("theme")).distinct()
+    s = v.crossJoin(q).select("query_id", F.col("vec_id").alias("item"), V.cosine(F.col("q"), F.col("v")).alias("s"))
+    return retrieval.noisy_lift(s, 10).select("query_id", F.col("item").alias("vec_id"), "rank", F.round("score", 6).alias("lift"))
 
 
 def fact_batches(spark, sf_dir):
@@ -79,7 +65,7 @@ def spoken_times(spark, sf_dir):
     """Event times written as in dialogues, read back to the minute."""
     e = table(spark, sf_dir, "events")
     said = F.concat(F.lower(F.date_format("ts", "h:mm a")), F.lit(" on "), F.date_format("ts", "d MMMM, yyyy"))
-    return e.select("event_id", (X.dialogue_time(said) == F.date_trunc("minute", "ts").cast("timestamp_ntz")).alias("same"))
+    return e.select("event_id", F.date_format(X.dialogue_time(said), "yyyy-MM-dd HH:mm").alias("at"))
 
 
 def token_stats(spark, sf_dir):
@@ -99,19 +85,6 @@ def index_stats(spark, sf_dir):
     return d.groupBy(F.col("source").alias("user_id")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("t")).alias("tokens"), F.round(F.avg(F.size("t")), 6).alias("avg_tokens"))
 
 
-def delete_user(spark, sf_dir):
-    """What stays when one user's rows go."""
-    d = table(spark, sf_dir, "documents").filter("source <> 'src0'")
-    return d.groupBy(F.col("source").alias("user_id")).agg(F.count(F.lit(1)).alias("items"))
-
-
-def update_by_id(spark, sf_dir):
-    """Documents with the quality mark of those that are labelled in place of their length."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("n_chars"))
-    return d.join(new, "doc_id", "left_anti").unionByName(new.join(d.select("doc_id"), "doc_id", "left_semi"))
-
-
 def rouge_n(spark, sf_dir):
     """ROUGE-1 recall of each turn against the one before it."""
     return evaluation.scored(_answers(spark, sf_dir)).select("conv_id", "turn", F.round("rouge1", 6).alias("rouge1"))
@@ -122,23 +95,20 @@ _R = f"WITH e AS ({_E}), {_S}, r AS (SELECT *, row_number() OVER (PARTITION BY q
 _IT = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda t: length(t) > 1)"
 _TOK = "list_filter(regexp_split_to_array(trim(translate(lower({c}), '.,!?', '    ')), '\\s+'), lambda t: t <> '')"
 
-QUERIES = {f.__name__: f for f in (relevant_statements, norlift_rank, context_neighbourhood, fact_batches, context_lines, hydrate, attribute_sanitise, json_salvage, spoken_times, token_stats, category_report, index_stats, delete_user, update_by_id, rouge_n)}
+QUERIES = {f.__name__: f for f in (relevant_statements, norlift_rank, fact_batches, context_lines, hydrate, attribute_sanitise, json_salvage, spoken_times, token_stats, category_report, index_stats, rouge_n)}
 ORACLES = {
     "relevant_statements": f"{_R}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM r WHERE rank <= 6 AND s >= 0.25) SELECT query_id, vec_id, CAST(pos AS BIGINT) AS pos, round(s, 6) AS score FROM k WHERE pos <= 3",
     "norlift_rank": f"""WITH e AS ({_E}), {_S}, m AS (SELECT query_id, avg(s) AS m, stddev_pop(s) AS d FROM s GROUP BY query_id), p AS (SELECT s.*, 1 / (1 + exp(-(s - m) / (d + 1e-6::DOUBLE))) AS p FROM s JOIN m ON s.query_id = m.query_id),
 b AS (SELECT query_id, avg(p) AS base FROM p GROUP BY query_id), l AS (SELECT p.query_id, vec_id, p / (base + 1e-6::DOUBLE) AS lift FROM p JOIN b ON p.query_id = b.query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lift, 9) DESC, vec_id) AS rank FROM l)
 SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(lift, 6) AS lift FROM r WHERE rank <= 10""",
-    "context_neighbourhood": f"WITH {_C}, s AS (SELECT a.theme AS src, b.theme AS dst, {_P} AS sim FROM c a JOIN c b ON a.theme <> b.theme AND a.theme IN (0, 5)), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS rank FROM s), k AS (SELECT * FROM r WHERE rank <= 2 AND sim > 0) SELECT src AS theme FROM k UNION SELECT dst FROM k",
     "fact_batches": f"WITH {_M}, b AS (SELECT owner, seq, (row_number() OVER (PARTITION BY owner ORDER BY seq) - 1) // 2 AS batch FROM m) SELECT owner, CAST(batch AS BIGINT) AS batch, count(*) AS n, min(seq) AS first_seq FROM b GROUP BY owner, batch",
     "context_lines": f"WITH {_EP}, j AS (SELECT te.owner, te.episode, '- [' || strftime(t0, '%Y-%m-%d %H:%M') || '] ' || content AS line FROM te JOIN ep ON te.owner = ep.owner AND te.episode = ep.episode) SELECT owner, string_agg(line, chr(10) ORDER BY episode) AS text FROM j GROUP BY owner",
     "hydrate": f"{_R} SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, coalesce(lang, 'none') AS lang, coalesce(n_chars, 0) AS n_chars FROM r LEFT JOIN documents d ON r.vec_id = d.doc_id WHERE rank <= 3",
     "attribute_sanitise": "SELECT page_id, sha256(CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '…' ELSE t END) AS attr_sha256 FROM (SELECT page_id, trim(html) AS t FROM pages)",
     "json_salvage": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
-    "spoken_times": "SELECT event_id, true AS same FROM events",
+    "spoken_times": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS at FROM events",
     "token_stats": "SELECT count(*) AS num_questions, CAST(sum(n) AS BIGINT) AS sum_tokens, round(avg(n), 6) AS avg_tokens FROM (SELECT CAST(trunc(c / 1.5::DOUBLE + (length(text) - c) / 4.0::DOUBLE) AS INT) AS n FROM (SELECT text, length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) AS c FROM benchmark))",
     "category_report": "SELECT lang, round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())",
     "index_stats": f"SELECT source AS user_id, count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS tokens, round(avg(len(t)), 6) AS avg_tokens FROM (SELECT source, {_IT} AS t FROM documents) GROUP BY source",
-    "delete_user": "SELECT source AS user_id, count(*) AS items FROM documents WHERE source <> 'src0' GROUP BY source",
-    "update_by_id": "SELECT d.doc_id, coalesce(l.quality::BIGINT, d.n_chars) AS n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "rouge_n": f"WITH p AS (SELECT a.conv_id, a.turn, {_TOK.format(c='a.text')} AS p, {_TOK.format(c='b.text')} AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1) SELECT conv_id, turn, round(CASE WHEN len(g) = 0 THEN 0.0::DOUBLE ELSE coalesce(list_sum([least(len(list_filter(p, lambda y: y = t)), len(list_filter(g, lambda y: y = t))) for t in list_distinct(g)]), 0)::DOUBLE / len(g) END, 6) AS rouge1 FROM p",
 }

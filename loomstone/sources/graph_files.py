@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
             f.write(f'<node id="{r.node_id}"><attvalues>{values}</attvalues></node>\n')
         f.write("</nodes>\n<edges>\n")
         for i, r in enumerate(edges.select("a", "b", "kind").orderBy("a", "b").toLocalIterator()):
-            f.write(f'<edge id="{i}" source="{r.a}" target="{r.b}" kind={quoteattr(escape(r.kind))}/>\n')
+            f.write(f'<edge id="{i}" source="{r.a}" target="{r.b}" kind={quoteattr(r.kind)}/>\n')
         f.write("</edges>\n</graph></gexf>\n")
 
 

@@ -13,10 +13,14 @@ OUT = "owner long, episode long, first_seq long, last_seq long, n_messages int,
 STATE = "episode long, seqs array<long>, lines array<string>"
 
 
+#: The role of a message that is none: it ends its owner's buffer. A stream that ends sends one for each owner.
+FLUSH = "\0flush"
+
+
 def episodes(messages: DataFrame, most: int, idle_ms: int | None = None) -> DataFrame:
-    """Episodes of a stream of messages (owner, seq, role, content): cut at `most` messages, or after idle_ms without one.
+    """Episodes of a stream of messages (owner, seq, role, content): cut at `most` messages, after idle_ms without one, or by a message of the role FLUSH.
 
-    A buffer that is left when the stream ends stays in the state.
+    What is in a buffer stays in the state until one of these comes.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,6 +39,10 @@ def episodes(messages: DataFrame, most: int, idle_ms: int | None = None) -> Data
         else:
             rows = pd.concat(list(frames)).sort_values("seq")
             for m in rows.itertuples():
+                if m.role == FLUSH:
+                    if seqs:
+                        cut("flush")
+                    continue
                 if len(seqs) >= most:
                     cut("size")
                 seqs.append(int(m.seq))

@@ -39,3 +39,25 @@ def test_engine(spark, path, tmp_path):
     assert e.themes().count() == 5 and e.stats().count() == 2
     e.delete_user("Ann_0")
     assert e.stats().count() == 0
+
+
+def test_engine_buffers_and_graph(spark, tmp_path):
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    m = lambda a, b: spark.createDataFrame([(1, i, "u", f"Fact {'abcdefgh'[i] * 3} is told.", t0 + datetime.timedelta(minutes=i)) for i in range(a, b)], "owner long, seq long, role string, content string, ts timestamp_ntz")
+    with MemoryEngine(spark, f"file://{tmp_path}/store", most=3) as e:
+        e.add_messages(m(0, 4), flush=False)
+        assert [r.message_count for r in e.store.read("episodes").collect()] == [3]
+        e.add_messages(m(4, 8), flush=False)
+        assert [r.message_count for r in e.store.read("episodes").collect()] == [3, 3]
+        e.derive_facts()
+        nodes, edges = e.update_graph()
+        assert nodes == 6 + 2 + 6 + e.themes().select("theme").distinct().count() and edges == 6 + 6 + 6
+        assert e.increment("semantic").count() == 0 and e.update_graph() == (nodes, edges)
+        e.flush()
+        assert e.increment("episodes").count() == 1
+        q = spark.createDataFrame([(1, "ccc or ddd")], "query_id long, text string")
+        got = e.search_all(q, k_episodes=0, k_facts=2, method="bm25", combined=3).collect()
+        assert {r.category for r in got} == {"semantic", "combined"} and sum(r.category == "semantic" for r in got) == 2
+    assert e.store.read("episodes").count() == 3
