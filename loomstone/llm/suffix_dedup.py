@@ -45,7 +45,7 @@ class Params:
     classes: tuple[int, ...] = (20, 1)
     #: A hash with more than this part of all rows is counted by partial sums: at most the inverse of it are there.
     hot_part: float = 1 / 1000
-    hot_rows: int = 10_000
+    hot_rows: int = 1_000
 
 
 #: Bytes that are searched for anchors at a time, besides the overlap.
