@@ -29,7 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder; files under it outlive lost executors."""
     ship(spark)
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Scratch folders of this process that may still be there.
+_made: list[str] = []
+
+
+def scratch_mark() -> int:
+    return len(_made)
+
+
+def drop_scratch(spark: SparkSession, mark: int = 0) -> None:
+    """Deletes the scratch folders that were made since a mark. What an operator returned reads from them, so its rows must have been written before."""
+    jvm = spark.sparkContext._jvm
+    for at in _made[mark:]:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[mark:]
 
 
 _shipped: list[str] = []

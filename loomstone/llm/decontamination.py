@@ -122,12 +122,21 @@ class Matcher:
             self.auto.make_automaton()
         self.empty = not items
 
+    @staticmethod
+    def _covered(windows: list[tuple[int, int, int]], a: int, b: int, oldest: int) -> bool:
+        for lo, hi, hit in reversed(windows):
+            if hit < oldest:
+                return False
+            if lo <= a and b <= hi:
+                return True
+        return False
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """item_id, start, end, distance of the best place of each item that is in the text; the first of equal ones."""
         if self.empty or not text:
             return []
         low, flat = normalised(text)
-        tried: dict[Item, list[tuple[int, int]]] = {}
+        tried: dict[Item, list[tuple[int, int, int]]] = {}
         best: dict[Item, tuple[int, int, int]] = {}
         for last, (n, of) in self.auto.iter(flat):
             for item, at in of:
@@ -137,11 +146,11 @@ class Matcher:
                     if item not in best and (start == 0 or flat[start - 1] == " ") and (start + m == len(flat) or flat[start + m] == " "):
                         best[item] = (0, start, start + m)
                     continue
-                # A window already searched holds whatever this hit could be part of.
-                if any(a <= start - k and start + m + k <= b for a, b in tried.setdefault(item, [])):
+                # A window already searched holds whatever this hit could be part of. Hits come in the order of their ends, so only the last windows can.
+                if self._covered(tried.setdefault(item, []), start - k, start + m + k, last - 2 * (m + k)):
                     continue
                 lo, hi = max(0, start - 2 * k), start + m + 2 * k
-                tried[item].append((start - 2 * k, hi))
+                tried[item].append((start - 2 * k, hi, last))
                 had = best.get(item)
                 if had and had[0] == 0:
                     continue
@@ -194,7 +203,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> D
 
     The place is the best one, the first of equal ones. start and end are code points of the text. Null and empty texts hold
     nothing; rows of equal or null doc_id are searched each on its own; other
-    columns are not read. Without items the result is empty.
+    columns are not read. Without items the result is empty. A text is
+    searched whole, in time in proportion to its length however often it
+    repeats a piece.
     """
     ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

@@ -43,6 +43,17 @@ def _block_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
 
 
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, block by block; the same as _block_words gives."""
+    power, _ = _powers()
+    total, shift = 0, 1
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        total += int(((_LOWER[part].astype(np.uint64) + np.uint64(1)) * power[: len(part)]).sum(dtype=np.uint64)) * shift
+        shift = shift * pow(int(_BASE), BLOCK, 1 << 64) % (1 << 64)
+    return mix(np.array([(total + len(data)) % (1 << 64)], np.uint64))
+
+
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of all words: runs of digits, letters and non-ASCII, A-Z lower-cased."""
     if len(data) <= BLOCK:
@@ -50,13 +61,16 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, hashes, at = [], [], 0
     while at < len(data):
         to = min(at + BLOCK, len(data))
-        if to < len(data):
-            breaks = np.flatnonzero(~_IS_WORD[data[at:to]])
-            if len(breaks):
+        breaks = np.flatnonzero(~_IS_WORD[data[at:to]])
+        if to < len(data) and not len(breaks):  # a word that is longer than a block
+            while to < len(data) and not len(breaks):
+                breaks = np.flatnonzero(~_IS_WORD[data[to : to + BLOCK]])
+                to = to + int(breaks[0]) if len(breaks) else min(to + BLOCK, len(data))
+            s, h = np.zeros(1, np.int64), _long_word(data[at:to])
+        else:
+            if to < len(data):
                 to = at + int(breaks[-1]) + 1
-            else:  # a word longer than a block is hashed in blocks, as its parts
-                pass
-        s, h = _block_words(data[at:to])
+            s, h = _block_words(data[at:to])
         starts.append(s + at)
         hashes.append(h)
         at = to

@@ -30,13 +30,26 @@ class Out:
         self.fs.move(self.tmp, self.path)
 
 
-def mapped(uri: str, dtype) -> np.ndarray:
-    """A flat file as an array: memory-mapped where it is local or mounted, else read."""
+class _Ranges:
+    """A flat file in a store: a slice reads its bytes and no others."""
+
+    def __init__(self, fs, path: str, size: int, dtype):
+        self.f, self.dtype = fs.open_input_file(path), np.dtype(dtype)
+        self.n = size // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        i, j, _ = at.indices(self.n)
+        one = self.dtype.itemsize
+        return np.frombuffer(self.f.read_at(max(0, j - i) * one, i * one), self.dtype)
+
+
+def mapped(uri: str, dtype):
+    """A flat file to take slices of: memory-mapped where it is local or mounted, else read range by range."""
     fs, path = open_fs(uri)
     size = fs.get_file_info(path).size
     if not size:
         return np.empty(0, dtype)
-    if fs.type_name == "local":
-        return np.memmap(path, dtype, "r")
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    return np.memmap(path, dtype, "r") if fs.type_name == "local" else _Ranges(fs, path, size, dtype)

@@ -31,6 +31,8 @@ class Params:
     end_id: int = 2
     #: Documents that are encoded together.
     step: int = 256
+    #: Bytes of input, as its files have them, for each shard; there are as many as shuffle partitions at least.
+    shard_bytes: int = 256 << 20
 
 
 _SHARD = "shard long, documents long, ids long"
@@ -69,12 +71,15 @@ def write_tokens(docs: DataFrame, root: str, p: Params = Params()) -> dict:  # n
 
     A null text is empty; a null doc_id comes last; rows of equal doc_id are
     in the order of the input. An empty table has shards without documents.
-    The range shuffle deals (doc_id, row) pairs, so no key is too large.
+    The range shuffle deals (doc_id, row) pairs, so no key is too large. A
+    very long text is encoded whole.
     """
     spark = docs.sparkSession
     path = public_path(p.tokenizer)
     d = keyed(docs, scratch(spark, "tokens"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Without statistics the planner says a size near 2^63; partitions are then what the session has.
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // p.shard_bytes) if size < 1 << 60 else 0)
     order = [F.col("doc_id").asc_nulls_last(), F.col("rk").asc()]
     placed = d.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     # One row a shard comes to the driver.
@@ -96,7 +101,7 @@ def read_index(root: str) -> dict:
         return json.loads(f.read())
 
 
-def _reader(root: str, dtype: str, step: int = 4096):
+def _reader(root: str, dtype: str, step: int = 512):
     def read(batches):
         for batch in batches:
             for shard in batch.to_pylist():
@@ -105,7 +110,8 @@ def _reader(root: str, dtype: str, step: int = 4096):
                 for i in range(0, len(docs), step):
                     j = min(i + step, len(docs))
                     at = offsets[i : j + 1].astype(np.int64)
-                    crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    part, first = ids[int(at[0]) : int(at[-1])], int(at[0])
+                    crc = [zlib.crc32(part[a - first : b - first].astype("<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.asarray(docs[i:j]), mask=np.asarray(null[i:j], bool)), pa.array(at[:-1] + shard["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],

@@ -10,8 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
-from loomstone.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, suffix_dedup, suffix_groups, token_files, tokens
+from loomstone.llm import decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, shingles, storage, suffix_dedup, suffix_groups, token_files, tokens
 from loomstone.llm.common import scratch
 
 R = random.Random(7)
@@ -619,3 +620,121 @@ def test_knapsack_prices_best_pattern():
         top, columns = packing._priced(value[lengths], lengths, demand, size)
         assert abs(top - best(size)) < 1e-9 and abs(value[lengths] @ columns[:, 0] - top) < 1e-9
         assert (lengths @ columns <= size).all() and (columns.sum(axis=1) > 0).all()
+
+
+def test_words_of_any_length(monkeypatch):
+    """Equal words have equal hashes wherever blocks end, and starts are right."""
+    r = random.Random(9)
+    text = " ".join("".join(r.choices("abé", k=r.choice([1, 3, 8, 40, 200]))) for _ in range(300))
+    data = np.frombuffer((text + "  " + "z" * 500 + "." + text).encode(), np.uint8)
+    want = shingles.words(data)
+    shingles._tables.clear()
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    got = shingles.words(data)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    shingles._tables.clear()
+
+
+def test_near_duplicates_of_long_texts(spark):
+    long = prose(220_000, 12)  # over a block
+    w = long.split()
+    word = "x" * 1_200_000
+    texts = [(1, long), (2, " ".join([*w[:100], "new", *w[101:]])), (3, f"a b {word} c d e f"), (4, f"{'q ' * 300}a b {word} c d e f"), (5, f"{word} a b c d e f g"), (6, f"A, {word} a b c d e f g")]
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), near_duplicates.Params(similarity=0.6)).collect()}
+    assert got[2] == 1 and got[6] == 5 and got[3] == 3
+
+
+def test_recall_of_near_pairs(spark):
+    """Pairs of a similarity from 0.8 to 0.85, with the default bands."""
+    r = random.Random(14)
+    texts = []
+    for i in range(400):
+        w = prose(150, 7000 + i).split()
+        v = list(w)
+        for k in range(0, 150, 50):
+            v[k + r.randint(0, 45)] = f"changed{i}x{k}"
+        texts += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    gram = lambda t: {tuple(x) for x in zip(*(t.split()[k:] for k in range(5)), strict=False)}
+    near = [i for i in range(400) if 0.8 <= len(a := gram(texts[2 * i][1]) & gram(texts[2 * i + 1][1])) / len(gram(texts[2 * i][1]) | gram(texts[2 * i + 1][1])) <= 0.85 and a]
+    got = {x.doc_id: x.class_id for x in near_duplicates.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in near)
+    assert len(near) > 100 and found >= 0.99 * len(near)
+
+
+def test_decontamination_finds_all_within_budget(spark):
+    """Against the edit distance of every item to every stretch of every text, by plain code."""
+
+    def least(p, t):
+        last = [0] * (len(t) + 1)
+        for i, c in enumerate(p):
+            row = [i + 1]
+            for j, x in enumerate(t):
+                row.append(min(last[j] + (c != x), last[j + 1] + 1, row[j] + 1))
+            last = row
+        return min(last)
+
+    r = random.Random(15)
+    items = [(i, prose(r.randint(6, 12), 400 + i)) for i in range(8)]
+    texts = []
+    for k in range(60):
+        body = r.choice(items)[1]
+        for _ in range(r.randint(0, 8)):
+            at = r.randrange(len(body))
+            body = body[:at] + r.choice(["", "q", body[at] + "w"]) + body[at + 1 :]
+        texts.append((k, f"{prose(5, 800 + k)} {body} {prose(5, 900 + k)}"))
+    p = decontamination.Params()
+    flat = lambda t: decontamination.normalised(t)[1].strip()
+    want = {}
+    for k, t in texts:
+        for i, x in items:
+            d = least(flat(x), flat(t))
+            if d <= int(p.rate * len(flat(x))):
+                want[k, i] = d
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in decontamination.find_items(d, b).collect()}
+    assert got == want and len({x for x in want.values()}) > 2
+    assert {x.doc_id for x in decontamination.decontaminated(d, b).collect()} == {k for k, _ in texts} - {k for k, _ in want}
+
+
+def test_decontamination_of_repeated_pieces():
+    """A text that repeats one piece takes time in proportion to its length."""
+    item = decontamination.Item(1, prose(30, 77).lower(), 10)
+    piece = item.pieces()[3][0]
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        t = time.time()
+        decontamination.Matcher([item]).find(f"{piece} " * n)
+        took.append(time.time() - t)
+    assert took[1] < 30 * max(took[0], 0.05)
+
+
+def test_files_by_ranges(tmp_path):
+    (tmp_path / "x").write_bytes(np.arange(100, dtype="<u2").tobytes())
+    fs, path = storage.open_fs(f"file://{tmp_path}/x")
+    r = storage._Ranges(fs, path, 200, "<u2")
+    assert len(r) == 100 and r[10:13].tolist() == [10, 11, 12] and r[98:400].tolist() == [98, 99] and r[5:5].tolist() == []
+
+
+def test_other_long_texts(spark):
+    """Very long texts of one word, one line, and many words, through the remaining operators."""
+    rows = [(1, "w" * 2_000_000), (2, "a b " * 200_000 + "MIT License"), (3, prose(60, 3))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.base_labels) for r in license_scan.license_scan(d).collect()} == {1: (1, ""), 2: (400_002, "mit"), 3: (60, "")}
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_rules(d.withColumn("source", F.lit("s"))).collect()}
+    assert got == {1: (1, 0, True), 2: (400_002, 400_000, True), 3: (60, got[3][1], got[3][2])}
+    tok = tokens.encoder(tokens.public_path()).tok
+    root = scratch(spark, "t")
+    token_files.write_tokens(d.filter("doc_id > 1"), root)
+    n = {r.doc_id: r.n_tokens for r in token_files.read_tokens(spark, root).collect()}
+    want = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows[1:]}
+    assert n == want
+    pieces = packing.pack(d.filter("doc_id > 1")).collect()
+    assert packed(pieces, 1024)[0] == want
+
+
+def test_sanitise_keeps_rows_apart(spark):
+    rows = [(None, "mail a@b.cd now"), (None, "call +1 (555) 010-9999 now"), (3, None), (3, "plain")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r.text for r in pii.sanitise(d).collect()) == Counter(["mail [EMAIL] now", "call [PHONE] now", "", "plain"])

@@ -5,6 +5,7 @@ import string
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +76,36 @@ def test_packing_has_all(stages):
     for r in stages[4].collect():
         n[r.doc_id][0] += r.length
     assert set(n) == docs and all(a == b for a, b in n.values())
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, empty and very long texts, an empty table, and extra columns with clashing names."""
+    import corpus_pipeline
+
+    words = [f"word{i % 97}x{i * i % 89}" for i in range(400)]
+    clean = " ".join(words[:120])
+    rows = [(None, None, None, None, None), (1, clean, "en", None, 5), (1, clean, "en", None, 5), (None, clean + " more", None, "s", 5), (2, "", "en", "s", 0), (3, " ".join(f"{w}{i}" for i, w in enumerate(words * 2000)), "en", "s", 1), (4, "\n".join([clean] * 3), "en", "s", 9)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for k, data in enumerate((rows, [])):
+        docs = spark.createDataFrame(data, kind)
+        for j, (name, f) in enumerate(corpus_pipeline.STAGES):
+            d = docs.withColumns({"rk": F.lit(1), "owner": F.lit("x"), "_host": F.lit(2), "text_": F.lit(3)}) if j < 4 else docs
+            out = f(spark, d, SF)
+            out.write.parquet(f"{tmp_path}/{k}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}/{name}")
+            if j < 4:
+                assert set(kind.replace(",", "").split()[::2]) == set(docs.columns)
+                if data and j == 3:
+                    assert docs.count() >= 2 and docs.filter("doc_id = 3").count() == 1
+        assert (docs.count() > 0) == bool(data)
+
+
+def test_run_leaves_no_scratch(spark):
+    import corpus_pipeline
+    from loomstone.llm import common
+
+    mark = common.scratch_mark()
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.count() > 0
+    left = [x for x in common._made[mark:]]
+    assert len(left) <= 4
