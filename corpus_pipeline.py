@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import decontamination, line_dedup, near_duplicates, packing, quality_rules
-from loomstone.llm.common import keyed, scratch
+from loomstone.llm.common import drop_scratch, keyed, scratch, scratch_mark
 
 #: The columns of documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in a row over documents; the last one's rows."""
+    """The stages in a row over documents; the last one's rows. What a stage wrote besides its rows is deleted once these are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
+        mark = scratch_mark()
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        drop_scratch(spark, mark)
         docs = spark.read.parquet(f"{root}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
