@@ -47,8 +47,10 @@ class Params:
     templates: dict = field(default_factory=lambda: TEMPLATES)
     #: Words of a gram of the templates; phrases take 2, the words of the shortest.
     k: int = 4
-    #: Diagonals at most so far from the next lower one join its span.
+    #: Diagonals at most so far from the next lower one join its span...
     gap: int = 3
+    #: ...and also, as a second way, those at most this part of the template's words away: a stretch put in the middle.
+    wide: float = 0.2
     #: Part of a template's grams that a span must have.
     coverage: float = 0.6
 
@@ -94,12 +96,14 @@ def license_scan(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B
         .groupBy("rk", "doc_id", "n_words", "kind", "template", "label", "words", "diagonal")
         .agg(F.collect_set("j").alias("js"))
     )
-    along = Window.partitionBy("rk", "doc_id", "n_words", "kind", "template", "label", "words").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("kind") == "phrase", 0).otherwise(p.gap), F.lit(True))
+    wide = F.floor(F.col("words") * p.wide).cast("int")
+    votes = votes.withColumn("gap", F.explode(F.when(F.col("kind") == "phrase", F.array(F.lit(0))).otherwise(F.array_distinct(F.array(F.lit(p.gap), F.greatest(F.lit(p.gap), wide))))))
+    along = Window.partitionBy("rk", "doc_id", "n_words", "kind", "template", "label", "words", "gap").orderBy("diagonal")
+    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.col("gap"), F.lit(True))
     spans = (
         votes.withColumn("far", far.cast("int"))
         .withColumn("span", F.sum("far").over(along))
-        .groupBy("rk", "doc_id", "n_words", "kind", "template", "label", "words", "span")
+        .groupBy("rk", "doc_id", "n_words", "kind", "template", "label", "words", "gap", "span")
         .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.array_distinct(F.flatten(F.collect_list("js"))).alias("js"))
     )
     k = F.when(F.col("kind") == "phrase", 2).otherwise(p.k)
@@ -114,7 +118,7 @@ def license_scan(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B
         join_sorted(F.collect_set(F.when(whole, F.col("label")))).alias("base_labels"),
         join_sorted(F.collect_set(F.when(whole | near, F.col("label")))).alias("labels"),
         F.coalesce(F.round(F.max(F.when(whole | near, F.col("coverage"))), 6), F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(whole | near, F.struct("label", "kind", "start", "end", "coverage")))).alias("spans"),
+        F.array_sort(F.collect_set(F.when(whole | near, F.struct("label", "kind", "start", "end", "coverage")))).alias("spans"),
     )
     return found.drop("rk")
 
@@ -135,11 +139,11 @@ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHI
 places AS (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (VALUES (2), (4)) ks(k) WHERE len(w) >= k),
 dg AS (SELECT doc_id, k, i - 1 AS p, {_G} AS g FROM places),
 votes AS (SELECT DISTINCT doc_id, kind, id, label, words, tg.k, p - j AS diagonal, j FROM dg JOIN tg ON dg.g = tg.g AND dg.k = tg.k),
-diagonals AS (SELECT doc_id, kind, id, label, words, k, diagonal, CASE WHEN diagonal - lag(diagonal) OVER a <= CASE kind WHEN 'phrase' THEN 0 ELSE 3 END THEN 0 ELSE 1 END AS far
-  FROM (SELECT DISTINCT doc_id, kind, id, label, words, k, diagonal FROM votes) WINDOW a AS (PARTITION BY doc_id, kind, id ORDER BY diagonal)),
-numbered AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, kind, id ORDER BY diagonal) AS span FROM diagonals),
-spans AS (SELECT n.doc_id, n.kind, n.id, n.label, n.words, n.k, n.span, count(DISTINCT v.j) * 1.0::DOUBLE / (n.words - n.k + 1) AS coverage, min(n.diagonal) + min(v.j) AS s, max(n.diagonal) + max(v.j) + n.k AS e
-  FROM numbered n JOIN votes v ON n.doc_id = v.doc_id AND n.kind = v.kind AND n.id = v.id AND n.diagonal = v.diagonal GROUP BY n.doc_id, n.kind, n.id, n.label, n.words, n.k, n.span),
+gaps AS (SELECT DISTINCT doc_id, kind, id, label, words, k, diagonal, unnest(CASE kind WHEN 'phrase' THEN [0] ELSE list_distinct([3, greatest(3, CAST(floor(words * 0.2::DOUBLE) AS INT))]) END) AS gap FROM votes),
+diagonals AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER a <= gap THEN 0 ELSE 1 END AS far FROM gaps WINDOW a AS (PARTITION BY doc_id, kind, id, gap ORDER BY diagonal)),
+numbered AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, kind, id, gap ORDER BY diagonal) AS span FROM diagonals),
+spans AS (SELECT n.doc_id, n.kind, n.id, n.label, n.words, n.k, n.gap, n.span, count(DISTINCT v.j) * 1.0::DOUBLE / (n.words - n.k + 1) AS coverage, min(n.diagonal) + min(v.j) AS s, max(n.diagonal) + max(v.j) + n.k AS e
+  FROM numbered n JOIN votes v ON n.doc_id = v.doc_id AND n.kind = v.kind AND n.id = v.id AND n.diagonal = v.diagonal GROUP BY n.doc_id, n.kind, n.id, n.label, n.words, n.k, n.gap, n.span),
 ok AS (SELECT *, kind = 'phrase' AS base FROM spans WHERE kind = 'phrase' AND coverage >= 1 OR kind = 'template' AND coverage >= 0.6 AND e - s <= 2 * words),
 f AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM ok GROUP BY doc_id)

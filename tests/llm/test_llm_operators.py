@@ -77,6 +77,14 @@ def test_license_near_template(spark):
     assert {r.doc_id: r.labels for r in license_scan.license_scan(d).collect()} == {1: "mit", 2: ""}
 
 
+def test_license_with_words_put_in(spark):
+    """A stretch in the middle moves the second half to a far diagonal."""
+    t = license_scan.TEMPLATES["mit"].split()
+    rows = [(n, " ".join([*t[:26], *(f"put{i}" for i in range(n)), *t[26:]])) for n in (0, 3, 4, 8, 40)]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "mit", 3: "mit", 4: "mit", 8: "mit", 40: ""}
+
+
 def test_lines(docs, empty):
     key = lambda x: x.strip(" \t\n\x0b\f\r").translate(LOWER)
     owner = {}
