@@ -29,10 +29,12 @@ def topk(post: DataFrame, queries: DataFrame, group: list[str], k: int, k1: floa
     """query_id, doc, rank, score: BM25 sums over query tokens (repeated ones count again), cut to k, then score > 0.
 
     queries: group..., query_id, tokens. Only postings of the query terms are
-    joined, after the statistics are reduced to those terms.
+    joined, after the statistics are reduced to those terms. post is read
+    three times, so it should be a written table.
     """
     docs = post.select(*group, "doc", "dl").distinct()
-    stats = docs.groupBy(*group).agg(F.avg("dl").alias("avgdl"))
+    # The sum of all term frequencies is that of the lengths.
+    stats = post.groupBy(*group).agg((F.sum("tf") / F.count_distinct("doc")).alias("avgdl"))
     asked = queries.select(*group, "query_id", F.explode("tokens").alias("term")).groupBy(*group, "query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = idf(post, docs, group).join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi")
     p = post.join(terms, [*group, "term"])

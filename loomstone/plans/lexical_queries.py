@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import text as X
 from loomstone.operators import fusion, lexical
 from loomstone.plans.vector_queries import _COS, vec_topk_cosine
+from loomstone.sources.store import scratch, written
 from loomstone.sources.tables import table
 
 
@@ -35,12 +36,13 @@ def token_estimate(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc", X.token_estimate(F.col("text")).alias("n_tokens"))
 
 
-def _post(spark, sf_dir, group):
-    return lexical.postings(_docs(spark, sf_dir), X.index_tokens(F.col("text")), group)
+def _post(spark, sf_dir, group, tokens=X.index_tokens):
+    """The postings, written: lengths, document frequencies and scores all read them, and texts are tokenised once."""
+    return written(lexical.postings(_docs(spark, sf_dir), tokens(F.col("text")), group), scratch(spark, "postings"))
 
 
 def bm25_postings(spark, sf_dir):
-    return _post(spark, sf_dir, []).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return lexical.postings(_docs(spark, sf_dir), X.index_tokens(F.col("text")), []).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
 def bm25_idf(spark, sf_dir):
@@ -81,7 +83,7 @@ def hybrid_rrf(spark, sf_dir):
     """BM25 over index tokens and over raw tokens, fused."""
     a = lexical.topk(_post(spark, sf_dir, []), _asked(spark, sf_dir), [], 20).select("query_id", F.col("doc").alias("item"), "rank")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.raw_tokens(F.col("text")).alias("tokens"))
-    b = lexical.topk(lexical.postings(_docs(spark, sf_dir), X.raw_tokens(F.col("text")), []), asked, [], 20).select("query_id", F.col("doc").alias("item"), "rank")
+    b = lexical.topk(_post(spark, sf_dir, [], X.raw_tokens), asked, [], 20).select("query_id", F.col("doc").alias("item"), "rank")
     return _round(fusion.reciprocal_rank([a, b], 10), "fused_score")
 
 
