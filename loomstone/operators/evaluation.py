@@ -162,6 +162,17 @@ def key_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), "[\\s\u00a0\u2000-\u200a\u202f\u3000]+", " "))
 
 
+def token_totals(questions: DataFrame, tokens: Column) -> DataFrame:
+    """One row: num_questions, sum_tokens, avg_tokens; zeros without any."""
+    d = questions.select(tokens.alias("n")).agg(F.count(F.lit(1)).alias("num_questions"), F.coalesce(F.sum("n"), F.lit(0)).alias("sum_tokens"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 6).alias("avg_tokens"))
+    return d
+
+
+def by_category(records: DataFrame, category: str, metrics: list[str]) -> DataFrame:
+    """category (null: all records), the means of metrics to four digits, n."""
+    return records.rollup(category).agg(*(F.round(F.avg(m), 4).alias(m) for m in metrics), F.count(F.lit(1)).alias("n"))
+
+
 def aggregate(scores: DataFrame, metric: str = "metric", value: str = "value", category: str = "category") -> DataFrame:
     """metric, category (null: all), mean, std (sample; 0 of one), median, min, max, count."""
     d = scores.select(metric, category, value)

@@ -12,6 +12,12 @@ def postings(docs: DataFrame, tokens: Column, group: list[str]) -> DataFrame:
     return d.select(*group, "doc", "dl", F.explode("tokens").alias("term")).groupBy(*group, "doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def statistics(docs: DataFrame, tokens: Column, group: list[str]) -> DataFrame:
+    """group..., docs, tokens, avg_tokens of an index; documents without tokens count as documents."""
+    n = F.size("_t")
+    return docs.select(*group, tokens.alias("_t")).groupBy(*group).agg(F.count(F.lit(1)).alias("docs"), F.sum(n).alias("tokens"), F.round(F.avg(n), 6).alias("avg_tokens"))
+
+
 def idf(post: DataFrame, docs: DataFrame, group: list[str], eps: float = 0.25) -> DataFrame:
     """group..., term, df, idf. A negative idf becomes eps times the mean of the raw ones in its group.
 

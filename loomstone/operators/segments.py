@@ -115,6 +115,12 @@ def by_size(messages: DataFrame, most: int, least: int = 1, drop_short: bool = T
     return d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("owner", "episode"))).filter(F.col("_n") >= least).drop("_n")
 
 
+def batched(rows: DataFrame, size: int, by: str = "owner", order: str = "seq") -> DataFrame:
+    """rows with batch (from 0): so many of an owner in order, the last one shorter."""
+    w = Window.partitionBy(by).orderBy(order)
+    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+
+
 def by_boundary(messages: DataFrame, boundary: Column) -> DataFrame:
     """messages with episode: a running count of boundaries; the first message of an owner never is one."""
     order = Window.partitionBy("owner").orderBy("seq")

@@ -190,7 +190,10 @@ def hier_search(spark, sf_dir, uncertainty=providers.constant_uncertainty):
     of = e.select(F.col("id").alias("fact"), F.col("theme").cast("long").alias("theme"))
     facts = pool.join(of, "fact").join(chosen.select("query_id", F.col("item").alias("theme")), ["query_id", "theme"], "left_semi").select("query_id", F.col("fact").alias("item"), "score")
     near = G.knn(e, e)
-    best = written(A.pick(facts, near, 20), f"{root}/best")
+    picked = A.pick(facts, near, 20)
+    # A query whose themes leave no fact has its nearest one.
+    lonely = pool.filter("rank = 1").join(picked.select("query_id").distinct(), "query_id", "left_anti")
+    best = written(picked.unionByName(lonely.select("query_id", F.col("fact").alias("item"), F.lit(1).cast("long").alias("step"))), f"{root}/best")
     episode = (F.col("id") % 97).cast("bigint").alias("episode")
     sources = e.select(F.col("id").alias("fact"), episode)
     vectors = G.centroids(e.select("id", "v", episode), "episode").select("episode", F.col("centroid").alias("v"))
@@ -201,7 +204,8 @@ def hier_search(spark, sf_dir, uncertainty=providers.constant_uncertainty):
     question = F.concat(F.lit("query "), F.col("query_id").cast("string"))
     probes = probes.join(context, "query_id").withColumns({"question": question, "text": F.concat(F.lit("episode "), F.col("episode").cast("string"))})
     episodes = A.gate(written(A.information_gain(probes, uncertainty), f"{root}/gains"))
-    row = lambda d, kind, item, rank: d.select("query_id", F.lit(kind).alias("kind"), F.col(item).cast("long").alias("item"), F.col(rank).cast("long").alias("rank"))
+    # Every row counts alike, so the score is 1; an episode says whether its messages are to be shown too.
+    row = lambda d, kind, item, rank: d.select("query_id", F.lit(kind).alias("kind"), F.col(item).cast("long").alias("item"), F.col(rank).cast("long").alias("rank"), F.lit(1.0).alias("score"), (F.col("expand") if kind == "episodic" else F.lit(None).cast("boolean")).alias("expand"))
     return row(chosen, "theme", "item", "step").unionByName(row(best, "semantic", "item", "step")).unionByName(row(episodes, "episodic", "episode", "rank"))
 
 
@@ -211,6 +215,11 @@ def theme_build(spark, sf_dir):
     return themes.build_themes(providers.embedded(d, "text", "v").select("user_id", "fact", "v"))
 
 
+def theme_counts(spark, sf_dir):
+    """Facts of each user in all themes of the build."""
+    return themes.theme_counts(theme_build(spark, sf_dir)).select("user_id", "facts")
+
+
 def semantic_dedup(spark, sf_dir):
     """Facts that repeat an accepted one of their theme."""
     e = _vecs(spark, sf_dir).select(F.lit("all").alias("user_id"), F.col("theme").alias("kind"), F.col("id").alias("fact"), "v")
@@ -298,7 +307,7 @@ QUERIES = {
     for f in (
         vec_distance_metrics, vec_normalize, knn_graph_full, knn_graph_incremental, threshold_pairs, threshold_components, theme_centroids, theme_mean_intra, theme_cohesion, theme_objective, theme_assign_step,
         theme_merge_candidates, semantic_dup_pairs, segment_by_size, segment_by_gap, conversation_text, episode_fallback, episode_validate, buffer_stats, buffer_eviction, upsert_absent, hier_pool,
-        hier_candidate_themes, hier_episode_priority, ig_gate, hier_search, theme_build, semantic_dedup, graph_build, graph_report, graph_upsert, theme_consistency, qa_f1, metric_aggregate, run_compare,
+        hier_candidate_themes, hier_episode_priority, ig_gate, hier_search, theme_build, theme_counts, semantic_dedup, graph_build, graph_report, graph_upsert, theme_consistency, qa_f1, metric_aggregate, run_compare,
     )
 }
 ORACLES = {
@@ -337,6 +346,7 @@ l AS (SELECT *, ig <= -0.40::DOUBLE AS low, sum((ig <= -0.40::DOUBLE)::INT) OVER
 z AS (SELECT *, min(CASE WHEN low AND (rank <= 3 OR lows >= 2 AND rank <= 10) OR NOT low AND picked >= 6 THEN rank END) OVER (PARTITION BY query_id) AS stop FROM l),
 k AS (SELECT *, NOT low AND (stop IS NULL OR rank <= stop) AS ok FROM z), y AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS chosen FROM k)
 SELECT query_id, episode, rank, ok AND ig > 0.25::DOUBLE AS expand FROM y WHERE ok OR NOT chosen AND rank = 1""",
+    "theme_counts": "SELECT source AS user_id, count(*) AS facts FROM documents GROUP BY source",
     "graph_build": "SELECT 'abstracted_by' AS kind, count(*) AS edges, count(DISTINCT n_nationkey) AS firsts FROM nation UNION ALL SELECT 'supports', count(*), count(DISTINCT c_custkey) FROM customer UNION ALL SELECT 'belongs_to', count(*), count(DISTINCT o_custkey) FROM orders",
     "graph_report": """WITH n AS (SELECT 'r' || r_regionkey AS node, 3 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 2 FROM nation UNION ALL SELECT 'c' || c_custkey, 1 FROM customer UNION ALL SELECT 'o' || o_orderkey, 0 FROM orders),
 e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
 from loomstone.functions import vectors as V
-from loomstone.operators import evaluation, retrieval
+from loomstone.operators import evaluation, lexical, retrieval, segments
 from loomstone.operators.vector_search import topk
 from loomstone.plans.memory_queries import _EP, _E, _M, _P, _answers, _episodes, _messages
 from loomstone.plans.vector_queries import _sides
@@ -31,9 +31,7 @@ def norlift_rank(spark, sf_dir):
 
 def fact_batches(spark, sf_dir):
     """Messages of an owner in batches of 2."""
-    w = Window.partitionBy("owner").orderBy("seq")
-    d = _messages(spark, sf_dir).withColumn("batch", F.floor((F.row_number().over(w) - 1) / 2).cast("bigint"))
-    return d.groupBy("owner", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    return segments.batched(_messages(spark, sf_dir), 2).groupBy("owner", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
 def context_lines(spark, sf_dir):
@@ -70,19 +68,18 @@ def spoken_times(spark, sf_dir):
 
 def token_stats(spark, sf_dir):
     """Sums and means of token estimates over all questions."""
-    t = table(spark, sf_dir, "benchmark").select(X.token_estimate(F.col("text")).alias("n"))
-    return t.agg(F.count(F.lit(1)).alias("num_questions"), F.sum("n").alias("sum_tokens"), F.round(F.avg("n"), 6).alias("avg_tokens"))
+    return evaluation.token_totals(table(spark, sf_dir, "benchmark"), X.token_estimate(F.col("text")))
 
 
 def category_report(spark, sf_dir):
     """Means by language and over all."""
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return d.rollup("lang").agg(F.round(F.avg("quality"), 4).alias("quality"), F.round(F.avg("toxic"), 4).alias("toxic"), F.count(F.lit(1)).alias("n"))
+    return evaluation.by_category(d, "lang", ["quality", "toxic"])
 
 
 def index_stats(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("t", X.index_tokens(F.col("text")))
-    return d.groupBy(F.col("source").alias("user_id")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("t")).alias("tokens"), F.round(F.avg(F.size("t")), 6).alias("avg_tokens"))
+    d = table(spark, sf_dir, "documents").withColumnRenamed("source", "user_id")
+    return lexical.statistics(d, X.index_tokens(F.col("text")), ["user_id"])
 
 
 def rouge_n(spark, sf_dir):
