@@ -93,7 +93,7 @@ def _words() -> Column:
     """Hashes of the text's different words of four letters or more; a word that touches an entity, which only e-mails have letters for, is none."""
     t = F.col("text")
     bare = F.when(t.contains("@"), F.regexp_replace(F.regexp_replace(t, _patterns(t)["email"][0], MARK), rf"(?<!\p{{L}})\p{{L}}*+(?:{MARK}\p{{L}}*+)+", " ")).otherwise(t)
-    return F.transform(F.filter(F.array_distinct(F.split(F.lower(bare), r"[^\p{L}]+")), lambda w: F.length(w) >= 4), lambda w: F.xxhash64(w))
+    return F.transform(F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}{4,}+"), F.lit(0))), lambda w: F.xxhash64(w))
 
 
 def _sketch(p: Params) -> Column:
@@ -124,8 +124,8 @@ def _apart(met: DataFrame, sketches: DataFrame, p: Params, root: str) -> DataFra
 
 def _document_counts(d: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     """term, n_term: documents of the corpus that hold the word, of the wanted terms and few others; the rest of the corpus's words are not shuffled."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    each = d.select(F.explode(words).alias("w")).filter(F.length("w") >= 4).select(F.xxhash64("w").alias("term"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}+"), F.lit(0)))
+    each = d.select(F.explode(words).alias("w")).select(F.xxhash64("w").alias("term"))
     return maybe_in(each, F.col("term"), bit_filter(wanted, F.col("term"), p.filter_bits), p.filter_bits, "some").filter("some").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 

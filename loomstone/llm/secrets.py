@@ -66,7 +66,7 @@ def corpus_samples(found: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     """
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     secret = found.filter((F.col("kind").isin(1, 2)) | ((F.col("kind") == 0) & mixed)).select("value")
-    words = docs.select(F.explode(F.array_distinct(F.split(text_of(docs), "[^A-Za-z_]+"))).alias("value")).filter((F.length("value") >= p.min_word) & ~F.col("value").rlike(f"[A-Za-z]{{{p.min_length}}}")).groupBy("value").agg(F.lit(1).alias("one")).select("value")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_of(docs), F.lit(f"[A-Za-z_]{{{p.min_word},}}+"), F.lit(0)))).alias("value")).filter(~F.col("value").rlike(f"[A-Za-z]{{{p.min_length}}}")).groupBy("value").agg(F.lit(1).alias("one")).select("value")
     # Letters within a base match are no ordinary word.
     within = found.filter("kind < 3").select(F.explode(F.split("value", "[^A-Za-z_]+")).alias("value")).distinct()
     return secret.distinct().withColumn("random", F.lit(True)).unionByName(words.join(within, "value", "left_anti").withColumn("random", F.lit(False)))
