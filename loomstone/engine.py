@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import providers
@@ -78,15 +78,35 @@ class MemoryEngine:
     def _columns(self, kind: str) -> list[str]:
         return self.spark.createDataFrame([], SCHEMAS[kind]).columns
 
-    def derive_facts(self) -> None:
-        """Sentences of the messages of all episodes as facts, user by user in one plan; those whose text a user's fact has are left out."""
+    def derive_facts(self, extract: providers.FactExtractor | None = None, dedup_above: float = 1.0) -> None:
+        """Sentences of the messages of all episodes as facts, user by user in one plan; those whose text a user's fact has are left out.
+
+        extract may give other statements (user_id, episode_id, pos,
+        statement), episode_id being a message's. Below 1, facts whose cosine
+        with an earlier one of their user is above dedup_above are left out too.
+        """
         e = self.store.read("episodes")
         m = e.select("user_id", "created_at", F.col("episode_id").alias("of"), F.explode("original_messages").alias("m")).select("user_id", "created_at", "of", F.col("m.message_id").alias("episode_id"), F.col("m.content").alias("content"))
-        s = providers.statements(m).join(m.drop("content"), "episode_id")
+        said = providers.statements(m).select("episode_id", "content") if extract is None else extract(m).select("episode_id", F.trim("statement").alias("content")).filter("content <> ''")
+        s = said.join(m.drop("content"), "episode_id")
         first = s.groupBy("user_id", X.statement_key(F.col("content")).alias("k")).agg(F.min(F.struct("created_at", "content")).alias("f"), F.collect_set("of").alias("source_episodes"))
         null = lambda t: F.lit(None).cast(t)
         rows = first.select(F.sha2(F.concat_ws("\0", "user_id", "k"), 256).alias("memory_id"), "user_id", "f.content", F.lit("knowledge").alias("knowledge_type"), "f.created_at", null("string").alias("updated_at"), F.array_sort("source_episodes").alias("source_episodes"), F.lit(0.8).alias("confidence"), null("map<string,string>").alias("metadata"), F.array().cast("array<string>").alias("tags"), F.lit(1).alias("revision_count"))
-        self.store.add_absent("semantic", rows.select(*self._columns("semantic")))
+        self.store.add_absent("semantic", self._without_near(rows.select(*self._columns("semantic")), dedup_above))
+
+    def _without_near(self, rows: DataFrame, above: float) -> DataFrame:
+        """New facts without those that are near an earlier one of their user and type, stored or new; the oldest come first."""
+        if above >= 1:
+            return rows
+        old = self.store.read("semantic")
+        new = written(rows.join(old.select("memory_id"), "memory_id", "left_anti").select(*rows.columns), scratch(self.spark, "facts"))
+        columns = ["memory_id", "user_id", "knowledge_type", "content", "created_at"]
+        every = old.select(*columns, F.lit(0).alias("late")).unionByName(new.select(*columns, F.lit(1).alias("late")))
+        order = Window.partitionBy("user_id").orderBy("late", "created_at", "memory_id")
+        every = written(every.withColumn("fact", F.row_number().over(order).cast("long")), scratch(self.spark, "ordered"))
+        v = providers.embedded(every.select("user_id", F.col("knowledge_type").alias("kind"), "fact", "content"), "content", "v", self.embed)
+        near = themes.greedy_dedup(v.select("user_id", "kind", "fact", "v"), above).filter("duplicate_of is not null").select("user_id", "fact")
+        return new.join(every.join(near, ["user_id", "fact"]).select("memory_id"), "memory_id", "left_anti").select(*rows.columns)
 
     def increment(self, kind: str) -> DataFrame:
         """The rows of a kind that were not consumed yet."""

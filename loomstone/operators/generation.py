@@ -35,7 +35,7 @@ def prompt(use: str, **fields: str) -> str:
 
 def salvaged(answer: str | None) -> dict | None:
     """The JSON object of a model's answer: all of it, inside a code fence, the first balanced {...} that can be read, or first { to last }."""
-    t = (answer or "").strip()
+    t = spoken(answer)
     tries = [t]
     if t.startswith("```"):
         tries.append(t.split("\n", 1)[-1].rsplit("```", 1)[0])
@@ -57,6 +57,24 @@ def salvaged(answer: str | None) -> dict | None:
     return None
 
 
+def spoken(answer: str | None) -> str:
+    """An answer without the thoughts that some models put before it, up to the last closing mark, and without white space around."""
+    return (answer or "").rsplit("</think>", 1)[-1].strip()
+
+
+def asked_text(model: Callable[[str, float], str], request: str, tries: int = 3, temperature: float = 0.2, wait: float = 0.0) -> str:
+    """What a model answers in words: asked again where it fails or says nothing; then empty."""
+    for k in range(max(1, tries)):
+        try:
+            if said := spoken(model(request, temperature)):
+                return said
+        except Exception:
+            pass
+        if wait:
+            time.sleep(wait * 2**k)
+    return ""
+
+
 def asked_json(model: Callable[[str, float], str], request: str, default: dict, tries: int = 3, temperature: float = 0.2, wait: float = 0.0) -> dict:
     """The JSON object that a model answers: asked again, a tenth warmer each time up to one half, then the default."""
     for k in range(max(1, tries)):

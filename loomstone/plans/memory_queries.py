@@ -45,6 +45,12 @@ def knn_graph_incremental(spark, sf_dir):
     return _round(G.knn(e.filter("theme = 9"), e), "sim")
 
 
+def theme_knn(spark, sf_dir):
+    """The nearest themes of each theme by centroid, all anew."""
+    c = G.centroids(_vecs(spark, sf_dir), "theme").select(F.col("theme").cast("long").alias("id"), F.col("centroid").alias("v"))
+    return _round(G.knn(c, c, 3), "sim")
+
+
 def threshold_pairs(spark, sf_dir):
     return _round(G.pairs_above(_vecs(spark, sf_dir), 0.35), "sim")
 
@@ -305,7 +311,7 @@ _TOK = "list_filter(regexp_split_to_array(trim(translate(lower({c}), '.,!?', '
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_distance_metrics, vec_normalize, knn_graph_full, knn_graph_incremental, threshold_pairs, threshold_components, theme_centroids, theme_mean_intra, theme_cohesion, theme_objective, theme_assign_step,
+        vec_distance_metrics, vec_normalize, knn_graph_full, knn_graph_incremental, theme_knn, threshold_pairs, threshold_components, theme_centroids, theme_mean_intra, theme_cohesion, theme_objective, theme_assign_step,
         theme_merge_candidates, semantic_dup_pairs, segment_by_size, segment_by_gap, conversation_text, episode_fallback, episode_validate, buffer_stats, buffer_eviction, upsert_absent, hier_pool,
         hier_candidate_themes, hier_episode_priority, ig_gate, hier_search, theme_build, theme_counts, semantic_dedup, graph_build, graph_report, graph_upsert, theme_consistency, qa_f1, metric_aggregate, run_compare,
     )
@@ -315,6 +321,7 @@ ORACLES = {
     "vec_normalize": f"WITH e AS ({_E}), n AS (SELECT id, v, sqrt(list_sum([x * x for x in v])) AS n FROM e) SELECT id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS length, round(v[1] / n, 6) AS first FROM n",
     "knn_graph_full": _KNN.format(w=""),
     "knn_graph_incremental": _KNN.format(w=" AND a.theme = 9"),
+    "theme_knn": f"WITH {_C}, s AS (SELECT a.theme AS src, b.theme AS dst, {_P} AS sim FROM c a JOIN c b ON a.theme <> b.theme), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS rank FROM s) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 3 AND sim > 0",
     "threshold_pairs": _PAIRS.format(e=_E, p=_P, t=">= 0.35"),
     "threshold_components": f"WITH RECURSIVE e AS ({_E}), p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id WHERE {_P} >= 0.35), w AS (SELECT id, id AS c FROM e UNION SELECT p.b, w.c FROM w JOIN p ON w.id = p.a) SELECT id, min(c) AS component FROM w GROUP BY id",
     "theme_centroids": f"WITH {_C} SELECT theme, n, CAST(i AS INT) AS i, round(x, 6) AS x FROM cd",

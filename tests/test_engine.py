@@ -61,3 +61,17 @@ def test_engine_buffers_and_graph(spark, tmp_path):
         got = e.search_all(q, k_episodes=0, k_facts=2, method="bm25", combined=3).collect()
         assert {r.category for r in got} == {"semantic", "combined"} and sum(r.category == "semantic" for r in got) == 2
     assert e.store.read("episodes").count() == 3
+
+
+def test_engine_leaves_near_facts_out(spark, tmp_path):
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    said = ["The red apples are sweet.", "Trains run on rails.", "The red apples are sweet!!", "Rivers carry much water."]
+    m = spark.createDataFrame([(1, i, "u", t, t0 + datetime.timedelta(minutes=i)) for i, t in enumerate(said)], "owner long, seq long, role string, content string, ts timestamp_ntz")
+    e = MemoryEngine(spark, f"file://{tmp_path}/store", least=1)
+    e.add_messages(m.filter("seq < 2"))
+    e.derive_facts(dedup_above=0.8)
+    e.add_messages(m.filter("seq >= 2"))
+    e.derive_facts(dedup_above=0.8)
+    assert sorted(r.content for r in e.store.read("semantic").collect()) == sorted([said[0], said[1], said[3]])

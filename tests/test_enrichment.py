@@ -56,6 +56,12 @@ def test_json_answers():
     assert "Ann" in generation.prompt("summary", facts="Ann") and all(json.dumps(p) for p in generation.PROMPTS.values())
 
 
+def test_spoken():
+    assert generation.spoken("<think>a {</think> Yes. ") == "Yes." and generation.salvaged('<think>{"x": 1}</think>{"a": 2}') == {"a": 2}
+    left = ["", None, "Yes."]
+    assert generation.asked_text(lambda r, t: left.pop(0), "q") == "Yes." and generation.asked_text(lambda r, t: 1 / 0, "q") == ""
+
+
 def test_json_marker(spark):
     got = [r.x for r in spark.createDataFrame([('{"a": 1} or {b',), ("none",)], "t string").select(X.json_or_marker(F.col("t")).alias("x")).collect()]
     assert [json.loads(x) for x in got] == [{"a": 1}, {"error": "no_json"}]
