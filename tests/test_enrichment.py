@@ -163,3 +163,28 @@ def test_greedy_dedup(spark):
         if not hit:
             kept[u, k].append(i)
     assert {x.fact: x.duplicate_of for x in themes.greedy_dedup(d, 0.8).collect()} == want and any(x is not None for x in want.values())
+
+
+def test_clusters_and_axis(monkeypatch):
+    r = np.random.default_rng(2)
+    near = themes._unit(np.array([1.0, 0, 0]) + 0.05 * r.normal(size=(30, 3)))
+    far = themes._unit(np.array([0, 1.0, 0]) + 0.05 * r.normal(size=(5, 3)))
+    v = np.concatenate([near, far])
+    p = themes.Params()
+    got = themes.linked(list(range(35)), v, p)
+    assert sorted(x for t in got for x in t) == list(range(35)) and max(map(len, got)) <= p.most and set(range(30, 35)) in [set(t) for t in got]
+    assert themes.linked([0, 31], v, p) == [[0, 31]]  # few facts are one cluster
+    cut = themes.by_first_axis(list(range(35)), v, p)
+    assert [len(t) for t in cut] == [12, 12, 11] and (set(range(30, 35)) <= set(cut[0]) or set(range(30, 35)) <= set(cut[-1]))
+
+    def fails(*a, **k):
+        raise np.linalg.LinAlgError
+
+    monkeypatch.setattr(np.linalg, "svd", fails)
+    assert sorted(x for t in themes.by_first_axis(list(range(35)), v, p) for x in t) == list(range(35))
+
+
+def test_context_of_split():
+    v = np.eye(4)
+    p = themes.Params(context=1)
+    assert themes._context([0], [[1], [0, 2], [3]], v, p) == [[0, 2]] and themes._context([0], [[1]], v, p) == [[1]]

@@ -33,3 +33,11 @@ def test_gexf(spark, tmp_path):
     n, e = read_gexf(spark, f"file://{tmp_path}/g.gexf")
     assert {r.node_id: r["values"] for r in n.collect()} == {1: {"0": "2", "1": 'a "q" <b>'}, 2: {"0": "3"}}
     assert [tuple(r) for r in e.collect()] == [(1, 2, "supports")]
+
+
+def test_gexf_marks(spark, tmp_path):
+    nodes = spark.createDataFrame([(1, 0, 'a "b" & <c>'), (2, 1, None)], "node_id long, level int, text string")
+    edges = spark.createDataFrame([(1, 2, "is & <has>")], "a long, b long, kind string")
+    write_gexf(nodes, edges, f"{tmp_path}/g.gexf")
+    n, e = read_gexf(spark, f"{tmp_path}/g.gexf")
+    assert {r.node_id: r["values"].get("1") for r in n.collect()} == {1: 'a "b" & <c>', 2: None} and e.first().kind == "is & <has>"
