@@ -70,6 +70,8 @@ def license_scan(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B
     from 0. A null text is empty; an empty text has no words, empty labels and
     score 0. Rows with equal or null doc_id are scanned each on its own. Other
     columns of docs are not read. score is the best coverage, 1 for a phrase.
+    A very long text is scanned whole; its words are one row's array, its
+    grams go straight into the join, and only hits are shuffled.
     Words are lower-cased by the JVM; the phrases have no letter that any
     non-ASCII letter lower-cases to, so this equals lower-casing A-Z alone.
     """

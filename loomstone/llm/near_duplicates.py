@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa
     sets at or above the similarity; n_linked_docs counts these sets' rows.
     A text of fewer words than an n-gram has one gram, of all its words. One
     without words, or null, is alone. Rows of equal or null doc_id are rows of
-    their own. Other columns are not read.
+    their own. Other columns are not read. A very long text is hashed whole,
+    in blocks that end between words; a word of any length has one hash.
     """
     spark = docs.sparkSession
     root = scratch(spark, "near")

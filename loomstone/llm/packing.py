@@ -294,7 +294,8 @@ def pack(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows of equal or null doc_id
-    are documents of their own. Other columns of docs are not read. Sequence
+    are documents of their own. Other columns of docs are not read. A very
+    long text fills sequences of its own, but for its rest. Sequence
     ids are dense: first those of patterns, then cut ones, then whole pieces
     of long documents.
     """

@@ -171,7 +171,8 @@ def find_pii(docs: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
 
     A null text is empty and has no spans. Rows of equal or null doc_id stay
     apart and count as documents of their own, but near copies are one context.
-    Other columns are not read. Term spans may not touch an entity.
+    Other columns are not read. Term spans may not touch an entity. A very
+    long text is searched whole, in time in proportion to its length.
     """
     root = scratch(docs.sparkSession, "pii")
     return _find(keyed(docs, root), p, root)

@@ -117,7 +117,8 @@ def find_secrets(docs: DataFrame, p: Params = Params(), samples: DataFrame | Non
     """One row per row of docs: rk, doc_id, base and spans, sorted arrays of (start, kind, end); kind is the place in KINDS.
 
     A null text is empty and has no spans; rows of equal or null doc_id stay
-    apart; other columns are not read. Spans of kind random do not touch base
+    apart; other columns are not read. A very long text is searched whole, in
+    time in proportion to its length. Spans of kind random do not touch base
     ones. samples (value string, random boolean) are what the models are
     trained from; those of the corpus where it is not given.
     """
