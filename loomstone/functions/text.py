@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def index_tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and _, longer than one character."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}+"), F.lit(0))
 
 
 def raw_tokens(text: Column) -> Column:

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def postings(docs: DataFrame, tokens: Column, group: list[str]) -> DataFrame:
-    """group..., doc, term, tf, dl; documents without tokens are not there."""
-    d = docs.select(*group, "doc", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    """group..., doc, term, tf, dl; documents without tokens are not there.
+
+    Documents are dealt by id before they are taken apart, so their terms are
+    counted where they are: texts are shuffled, not the far larger postings.
+    """
+    d = docs.repartition("doc").select(*group, "doc", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
     return d.select(*group, "doc", "dl", F.explode("tokens").alias("term")).groupBy(*group, "doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -38,7 +38,7 @@ def _against(asked: DataFrame, known: DataFrame, judge, same: str | None = None)
     if not n_a:
         return asked.sparkSession.createDataFrame([], f"src {kind.simpleString()}, dst {kind.simpleString()}, sim double")
     a, k = (d.filter(F.size("v") == size) for d in (a, k))
-    blocks_a, blocks_k = -(-n_a // BLOCK), max(1, -(-k.count() // BLOCK))
+    blocks_a, blocks_k = -(-n_a // BLOCK), max(1, -(-(n_a if known is asked else k.count()) // BLOCK))
     dealt = lambda d, own, n, other, m: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     a, k = dealt(a, "_a", blocks_a, "_k", blocks_k), dealt(k, "_k", blocks_k, "_a", blocks_a)
 
