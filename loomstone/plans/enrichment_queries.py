@@ -160,7 +160,10 @@ def search_methods(spark, sf_dir):
 
 
 def _categories(spark, sf_dir, combined):
-    return retrieval.categorised({"episodic": (_cos(spark, sf_dir, 4), 4), "semantic": (_l2(spark, sf_dir, 4).withColumn("score", 1 / (1 - F.col("score"))), 3), "none": (_cos(spark, sf_dir, 4), 0)}, combined)
+    # Rounded, as equal scores of both kinds would be ordered by their last digits.
+    near = _round(_cos(spark, sf_dir, 4), "score")
+    other = _round(_l2(spark, sf_dir, 4).withColumn("score", 1 / (1 - F.col("score"))), "score")
+    return retrieval.categorised({"episodic": (near, 4), "semantic": (other, 3), "none": (near, 0)}, combined)
 
 
 def search_categories(spark, sf_dir):
@@ -290,7 +293,7 @@ _L2S = f"{_R.replace('r AS', 'l AS').replace('FROM s)', 'FROM m)')}"
 _MAN = "m AS (SELECT a.id AS query_id, b.id AS item, -list_sum([abs(x[1] - x[2]) for x in list_zip(a.v[1:8], b.v[1:8])]) AS s FROM e a JOIN e b ON a.id % 50 = 0)"
 _BOTH = f"{_COSS}, {_MAN}, {_L2S}"
 _RRF = "f AS (SELECT query_id, item, sum(1.0::DOUBLE / (60 + rank)) AS s, min(list * 1000 + rank) AS seen FROM (SELECT query_id, item, rank, 0 AS list FROM l WHERE rank <= 10 UNION ALL SELECT query_id, item, rank, 1 FROM r WHERE rank <= 10) GROUP BY 1, 2), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, seen, item) AS rank FROM f)"
-_CATS = "c AS (SELECT 'episodic' AS kind, query_id, item, CAST(rank AS BIGINT) AS rank, s AS score FROM r WHERE rank <= 4 UNION ALL SELECT 'semantic', query_id, item, CAST(rank AS BIGINT), 1 / (1 - s) FROM l WHERE rank <= 3)"
+_CATS = "c AS (SELECT 'episodic' AS kind, query_id, item, CAST(rank AS BIGINT) AS rank, round(s, 6) AS score FROM r WHERE rank <= 4 UNION ALL SELECT 'semantic', query_id, item, CAST(rank AS BIGINT), round(1 / (1 - s), 6) FROM l WHERE rank <= 3)"
 _TOK = "list_filter(regexp_split_to_array(trim(translate(lower({c}), '.,!?', '    ')), '\\s+'), lambda t: t <> '')"
 _PAIRS = f"p AS (SELECT a.conv_id, a.turn, a.text AS pt, b.text AS gt, {_TOK.format(c='a.text')} AS a, {_TOK.format(c='b.text')} AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
 _GRAM = "[array_to_string({x}[i:i + {n} - 1], chr(1)) for i in generate_series(1, len({x}) - {n} + 1)]"
