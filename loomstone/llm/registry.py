@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import alignment, decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, suffix_dedup, token_files
+from loomstone.llm import alignment, attention_quality, decontamination, license_scan, line_dedup, near_duplicates, packing, pii, quality_rules, secrets, suffix_dedup, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_token_files": token_files.op9_token_files,
     "op10_secrets": secrets.op10_secrets,
+    "op11_quality_classifier": attention_quality.op11_quality_classifier,
     "op12_token_alignment": alignment.op12_token_alignment,
 }
 ORACLES = {
