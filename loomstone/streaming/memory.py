@@ -20,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from loomstone.operators.segments import Detector, judged_boundary
+from loomstone.shipping import ship
 from loomstone.streaming.buffers import FLUSH
 
 _HEAD = "episode long, last_seq long, last_us long"
@@ -127,6 +128,7 @@ class _Buffers(StatefulProcessor):
 def _run(messages: DataFrame, whole: bool, schema: str, detect: Detector | None, most: int, exclude_over: int | None, idle: timedelta | None, late: str | None, ttl: timedelta | None) -> DataFrame:
     if ttl is not None and late is not None:
         raise ValueError("state of limited life needs processing time")
+    ship(messages.sparkSession)
     at = F.col("ts").cast("timestamp") if "ts" in messages.columns else F.lit(0).cast("timestamp")
     d = messages.select("owner", "seq", "role", "content", F.unix_micros(at).alias("us"), *([at.alias("at")] if late is not None else []))
     if late is not None:
@@ -145,7 +147,8 @@ def judged(messages: DataFrame, detect: Detector | None = None, most: int = 25,
     the next message or, if none comes, by a timer: of event time where late
     (the watermark's delay) is given, else of the clock. ttl: an owner's
     state goes so long after its last change, episode count included. A
-    message of the role FLUSH ends the buffer and is in no episode.
+    stream that watches the clock runs until it is stopped: the availableNow
+    trigger never sees its end. A message of the role FLUSH ends the buffer and is in no episode.
     """
     types = dict(messages.dtypes)
     return _run(messages, False, f"owner {types['owner']}, seq long, episode long, should_end boolean, confidence double, reason string", detect, most, exclude_over, idle, late, ttl)

@@ -21,13 +21,17 @@ class Stream:
     def __init__(self, spark, root, f, **settings):
         self.spark, self.root, self.f, self.settings = spark, f"file://{root}", f, settings
 
-    def run(self, rows):
+    def run(self, rows, clock=False):
+        """clock: the stream runs on, as it waits for times of the clock, and is stopped once the rows are through."""
         d = rows if hasattr(rows, "write") else self.spark.createDataFrame(rows, SCHEMA)
         d.write.mode("append").parquet(f"{self.root}/in")
         with memory.rocksdb_state(self.spark):
             out = self.f(self.spark.readStream.schema(SCHEMA).parquet(f"{self.root}/in"), **self.settings)
-            q = out.writeStream.format("parquet").option("path", f"{self.root}/out").option("checkpointLocation", f"{self.root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-            q.awaitTermination()
+            q = out.writeStream.format("parquet").option("path", f"{self.root}/out").option("checkpointLocation", f"{self.root}/checkpoint").outputMode("append").trigger(**({"processingTime": "1 second"} if clock else {"availableNow": True})).start()
+            end = time.time() + 40
+            while clock and time.time() < end and not any(p["numInputRows"] for p in q.recentProgress):
+                time.sleep(0.2)
+            q.stop() if clock else q.awaitTermination()
         return self.spark.read.parquet(f"{self.root}/out")
 
     def open(self):
@@ -94,9 +98,9 @@ def test_idle_by_event_time(spark, tmp_path):
 
 def test_state_of_limited_life(spark, tmp_path):
     s = Stream(spark, tmp_path, memory.judged, most=2, ttl=timedelta(seconds=3))
-    s.run([(1, i, "u", "a", T0) for i in range(5)])
+    s.run([(1, i, "u", "a", T0) for i in range(5)], clock=True)
     time.sleep(4)
-    rows = sorted((r.seq, r.episode) for r in s.run([(1, 5, "u", "a", T0)]).collect())
+    rows = sorted((r.seq, r.episode) for r in s.run([(1, 5, "u", "a", T0)], clock=True).collect())
     assert rows == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 0)]
     with pytest.raises(ValueError):
         memory.judged(spark.createDataFrame([], SCHEMA), late="1 minute", ttl=timedelta(seconds=3))
