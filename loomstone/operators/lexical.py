@@ -28,7 +28,11 @@ def idf(post: DataFrame, docs: DataFrame, group: list[str], eps: float = 0.25) -
     docs has a row for each indexed document: group..., doc, dl.
     """
     size = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"))
-    df = post.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
+    return idf_of(post.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df")), size, group, eps)
+
+
+def idf_of(df: DataFrame, size: DataFrame, group: list[str], eps: float = 0.25) -> DataFrame:
+    """idf() from kept counts: df (group..., term, df) and size (group..., n_docs)."""
     raw = (df.join(size, group) if group else df.crossJoin(F.broadcast(size))).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*group).agg(F.avg("raw").alias("mean"))  # a row for each group
     j = raw.join(mean, group) if group else raw.crossJoin(F.broadcast(mean))
@@ -45,8 +49,13 @@ def topk(post: DataFrame, queries: DataFrame, group: list[str], k: int, k1: floa
     docs = post.select(*group, "doc", "dl").distinct()
     # The sum of all term frequencies is that of the lengths.
     stats = post.groupBy(*group).agg((F.sum("tf") / F.count_distinct("doc")).alias("avgdl"))
+    return ranked(post, idf(post, docs, group), stats, queries, group, k, k1, b)
+
+
+def ranked(post: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, group: list[str], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """topk() from kept statistics: terms (group..., term, idf) and stats (group..., avgdl)."""
     asked = queries.select(*group, "query_id", F.explode("tokens").alias("term")).groupBy(*group, "query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = idf(post, docs, group).join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi")
+    terms = terms.join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi")
     p = post.join(terms, [*group, "term"])
     p = p.join(stats, group) if group else p.crossJoin(F.broadcast(stats))
     p = p.withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
