@@ -7,21 +7,36 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import providers
 from loomstone.functions import text as X
-from loomstone.operators import fusion, hierarchy, lexical, retrieval, segments, themes
+from loomstone.functions import vectors as V
+from loomstone.operators import hierarchy, retrieval, segments, themes
 from loomstone.operators import vector_graph as G
 from loomstone.operators import vector_search as VS
 from loomstone.runtime import Settings
-from loomstone.sources.store import KEYS, SCHEMAS, Repository, Store, scratch, written
+from loomstone.shipping import ship
+from loomstone.sources.delta_store import DeltaStore
+from loomstone.sources.deltas import Deltas
+from loomstone.sources.lexical_index import LexicalIndex
+from loomstone.sources.store import KEYS, SCHEMAS, Repository, scratch, written
 
 
 class MemoryEngine:
-    """Everything lazy is a DataFrame; what changes the store runs at once. The store may be any repository."""
+    """Everything lazy is a DataFrame; what changes the store runs at once. The store may be any repository.
+
+    All state is under root: the store, messages that wait in buffers, the
+    batches taken, what was consumed, the graph and the lexical indexes. A
+    new engine on the same root goes on where the last one ended. One writer
+    at a time.
+    """
 
     def __init__(self, spark: SparkSession, root: str, embed: providers.Embedder = providers.hashed_trigrams, most: int = 25, least: int = 2, store: Repository | None = None):
-        self.spark, self.store, self.embed, self.most, self.least = spark, store or Store(spark, root), embed, most, least
-        self._pending: DataFrame | None = None
-        self._consumed: dict[str, DataFrame] = {}
-        self._graph: tuple[DataFrame, DataFrame] | None = None
+        root = root.rstrip("/")
+        ship(spark)
+        self.spark, self.store, self.embed, self.most, self.least = spark, store or DeltaStore(spark, root), embed, most, least
+        self._buffer = Deltas(spark, f"{root}/buffer", "key string, owner string, seq long, role string, content string, ts timestamp_ntz", "key", kinds=("row", "batch"))
+        self._consumed = {kind: Deltas(spark, f"{root}/consumed/{kind}", "key string", "key") for kind in ("episodes", "semantic")}
+        self._nodes = Deltas(spark, f"{root}/graph/nodes", "node_id long, level int, raw_id string, text string", "node_id")
+        self._edges = Deltas(spark, f"{root}/graph/edges", "edge string, a string, b string, relation string", "edge")
+        self._index = {kind: LexicalIndex(spark, f"{root}/index/{kind}") for kind in ("episodes", "semantic")}
 
     @classmethod
     def configured(cls, spark: SparkSession, root: str, settings: Settings, **more) -> MemoryEngine:
@@ -39,22 +54,48 @@ class MemoryEngine:
 
     def flush(self) -> None:
         """Episodes of what is left in all buffers; rests of fewer than `least` messages are lost."""
-        if self._pending is not None:
-            d, self._pending = self._pending, None
-            self._take(segments.by_size(d, self.most, self.least))
-
-    def add_messages(self, messages: DataFrame, flush: bool = True) -> None:
-        """Episodes of messages (owner, seq, role, content, ts): buffers cut by size. Without flush the rests wait for the next messages."""
-        d = messages.select("owner", "seq", "role", "content", "ts")
-        d = d if self._pending is None else self._pending.unionByName(d)
-        self._pending = None
-        if flush:
-            self._take(segments.by_size(d, self.most, self.least))
+        held = self._buffer.read()
+        if held.limit(1).take(1):
+            self._take(segments.by_size(held.drop("key"), self.most, self.least))
+            self._buffer.write(None, held)
+            self._buffer.merge()
+
+    def taken(self, batch: str) -> bool:
+        """Whether a batch of messages was taken."""
+        return bool(self._buffer.read("batch").filter(F.col("key") == batch).limit(1).take(1))
+
+    def add_messages(self, messages: DataFrame, flush: bool = True, batch: str | None = None) -> None:
+        """Episodes of messages (owner, seq, role, content, ts): buffers cut by size. Without flush the rests wait for the next messages.
+
+        batch names these messages: a name that was taken before changes
+        nothing. Episodes are stored by the hash of what they say, and buffers
+        and the batch's name change together after them, so a call that dies
+        and is repeated with its name gives what one call gives.
+        """
+        if batch is not None and self.taken(batch):
             return
-        d = written(d, scratch(self.spark, "buffers"))
-        rest = segments.left_over(d, self.most)
-        self._take(segments.by_size(d, self.most).join(rest.select("owner", "seq"), ["owner", "seq"], "left_anti"))
-        self._pending = rest.drop("episode")
+        d = messages.select(F.col("owner").cast("string").alias("owner"), F.col("seq").cast("long").alias("seq"), "role", "content", F.col("ts").cast("timestamp_ntz").alias("ts"))
+        root = scratch(self.spark, "buffers")
+        d = written(d, f"{root}/new")
+        held = self._buffer.read()
+        if not flush:
+            # Other owners' buffers stay as they are.
+            held = held.join(d.select("owner").distinct(), "owner", "left_semi")
+        held = written(held, f"{root}/held")
+        every = held.drop("key").unionByName(d)
+        marks = {} if batch is None else {"batch": self.spark.createDataFrame([(batch,)], "key string")}
+        if flush:
+            self._take(segments.by_size(every, self.most, self.least))
+        else:
+            rest = segments.left_over(every, self.most)
+            self._take(segments.by_size(every, self.most).join(rest.select("owner", "seq"), ["owner", "seq"], "left_anti"))
+            marks["row"] = rest.withColumn("key", F.concat_ws("\0", "owner", "seq"))
+        self._buffer.write(marks, held)
+        self._buffer.merge()
+
+    def sink(self, stream: DataFrame, name: str):
+        """A writer of a stream of messages: each of its batches is taken once, however often it is tried. The caller sets checkpoint and trigger and starts it."""
+        return stream.writeStream.foreachBatch(lambda d, i: self.add_messages(d, flush=False, batch=f"{name}:{i}"))
 
     def _take(self, cut: DataFrame) -> None:
         e = segments.fallback_episodes(cut, ["owner", "episode"])
@@ -74,6 +115,7 @@ class MemoryEngine:
             }
         )
         self.store.add_absent("episodes", rows.select(*self._columns("episodes")))
+        self.refresh_index("episodes")
 
     def _columns(self, kind: str) -> list[str]:
         return self.spark.createDataFrame([], SCHEMAS[kind]).columns
@@ -93,6 +135,7 @@ class MemoryEngine:
         null = lambda t: F.lit(None).cast(t)
         rows = first.select(F.sha2(F.concat_ws("\0", "user_id", "k"), 256).alias("memory_id"), "user_id", "f.content", F.lit("knowledge").alias("knowledge_type"), "f.created_at", null("string").alias("updated_at"), F.array_sort("source_episodes").alias("source_episodes"), F.lit(0.8).alias("confidence"), null("map<string,string>").alias("metadata"), F.array().cast("array<string>").alias("tags"), F.lit(1).alias("revision_count"))
         self.store.add_absent("semantic", self._without_near(rows.select(*self._columns("semantic")), dedup_above))
+        self.refresh_index("semantic")
 
     def _without_near(self, rows: DataFrame, above: float) -> DataFrame:
         """New facts without those that are near an earlier one of their user and type, stored or new; the oldest come first."""
@@ -108,18 +151,35 @@ class MemoryEngine:
         near = themes.greedy_dedup(v.select("user_id", "kind", "fact", "v"), above).filter("duplicate_of is not null").select("user_id", "fact")
         return new.join(every.join(near, ["user_id", "fact"]).select("memory_id"), "memory_id", "left_anti").select(*rows.columns)
 
+    def _entities(self, kind: str) -> DataFrame:
+        """user_id, doc (hash of the key), text of a kind."""
+        key, text = ("memory_id", F.col("content")) if kind == "semantic" else ("episode_id", F.concat_ws(" ", "title", "content"))
+        return self.store.read(kind).select("user_id", F.xxhash64(key).alias("doc"), text.alias("text"))
+
+    def refresh_index(self, kind: str) -> None:
+        """Brings the kept index of a kind in line with the store: only what is new is tokenised, what is gone there goes here."""
+        index, here = self._index[kind], self._entities(kind)
+        lost = index.documents().join(here.select("doc"), "doc", "left_anti")
+        if lost.limit(1).take(1):
+            index.delete(lost)
+        index.add(here)
+        index.merge()
+
     def increment(self, kind: str) -> DataFrame:
         """The rows of a kind that were not consumed yet."""
-        d = self.store.read(kind)
-        return hierarchy.unconsumed(d, self._consumed[kind], KEYS[kind]) if kind in self._consumed else d
+        return hierarchy.unconsumed(self.store.read(kind), self._consumed[kind].read().withColumnRenamed("key", KEYS[kind]), KEYS[kind])
 
-    def consume(self, kind: str) -> None:
-        """From now on increment() gives later rows only."""
-        self._consumed[kind] = written(self.store.read(kind).select(KEYS[kind]), scratch(self.spark, "consumed"))
+    def consume(self, kind: str, rows: DataFrame | None = None) -> None:
+        """From now on increment() gives later rows only: those besides rows, by default besides all that it gives now."""
+        rows = self.increment(kind) if rows is None else rows
+        self._consumed[kind].write(rows.select(F.col(KEYS[kind]).alias("key")))
+        self._consumed[kind].merge()
 
     def update_graph(self) -> tuple[int, int]:
         """Takes what was not consumed into the graph of messages, episodes, facts and themes; the numbers of all nodes and edges."""
-        e, f = self.increment("episodes"), self.increment("semantic")
+        root = scratch(self.spark, "graph")
+        # What is consumed at the end is what was seen here, though others may add meanwhile.
+        e, f = (written(self.increment(kind), f"{root}/{kind}") for kind in ("episodes", "semantic"))
         messages = F.transform("original_messages", lambda m: m["message_id"])
         t = self.themes().select(F.concat_ws(":", "user_id", F.col("theme").cast("string")).alias("theme_id"), "fact")
         t = t.join(self.store.read("semantic").select(F.xxhash64("memory_id").alias("fact"), "memory_id"), "fact").groupBy("theme_id").agg(F.collect_list("memory_id").alias("semantic_ids"))
@@ -127,13 +187,23 @@ class MemoryEngine:
         m = e.select(F.explode("original_messages").alias("m"))
         new = node(m, 0, F.col("m.message_id"), F.col("m.content")).unionByName(node(e, 1, F.col("episode_id"), F.col("title"))).unionByName(node(f, 2, F.col("memory_id"), F.col("content"))).unionByName(node(t, 3, F.col("theme_id"), F.lit("")))
         edges = hierarchy.increment_edges(e.select("episode_id", messages.alias("message_ids")), f.select("memory_id", "source_episodes"), t)
-        root = scratch(self.spark, "graph")
-        old = self._graph or (self.spark.createDataFrame([], "node_id long, level int, raw_id string, text string"), self.spark.createDataFrame([], "a string, b string, kind string"))
-        both = old[1].select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", F.lit(-1).alias("seq")).unionByName(edges)
-        self._graph = written(hierarchy.upsert_nodes(old[0], new), f"{root}/nodes"), written(hierarchy.simple_edges(both), f"{root}/edges")
-        for kind in ("episodes", "semantic"):
-            self.consume(kind)
-        return self._graph[0].count(), self._graph[1].count()
+        old_nodes, old_edges = self._nodes.read(), self._edges.read()
+        nodes = written(hierarchy.upsert_nodes(old_nodes, new), f"{root}/nodes")
+        both = old_edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("relation").alias("kind"), F.lit(-1).alias("seq")).unionByName(edges)
+        simple = written(hierarchy.simple_edges(both).select(F.concat_ws("\0", "a", "b").alias("edge"), "a", "b", F.col("kind").alias("relation")), f"{root}/edges")
+        # Only what is new or changed is written; a repeated call finds nothing, as ids stay with their raw ids.
+        for deltas, rows, old in ((self._nodes, nodes, old_nodes), (self._edges, simple, old_edges)):
+            same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in deltas.columns]
+            changed = rows.alias("n").join(old.alias("o"), same, "left_anti")
+            deltas.write(changed, changed)
+            deltas.merge()
+        for kind, seen in (("episodes", e), ("semantic", f)):
+            self.consume(kind, seen)
+        return nodes.count(), simple.count()
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        """nodes (node_id, level, raw_id, text) and edges (a, b, kind) as the last update left them."""
+        return self._nodes.read(), self._edges.read().select("a", "b", F.col("relation").alias("kind"))
 
     def neighbours(self, k: int = 10) -> DataFrame:
         """src, dst, rank, sim: the nearest facts of each fact that was not consumed, among all."""
@@ -150,23 +220,29 @@ class MemoryEngine:
         f = self.store.read("semantic").select("user_id", F.xxhash64("memory_id").alias("fact"), "content")
         return themes.build_themes(providers.embedded(f, "content", "v", self.embed).select("user_id", "fact", "v"))
 
-    def search(self, queries: DataFrame, kind: str = "semantic", method: str = "hybrid", k: int = 10) -> DataFrame:
-        """query_id, item (hash of the row's key), rank, score for queries (query_id, text); method bm25, vector or hybrid."""
-        if method not in ("bm25", "vector", "hybrid"):
-            raise ValueError(f"unknown method: {method}")
-        key, text = ("memory_id", F.col("content")) if kind == "semantic" else ("episode_id", F.concat_ws(" ", "title", "content"))
-        d = self.store.read(kind).select(F.xxhash64(key).alias("doc"), text.alias("text"))
-        most = k if method != "hybrid" else 2 * k
-        if method != "vector":
+    def search(self, queries: DataFrame, kind: str = "semantic", method: str = "hybrid", k: int = 10, strict: bool = True) -> DataFrame:
+        """query_id, item (hash of the row's key), rank, score for queries (query_id, text) by a method of retrieval.METHODS; another one is an error, or hybrid if not strict."""
+        d = self._entities(kind)
+        if not self._index[kind].deltas.folders():
+            self.refresh_index(kind)
+
+        def words(most: int) -> DataFrame:
             asked = queries.select("query_id", X.index_tokens(F.col("text")).alias("tokens"))
-            words = lexical.topk(lexical.postings(d, X.index_tokens(F.col("text")), []), asked, [], most).select("query_id", F.col("doc").alias("item"), "rank", "score")
-        if method != "bm25":
+            return self._index[kind].search(asked, most).select("query_id", F.col("doc").alias("item"), "rank", "score")
+
+        def vectors() -> tuple[DataFrame, DataFrame]:
             q = providers.embedded(queries, "text", "q", self.embed).select("query_id", "q")
-            v = providers.embedded(d, "text", "v", self.embed).select(F.col("doc").alias("vec_id"), "v")
-            near = VS.topk(q, v, most, min_score=0.1).select("query_id", F.col("vec_id").alias("item"), "rank", "score")
-        if method == "hybrid":
-            return fusion.reciprocal_rank([words, near], k).withColumnRenamed("fused_score", "score")
-        return words if method == "bm25" else near
+            return q, providers.embedded(d, "text", "v", self.embed).select(F.col("doc").alias("vec_id"), "v")
+
+        def near(most: int) -> DataFrame:
+            return VS.topk(*vectors(), most, min_score=0.1).select("query_id", F.col("vec_id").alias("item"), "rank", "score")
+
+        def lift(most: int) -> DataFrame:
+            q, v = vectors()
+            # The stated query set meets all rows.
+            return retrieval.noisy_lift(v.crossJoin(q).select("query_id", F.col("vec_id").alias("item"), V.cosine(F.col("q"), F.col("v")).alias("s")), most)
+
+        return retrieval.dispatched(method, words, near, k, lift, strict)
 
     def stats(self) -> DataFrame:
         """kind, user_id, items, chars, first, last."""
@@ -175,3 +251,5 @@ class MemoryEngine:
 
     def delete_user(self, user_id: str) -> None:
         self.store.delete_user(user_id)
+        for kind in self._index:
+            self.refresh_index(kind)
