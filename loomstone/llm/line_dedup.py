@@ -8,6 +8,10 @@ anti-join) is new and becomes part of the batch's own run. Before a batch,
 full levels are compacted: `fanout` runs are merged bucket by bucket, without
 a shuffle, into one of the next level. Batches of one call come in doc_id
 order; a later call with the same runs goes on where the last one ended.
+The manifest is written once a call, when all that its result needs is; a
+call that dies leaves the runs as they were. A key belongs to the document
+that its run names, also when this document comes again, so a repeated call
+gives the rows that the first one gave.
 
 Only hashes are shuffled. Texts of documents that lose no line pass straight
 through: a bit filter of fixed size tells them; the others are joined with
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +33,6 @@ from loomstone.llm.storage import Out, open_fs
 
 #: Sorts after every document, for a null doc_id.
 LAST = 2**63 - 1
-#: Before every document.
-FIRST = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -52,14 +55,30 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(low, "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\f\r")))
 
 
+@contextmanager
+def _ordered_scans(spark):
+    """Scans of bucketed tables tell that a bucket's one file is sorted, so runs are merged without a sort; the setting is restored."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 class Runs:
     """Levelled runs in a folder: each a table (h1, h2, owner), bucketed and sorted by h1, h2.
 
     A folder that has runs already is opened as it is. The batch's own table
     also says what the merge found, in the column `of`; its run is the rows
-    where that is null.
+    where that is null. What was appended lasts once it is published. One
+    writer at a time.
     """
 
+    #: Columns of a run that was compacted, and of a batch's.
+    _COLUMNS = {"c": "h1 BIGINT, h2 BIGINT, owner BIGINT", "b": "h1 BIGINT, h2 BIGINT, owner BIGINT, last BIGINT, n BIGINT, of BIGINT"}
+
     def __init__(self, spark, root: str, fanout: int = 2):
         self.spark, self.root, self.fanout, self.names = spark, root, fanout, {}
         fs, path = open_fs(f"{root}/manifest.json")
@@ -70,9 +89,9 @@ class Runs:
         else:
             self.buckets, self.levels = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), [[]]
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame, kind: str) -> str:
         """df, whose rows are dealt by h1, h2 into the buckets already, as the table of a new run."""
-        run = uuid.uuid4().hex
+        run = kind + uuid.uuid4().hex
         self.names[run] = f"line_run_{uuid.uuid4().hex}"
         df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", f"{self.root}/{run}").saveAsTable(self.names[run])
         return run
@@ -80,17 +99,18 @@ class Runs:
     def _table(self, run: str) -> DataFrame:
         if run not in self.names:
             name = f"line_run_{uuid.uuid4().hex}"
-            columns = ", ".join(f"{f.name} BIGINT" for f in self.spark.read.parquet(f"{self.root}/{run}").schema)
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{run}'")
+            # A run of no rows has no file that would tell its columns.
+            self.spark.sql(f"CREATE TABLE {name} ({self._COLUMNS[run[0]]}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{run}'")
             self.names[run] = name
         return self.spark.table(self.names[run])
 
     def _new(self, run: str) -> DataFrame:
         """h1, h2, owner of the hashes that this run was the first to have."""
         t = self._table(run)
-        return (t.filter("of is null") if "of" in t.columns else t).select("h1", "h2", "owner")
+        return (t.filter("of is null") if run[0] == "b" else t).select("h1", "h2", "owner")
 
-    def _save(self) -> None:
+    def publish(self) -> None:
+        """From now on the runs are found with what was appended."""
         out = Out(f"{self.root}/manifest.json")
         out.write(json.dumps({"buckets": self.buckets, "levels": self.levels}).encode())
         out.done()
@@ -107,22 +127,24 @@ class Runs:
                 merged = merged.join(other, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("owner", "other").alias("owner"))
             if i + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[i + 1].append(self._write(merged))
+            self.levels[i + 1].append(self._write(merged, "c"))
             level.clear()
-        self._save()
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Merges a batch (h1, h2 unique, owner, other columns) with the runs and adds its own; the batch with `of`, the owner in an earlier one or null."""
+        """Merges a batch (h1, h2 unique, owner, last, n) with the runs and adds its own; the batch with `of`, the owner in an earlier one or null."""
+        with _ordered_scans(self.spark):
+            return self._append(batch)
+
+    def _append(self, batch: DataFrame) -> DataFrame:
         self.compact()
-        now = batch.withColumn("of", F.lit(None).cast("long"))
+        now = batch.select("h1", "h2", "owner", "last", "n").withColumn("of", F.lit(None).cast("long"))
         for run in [r for level in self.levels for r in level]:
             now = now.join(self._new(run).withColumnRenamed("owner", "in_run").hint("merge"), ["h1", "h2"], "left").withColumn("of", F.coalesce("of", "in_run")).drop("in_run")
         # The batch's own shuffle deals it into the buckets, unless a session has other partitions than the one that made the runs.
         if self.spark.conf.get("spark.sql.shuffle.partitions") != str(self.buckets):
             now = now.repartition(self.buckets, "h1", "h2")
-        run = self._write(now)
+        run = self._write(now, "b")
         self.levels[0].append(run)
-        self._save()
         return self._table(run)
 
     def close(self) -> None:
@@ -160,7 +182,9 @@ def line_dedup(docs: DataFrame, p: Params = Params(), keep: list[str] = (), runs
     smallest doc_id that holds it; a null doc_id comes after all others, and
     rows of one doc_id are one holder, so none of them loses a line to
     another. With runs, lines of documents of earlier calls are owned by
-    these, whatever their ids, and the lines of docs are added. A text that
+    these, whatever their ids, and the lines of docs are added; a document
+    of an earlier call that comes again keeps what it owns, but rows without
+    a doc_id can't be known again and lose it. A text that
     loses all its lines is empty. Other columns of docs are not read. Keys are
     told apart by 128 bits of hash. A very long text is one row with as many
     keys as lines; only its hashes are shuffled, unless it loses a line.
@@ -178,14 +202,14 @@ def line_dedup(docs: DataFrame, p: Params = Params(), keep: list[str] = (), runs
             # What a batch knows of a key: its first holder, and whether there is another.
             each = keys.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"), F.count(F.lit(1)).alias("n"))
             now = runs.append(each).filter("of is not null or last > owner")
-            # All lines of a key with an earlier owner go.
-            again = now.select("h1", "h2", F.when(F.col("of").isNull(), F.col("owner")).otherwise(F.lit(FIRST)).alias("of"), "n", F.lit(b).alias("batch"))
+            again = now.select("h1", "h2", F.coalesce("of", "owner").alias("of"), F.col("of").isNotNull().alias("earlier"), "n", F.lit(b).alias("batch"))
             repeated = again if repeated is None else repeated.unionByName(again)
         owners = written(repeated, f"{root}/owners")
     finally:
         runs.close()
     drops = _dropped(keys, owners, p)
     gone = written(drops.groupBy("rk").agg(F.collect_list("pos").alias("gone")), f"{root}/gone")
+    runs.publish()
     j = _with_gone(d, gone, p)
     kept = _without(F.split("text", "\n"), F.col("gone"))
     return j.select(
@@ -207,12 +231,12 @@ def _without(lines: Column, gone: Column) -> Column:
 
 
 def _dropped(keys: DataFrame, owners: DataFrame, p: Params) -> DataFrame:
-    """rk, pos of lines whose key an earlier document owns.
+    """rk, pos of lines whose key an earlier document owns: of an earlier batch or call any other one, within a batch one of a smaller id.
 
     Keys with a large part of all repeated lines are joined by broadcast, at
     most 1 / hot_part of them; any other key is small against the whole.
     """
-    return hot_join(keys, owners, ["batch", "h1", "h2"], "n", part=p.hot_part).filter("owner > of").select("rk", "pos")
+    return hot_join(keys, owners, ["batch", "h1", "h2"], "n", part=p.hot_part).filter(F.when(F.col("earlier"), (F.col("owner") != F.col("of")) | (F.col("owner") == LAST)).otherwise(F.col("owner") > F.col("of"))).select("rk", "pos")
 
 
 def op4_line_dedup(spark, sf_dir):
