@@ -17,6 +17,7 @@ from loomstone.sources.delta_store import DeltaStore
 from loomstone.sources.deltas import Deltas
 from loomstone.sources.lexical_index import LexicalIndex
 from loomstone.sources.store import KEYS, SCHEMAS, Repository, scratch, written
+from loomstone.sources.theme_state import ThemeState
 
 
 class MemoryEngine:
@@ -36,6 +37,7 @@ class MemoryEngine:
         self._consumed = {kind: Deltas(spark, f"{root}/consumed/{kind}", "key string", "key") for kind in ("episodes", "semantic")}
         self._nodes = Deltas(spark, f"{root}/graph/nodes", "node_id long, level int, raw_id string, text string", "node_id")
         self._edges = Deltas(spark, f"{root}/graph/edges", "edge string, a string, b string, relation string", "edge")
+        self._themes = ThemeState(spark, f"{root}/theme-state")
         self._index = {kind: LexicalIndex(spark, f"{root}/index/{kind}") for kind in ("episodes", "semantic")}
 
     @classmethod
@@ -216,9 +218,10 @@ class MemoryEngine:
         return retrieval.categorised(lists, combined)
 
     def themes(self) -> DataFrame:
-        """user_id, fact, theme of all facts."""
+        """user_id, fact, theme of all facts: the kept themes, extended by the facts that are new."""
         f = self.store.read("semantic").select("user_id", F.xxhash64("memory_id").alias("fact"), "content")
-        return themes.build_themes(providers.embedded(f, "content", "v", self.embed).select("user_id", "fact", "v"))
+        self._themes.update(f, lambda d: providers.embedded(d, "content", "v", self.embed))
+        return self._themes.read()
 
     def search(self, queries: DataFrame, kind: str = "semantic", method: str = "hybrid", k: int = 10, strict: bool = True) -> DataFrame:
         """query_id, item (hash of the row's key), rank, score for queries (query_id, text) by a method of retrieval.METHODS; another one is an error, or hybrid if not strict."""
