@@ -147,9 +147,10 @@ def hier_pool(spark, sf_dir):
     return _round(A.fact_pool(_asked(spark, sf_dir), _vecs(spark, sf_dir)), "score", "norm")
 
 
-def _themes(spark, sf_dir):
+def _themes(spark, sf_dir, kept=lambda pool: pool):
+    """The pooled facts (as `kept` gives them back) and the themes that hold one."""
     e, q = _vecs(spark, sf_dir), _asked(spark, sf_dir)
-    pool = A.fact_pool(q, e)
+    pool = kept(A.fact_pool(q, e))
     cents = G.centroids(e, "theme").select("theme", F.col("centroid").alias("v"))
     return pool, A.candidate_themes(pool, e.select(F.col("id").alias("fact"), "theme"), q, cents)
 
@@ -190,12 +191,14 @@ def hier_search(spark, sf_dir, uncertainty=providers.constant_uncertainty):
     e, q = _vecs(spark, sf_dir), _asked(spark, sf_dir)
     root = scratch(spark, "search")
     # Written, as each is used several times: the plan would double with every use.
-    pool, themes = (written(x, f"{root}/{n}") for x, n in zip(_themes(spark, sf_dir), ("pool", "themes"), strict=True))
+    pool, themes = _themes(spark, sf_dir, lambda pool: written(pool, f"{root}/pool"))
+    themes = written(themes, f"{root}/themes")
     cents = G.centroids(e, "theme").select(F.col("theme").cast("long").alias("id"), F.col("centroid").alias("v"))
     chosen = written(A.pick(themes.select("query_id", F.col("theme").cast("long").alias("item"), "score"), G.knn(cents, cents), 5), f"{root}/chosen")
     of = e.select(F.col("id").alias("fact"), F.col("theme").cast("long").alias("theme"))
     facts = pool.join(of, "fact").join(chosen.select("query_id", F.col("item").alias("theme")), ["query_id", "theme"], "left_semi").select("query_id", F.col("fact").alias("item"), "score")
-    near = G.knn(e, e)
+    # Only pooled facts can be picked, so only their neighbours are looked for.
+    near = G.knn(e.join(facts.select(F.col("item").alias("id")).distinct(), "id", "left_semi"), e)
     picked = A.pick(facts, near, 20)
     # A query whose themes leave no fact has its nearest one.
     lonely = pool.filter("rank = 1").join(picked.select("query_id").distinct(), "query_id", "left_anti")
