@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import vectors as V
 from loomstone.operators import adaptive_search as A
 from loomstone.functions import providers
-from loomstone.operators import evaluation, hierarchy, segments, themes
+from loomstone.operators import evaluation, hierarchy, metric_index, segments, themes
 from loomstone.operators import vector_graph as G
 from loomstone.sources.store import scratch, written
 from loomstone.sources.tables import table
@@ -55,6 +55,11 @@ def threshold_pairs(spark, sf_dir):
     return _round(G.pairs_above(_vecs(spark, sf_dir), 0.35), "sim")
 
 
+def threshold_pairs_cells(spark, sf_dir):
+    """The same pairs by cells around pivots: vectors that are far apart never meet."""
+    return _round(metric_index.pairs_above(_vecs(spark, sf_dir), 0.35), "sim")
+
+
 def threshold_components(spark, sf_dir):
     e = _vecs(spark, sf_dir)
     return G.components(e, G.pairs_above(e, 0.35), scratch(spark, "components"))
@@ -314,7 +319,7 @@ _TOK = "list_filter(regexp_split_to_array(trim(translate(lower({c}), '.,!?', '
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_distance_metrics, vec_normalize, knn_graph_full, knn_graph_incremental, theme_knn, threshold_pairs, threshold_components, theme_centroids, theme_mean_intra, theme_cohesion, theme_objective, theme_assign_step,
+        vec_distance_metrics, vec_normalize, knn_graph_full, knn_graph_incremental, theme_knn, threshold_pairs, threshold_pairs_cells, threshold_components, theme_centroids, theme_mean_intra, theme_cohesion, theme_objective, theme_assign_step,
         theme_merge_candidates, semantic_dup_pairs, segment_by_size, segment_by_gap, conversation_text, episode_fallback, episode_validate, buffer_stats, buffer_eviction, upsert_absent, hier_pool,
         hier_candidate_themes, hier_episode_priority, ig_gate, hier_search, theme_build, theme_counts, semantic_dedup, graph_build, graph_report, graph_upsert, theme_consistency, qa_f1, metric_aggregate, run_compare,
     )
@@ -326,6 +331,7 @@ ORACLES = {
     "knn_graph_incremental": _KNN.format(w=" AND a.theme = 9"),
     "theme_knn": f"WITH {_C}, s AS (SELECT a.theme AS src, b.theme AS dst, {_P} AS sim FROM c a JOIN c b ON a.theme <> b.theme), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS rank FROM s) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(sim, 6) AS sim, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 3 AND sim > 0",
     "threshold_pairs": _PAIRS.format(e=_E, p=_P, t=">= 0.35"),
+    "threshold_pairs_cells": _PAIRS.format(e=_E, p=_P, t=">= 0.35"),
     "threshold_components": f"WITH RECURSIVE e AS ({_E}), p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id WHERE {_P} >= 0.35), w AS (SELECT id, id AS c FROM e UNION SELECT p.b, w.c FROM w JOIN p ON w.id = p.a) SELECT id, min(c) AS component FROM w GROUP BY id",
     "theme_centroids": f"WITH {_C} SELECT theme, n, CAST(i AS INT) AS i, round(x, 6) AS x FROM cd",
     "theme_mean_intra": f"WITH e AS ({_E}) SELECT theme, round((sum(sim) - m) / (m * (m - 1) + 1e-6::DOUBLE), 6) AS mean_intra FROM (SELECT a.theme, {_P} AS sim, n.m FROM e a JOIN e b ON a.theme = b.theme JOIN (SELECT theme, count(*) AS m FROM e GROUP BY theme) n ON a.theme = n.theme) GROUP BY theme, m",
