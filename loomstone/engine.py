@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import providers
 from loomstone.functions import text as X
 from loomstone.functions import vectors as V
-from loomstone.operators import hierarchy, retrieval, segments, themes
+from loomstone.operators import hierarchy, prediction, retrieval, segments, themes
 from loomstone.operators import vector_graph as G
 from loomstone.operators import vector_search as VS
 from loomstone.runtime import Settings
@@ -34,7 +34,7 @@ class MemoryEngine:
         ship(spark)
         self.spark, self.store, self.embed, self.most, self.least = spark, store or DeltaStore(spark, root), embed, most, least
         self._buffer = Deltas(spark, f"{root}/buffer", "key string, owner string, seq long, role string, content string, ts timestamp_ntz", "key", kinds=("row", "batch"))
-        self._consumed = {kind: Deltas(spark, f"{root}/consumed/{kind}", "key string", "key") for kind in ("episodes", "semantic")}
+        self._consumed = {kind: Deltas(spark, f"{root}/consumed/{kind}", "key string", "key") for kind in ("episodes", "semantic", "learned")}
         self._nodes = Deltas(spark, f"{root}/graph/nodes", "node_id long, level int, raw_id string, text string", "node_id")
         self._edges = Deltas(spark, f"{root}/graph/edges", "edge string, a string, b string, relation string", "edge")
         self._themes = ThemeState(spark, f"{root}/theme-state")
@@ -139,6 +139,34 @@ class MemoryEngine:
         self.store.add_absent("semantic", self._without_near(rows.select(*self._columns("semantic")), dedup_above))
         self.refresh_index("semantic")
 
+    def learn(self, model: prediction.Model | None = None, most: int = 10, least: float = 0.7) -> DataFrame:
+        """Facts by prediction and correction of the episodes that were not learned from yet; the statements, as prediction.learned tells them.
+
+        What is known of a user is found by the kept index, among the user's
+        facts alone. Episodes count as learned from once their facts are
+        stored; facts are stored by what they say, so a call that dies and is
+        repeated stores none twice.
+        """
+        root = scratch(self.spark, "learned")
+        seen = self._consumed["learned"].read().withColumnRenamed("key", "episode_id")
+        e = written(self.store.read("episodes").join(seen, "episode_id", "left_anti"), f"{root}/episodes")
+        episodes = e.select("user_id", "episode_id", "title", F.array_join(F.transform("original_messages", lambda m: F.coalesce(m["content"], F.lit(""))), "\n").alias("said"), F.col("timestamp").alias("ts"))
+        facts = self.store.read("semantic").select("user_id", F.col("memory_id").alias("fact"), "content", "created_at")
+        if not self._index["semantic"].deltas.folders():
+            self.refresh_index("semantic")
+        asked = episodes.select("user_id", F.col("episode_id").alias("query_id"), X.index_tokens(F.col("said")).alias("tokens"))
+        near = self._index["semantic"].search(asked, 2 * most, ["user_id"])
+        named = facts.select("user_id", "fact", F.xxhash64("fact").alias("doc"))
+        near = written(near.join(named, "doc").select("query_id", "user_id", "fact", "rank", "score"), f"{root}/near")
+        found = written(prediction.learned(episodes, facts, near, model, most, least), f"{root}/found")
+        null = lambda t: F.lit(None).cast(t)
+        rows = found.select(F.sha2(F.concat_ws("\0", "user_id", X.statement_key(F.col("statement"))), 256).alias("memory_id"), "user_id", F.col("statement").alias("content"), F.lit("knowledge").alias("knowledge_type"), "created_at", null("string").alias("updated_at"), F.array("episode_id").alias("source_episodes"), "confidence", null("map<string,string>").alias("metadata"), F.array().cast("array<string>").alias("tags"), F.lit(1).alias("revision_count"))
+        self.store.add_absent("semantic", rows.select(*self._columns("semantic")))
+        self.refresh_index("semantic")
+        self._consumed["learned"].write(e.select(F.col("episode_id").alias("key")))
+        self._consumed["learned"].merge()
+        return found
+
     def _without_near(self, rows: DataFrame, above: float) -> DataFrame:
         """New facts without those that are near an earlier one of their user and type, stored or new; the oldest come first."""
         if above >= 1:

@@ -65,6 +65,24 @@ def test_stream_into_the_engine(spark, tmp_path):
     assert len(episodes(e)) == 2 and e.taken("talk:0") and e.taken("talk:1") and e._buffer.read().count() == 2
 
 
+def test_learning_by_prediction(spark, tmp_path):
+    """A user's first episodes are taken as they are; of later ones what the facts found did not say. Each is learned from once."""
+    root = f"file://{tmp_path}/a"
+    e = MemoryEngine(spark, root, most=2, least=1)
+    first = e.learn().count()
+    e.add_messages(said(spark, 0, 8))
+    told = e.learn().collect()
+    assert first == 0 and len(told) == 8 and all(r.cold_start and r.confidence == 0.9 for r in told)
+    again = spark.createDataFrame([(1, 20, "u", "Apples are red. Snow falls.", T0 + datetime.timedelta(days=1)), (2, 0, "u", "Apples are red.", T0)], MESSAGES)
+    e = MemoryEngine(spark, root, most=2, least=1)
+    e.add_messages(again)
+    told = e.learn(least=0.1).collect()
+    assert sorted((r.user_id, r.statement, r.cold_start) for r in told) == [("1", "Snow falls.", False), ("2", "Apples are red.", True)]
+    assert MemoryEngine(spark, root).learn().count() == 0 and e.store.read("semantic").count() == 10
+    facts = {r.content: r for r in e.store.of_user("semantic", "1").collect()}
+    assert facts["Snow falls."].confidence == 0.9 and len(facts["Snow falls."].source_episodes) == 1
+
+
 def test_kept_indexes_follow_the_store(spark, tmp_path):
     e = MemoryEngine(spark, f"file://{tmp_path}/a", most=4, least=1)
     q = spark.createDataFrame([(1, "red apples"), (2, "doors of houses")], "query_id long, text string")
