@@ -280,6 +280,11 @@ class MemoryEngine:
         a, b = (self.store.stats(k).select(F.lit(k).alias("kind"), "*") for k in ("episodes", "semantic"))
         return a.unionByName(b)
 
+    def clean(self) -> int:
+        """Deletes folders of all kept state that no new plan reads; how many. DataFrames that were made before fail afterwards."""
+        deltas = [self._buffer, self._nodes, self._edges, *self._consumed.values(), *(i.deltas for i in self._index.values())]
+        return sum(d.clean() for d in deltas) + self._themes.clean() + (self.store.clean() if isinstance(self.store, DeltaStore) else 0)
+
     def delete_user(self, user_id: str) -> None:
         self.store.delete_user(user_id)
         for kind in self._index:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import vectors as V
 from loomstone.functions.providers import Scorer
+from loomstone.shipping import ship
 
 
 def fact_pool(queries: DataFrame, facts: DataFrame, k: int = 40) -> DataFrame:
@@ -70,6 +71,7 @@ def pick(candidates: DataFrame, knn: DataFrame, most: int, coverage: float = 1.0
         got = representatives(pdf["score"].tolist(), edges, most, coverage)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[:1].tolist() * len(got), "item": pdf["item"].iloc[got].tolist(), "step": range(1, len(got) + 1)})
 
+    ship(candidates.sparkSession)
     return rows.groupBy("query_id").applyInPandas(run, "query_id long, item long, step long")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import vectors as V
+from loomstone.shipping import ship
 
 
 #: Vectors of a block, about.
@@ -55,6 +56,7 @@ def _against(asked: DataFrame, known: DataFrame, judge, same: str | None = None)
             out = {"src": src[j], "dst": dst[i], "sim": sims[i, j]}
         return pa.table({c: pa.array(out[c], t) for c, t in (("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64()))})
 
+    ship(asked.sparkSession)
     keys = ["_a", "_k"]
     out = a.groupBy(*keys).cogroup(k.groupBy(*keys)).applyInArrow(unit, "src long, dst long, sim double")
     return out.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "sim")

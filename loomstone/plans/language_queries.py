@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
 from loomstone.operators import adaptive_search as A
+from loomstone.operators import answer_similarity as similarity
 from loomstone.operators import language_model as LM
 from loomstone.operators import lexical, prediction
 from loomstone.plans.lexical_queries import _D, _IT, _Q, _asked, _bm25, _docs, _post, _round
@@ -62,6 +63,15 @@ def predicted_facts(spark, sf_dir):
     return out.select("user_id", "episode_id", F.col("pos").cast("long").alias("pos"), "statement", "cold_start", "confidence")
 
 
+def answer_alignment(spark, sf_dir):
+    """Each message as an answer to the one before: tokens aligned by their vectors, vectors of both texts, and the common subsequence of stems."""
+    d = _said(spark, sf_dir)
+    before = d.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold"))
+    pairs = d.withColumnRenamed("text", "predicted").join(before, ["conv_id", "turn"])
+    out = similarity.stemmed_rouge(similarity.aligned(pairs))
+    return _round(out.select("conv_id", "turn", "precision", "recall", "alignment", "similarity", "rouge1", "rouge2", "rougel"), "precision", "recall", "alignment", "similarity", "rouge1", "rouge2", "rougel")
+
+
 def _model(of):
     """SQL of the model of `of` (text) as CTEs ending in m (n, history, word, times, of) and mt (total)."""
     return f"""t0 AS (SELECT row_number() OVER () AS id, {_IT} AS t FROM {of}), t1 AS (SELECT id, unnest(t) AS word, generate_subscripts(t, 1) AS i, t FROM t0),
@@ -89,7 +99,7 @@ _EP = "SELECT CAST(conv_id % 5 AS VARCHAR) AS user_id, conv_id * 1000 + turn AS
 _NEAR = _bm25(f"SELECT user_id, doc, {_IT} AS tokens FROM ({_F})", f"SELECT user_id, query_id, {_IT} AS tokens FROM ({_EP})", 4, True, "query_id, doc, rank, score")
 _CUT = "trim(unnest(string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))"
 _FACT_KEY = r"lower(trim(CASE WHEN starts_with({c}, 'Time:') THEN regexp_replace({c}, '^(?:[^ ]* ){{3}}', '') ELSE {c} END))"
-QUERIES = {f.__name__: f for f in (lm_counts, lm_uncertainty, gain_gate, predicted_facts)}
+QUERIES = {f.__name__: f for f in (lm_counts, lm_uncertainty, gain_gate, predicted_facts, answer_alignment)}
 ORACLES = {
     "lm_counts": f"WITH {_model('conversations')} SELECT CAST(n AS INT) AS n, count(*) AS grams, CAST(sum(times) AS BIGINT) AS tokens, count(DISTINCT history) AS histories, CAST(max(of) AS BIGINT) AS largest FROM m GROUP BY n",
     "lm_uncertainty": f"""WITH d AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations), {_model('d')}, {_probabilities('d')}, b AS (SELECT query_id + 1 AS query_id, 0 AS context, text FROM d)
