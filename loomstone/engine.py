@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import providers
 from loomstone.functions import text as X
-from loomstone.functions import vectors as V
 from loomstone.operators import hierarchy, prediction, retrieval, segments, themes
 from loomstone.operators import vector_graph as G
 from loomstone.operators import vector_search as VS
@@ -269,9 +268,7 @@ class MemoryEngine:
             return VS.topk(*vectors(), most, min_score=0.1).select("query_id", F.col("vec_id").alias("item"), "rank", "score")
 
         def lift(most: int) -> DataFrame:
-            q, v = vectors()
-            # The stated query set meets all rows.
-            return retrieval.noisy_lift(v.crossJoin(q).select("query_id", F.col("vec_id").alias("item"), V.cosine(F.col("q"), F.col("v")).alias("s")), most)
+            return retrieval.noisy_lift(*vectors(), most)
 
         return retrieval.dispatched(method, words, near, k, lift, strict)
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
 from loomstone.functions import vectors as V
 from loomstone.operators import fusion
+from loomstone.operators import vector_search as VS
+from loomstone.shipping import ship
+from loomstone.sources.store import scratch, written
 
 METHODS = ("bm25", "vector", "vector_norlift", "hybrid")
 
@@ -30,19 +34,22 @@ def dispatched(method: str, words: Callable[[int], DataFrame], near: Callable[[i
     return cut({"bm25": words, "vector": near, "vector_norlift": lift or near}[method](k))
 
 
-def noisy_lift(sims: DataFrame, k: int, eps: float = 1e-6) -> DataFrame:
-    """query_id, item, rank, score of sims (query_id, item, s): z-scores through a sigmoid, over their mean.
+def noisy_lift(queries: DataFrame, corpus: DataFrame, k: int, eps: float = 1e-6) -> DataFrame:
+    """query_id, item, rank, score of all cosines of queries (query_id, q) with corpus (vec_id, v): z-scores through a sigmoid, over their mean.
 
     The mean of a query's sigmoids is one number, so items are ranked by
-    similarity first and only k of each query are scored.
+    similarity first and only k of each query are scored. Means are summed
+    block by block; no pair but the best becomes a row.
     """
-    m = sims.groupBy("query_id").agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d"))
-    sigmoid = 1 / (1 + F.exp(-(F.col("s") - F.col("m")) / (F.col("d") + eps)))
-    with_m = lambda d: d.join(F.broadcast(m), "query_id").withColumn("p", sigmoid)  # noqa: E731 -- m: a row for each query of the stated set
-    base = with_m(sims).groupBy("query_id").agg(F.avg("p").alias("base"))
-    best = Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), "item")
-    top = sims.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(F.col("rank") <= k)
-    return with_m(top).join(base, "query_id").select("query_id", "item", "rank", (F.col("p") / (F.col("base") + eps)).alias("score"))
+    ship(queries.sparkSession)
+    best = VS.block_best(queries, corpus, k, told=True)
+    n, total = F.sum("n"), F.sum("total")
+    m = written(best.groupBy("query_id").agg(n.alias("n"), (total / n).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum("squares") / n - (total / n) * (total / n))).alias("spread")), scratch(queries.sparkSession, "lift"))
+    sums = VS.block_sums(queries.join(m, "query_id"), corpus, lambda s, mean, spread: 1 / (1 + np.exp(-(s - mean) / (spread + eps))))
+    base = sums.groupBy("query_id").agg(F.sum("total").alias("total"))
+    p = 1 / (1 + F.exp(-(F.col("score") - F.col("mean")) / (F.col("spread") + eps)))
+    top = VS.ranked(best, k).select("query_id", F.col("vec_id").alias("item"), "rank", "score")
+    return top.join(m, "query_id").join(base, "query_id").select("query_id", "item", "rank", (p / (F.col("total") / F.col("n") + eps)).alias("score"))
 
 
 def categorised(lists: dict[str, tuple[DataFrame, int]], combined: int | None = None) -> DataFrame:

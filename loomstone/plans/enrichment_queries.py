@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import providers
 from loomstone.functions import text as X
-from loomstone.functions import vectors as V
 from loomstone.operators import evaluation, fusion, generation, hierarchy, retrieval, segments
 from loomstone.operators import vector_graph as G
-from loomstone.operators.vector_search import topk
+from loomstone.operators.vector_search import MANHATTAN, topk
 from loomstone.plans.memory_queries import _C, _E, _EP, _M, _P, _SEG, _answers, _messages, _vecs
 from loomstone.plans.vector_queries import _sides
 from loomstone.sources.tables import table
@@ -143,7 +142,7 @@ def theme_summary(spark, sf_dir):
 
 def _l2(spark, sf_dir, k):
     q, v = _sides(spark, sf_dir)
-    return topk(q, v.withColumn("v", F.slice("v", 1, 8)), k, lambda a, b: -V.manhattan(F.slice(a, 1, 8), b)).withColumnRenamed("vec_id", "item")
+    return topk(q.withColumn("q", F.slice("q", 1, 8)), v.withColumn("v", F.slice("v", 1, 8)), k, MANHATTAN).withColumnRenamed("vec_id", "item")
 
 
 def _cos(spark, sf_dir, k):

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as X
-from loomstone.functions import vectors as V
 from loomstone.operators import evaluation, lexical, retrieval, segments
 from loomstone.operators.vector_search import topk
 from loomstone.plans.memory_queries import _EP, _E, _M, _P, _answers, _episodes, _messages
@@ -25,8 +24,7 @@ def relevant_statements(spark, sf_dir):
 def norlift_rank(spark, sf_dir):
     """z-scores of a query's similarities through a sigmoid, by their lift over the mean; an extension of plain search."""
     q, v = _sides(spark, sf_dir)
-    s = v.crossJoin(q).select("query_id", F.col("vec_id").alias("item"), V.cosine(F.col("q"), F.col("v")).alias("s"))
-    return retrieval.noisy_lift(s, 10).select("query_id", F.col("item").alias("vec_id"), "rank", F.round("score", 6).alias("lift"))
+    return retrieval.noisy_lift(q, v, 10).select("query_id", F.col("item").alias("vec_id"), "rank", F.round("score", 6).alias("lift"))
 
 
 def fact_batches(spark, sf_dir):

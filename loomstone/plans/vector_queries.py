@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstone.functions import vectors as V
-from loomstone.operators.vector_search import topk
+from loomstone.operators.vector_search import L2, topk
 from loomstone.sources.tables import table
 
 
@@ -20,7 +19,7 @@ def vec_topk_cosine(spark, sf_dir):
 
 
 def vec_topk_l2score(spark, sf_dir):
-    return topk(*_sides(spark, sf_dir), k=10, score=lambda a, b: 1 - V.squared_l2(a, b)).withColumn("score", F.round("score", 6))
+    return topk(*_sides(spark, sf_dir), k=10, score=L2).withColumn("score", F.round("score", 6))
 
 
 def vec_topk_min_score(spark, sf_dir):
