@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.sources.store import scratch, written
+
 
 def upsert_nodes(old: DataFrame, new: DataFrame, parts: int = 64) -> DataFrame:
     """node_id, level, raw_id, text, extras: old nodes with new non-empty texts, and absent ones with ids after the largest.
@@ -12,7 +14,8 @@ def upsert_nodes(old: DataFrame, new: DataFrame, parts: int = 64) -> DataFrame:
     New ids are dense in the order of (level, raw_id). extras (map of texts)
     of old and new rows are merged, the new ones win; the column may be
     missing on both sides. Ranks are counted in `parts` ranges with prefix
-    sums of their sizes, so no task has all rows of a level.
+    sums of their sizes, so no task has all rows of a level. The dealt rows are
+    written: ranges come from a sample, which would be another one each time.
     """
     extra = "map<string,string>"
     has = "extras" in old.columns or "extras" in new.columns
@@ -26,7 +29,7 @@ def upsert_nodes(old: DataFrame, new: DataFrame, parts: int = 64) -> DataFrame:
     kept = o.join(latest, ["level", "raw_id"], "left").select("node_id", "level", "raw_id", F.coalesce("new_text", "text").alias("text"), both.alias("extras"))
     most = old.agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("most"))
     absent = latest.join(old, ["level", "raw_id"], "left_anti")
-    absent = absent.repartitionByRange(parts, "level", "raw_id").withColumn("part", F.spark_partition_id())
+    absent = written(absent.repartitionByRange(parts, "level", "raw_id").withColumn("part", F.spark_partition_id()), scratch(old.sparkSession, "absent"))
     absent = absent.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("level", "raw_id")))
     # A row a part.
     base = absent.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("level", "raw_id")).alias("first"))
