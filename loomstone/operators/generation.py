@@ -13,6 +13,7 @@ from loomstone.functions import text as X
 from loomstone.functions import vectors as V
 from loomstone.operators import segments
 from loomstone.shipping import ship
+from loomstone.sources.store import scratch, written
 
 #: The types of facts in a typed answer, in the order in which they are read.
 TYPES = ("user_profile", "experience", "knowledge", "other")
@@ -177,6 +178,8 @@ def relevant(near: DataFrame, facts: DataFrame, most: int = 10, least: float = 0
     A query without any falls back to its user's last `most` facts (user_id,
     fact, created_at), the newest first.
     """
+    # A ranking is read three times below, and is dear to make.
+    near = written(near, scratch(near.sparkSession, "near"))
     good = near.filter((F.col("rank") <= 2 * most) & (F.col("score") >= least))
     w = Window.partitionBy("query_id").orderBy("rank")
     good = good.withColumn("pos", F.row_number().over(w).cast("bigint")).filter(F.col("pos") <= most).select("query_id", "fact", "pos", F.lit(False).alias("fallback"))
