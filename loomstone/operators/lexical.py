@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from loomstone.shipping import ship
+
+#: Documents and queries of a block, about.
+DOCS, QUERIES = 8192, 16384
+#: Scores that a task holds at once, and terms that it scores by one matrix product.
+CELLS, DENSE = 4_000_000, 1024
 
 
 def postings(docs: DataFrame, tokens: Column, group: list[str]) -> DataFrame:
     """group..., doc, term, tf, dl; documents without tokens are not there.
 
-    Documents are dealt by id before they are taken apart, so their terms are
-    counted where they are: texts are shuffled, not the far larger postings.
+    Documents are dealt by id before they are taken apart: texts are shuffled,
+    not the far larger postings. A document's terms are counted in its own
+    row, as runs of its sorted tokens, so no task holds more than a document.
+    Only where ids repeat, counts of rows of the same id and length are summed.
     """
-    d = docs.repartition("doc").select(*group, "doc", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
-    return d.select(*group, "doc", "dl", F.explode("tokens").alias("term")).groupBy(*group, "doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    d = docs.repartition("doc").select(*group, "doc", F.sort_array(tokens).alias("_t")).withColumn("dl", F.size("_t"))
+    # A filter here would be moved before the shuffle, so texts would be tokenised twice; no places give no rows.
+    d = d.withColumn("_at", F.filter(F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))))
+    runs = F.transform("_at", lambda x, j: F.struct(F.get("_t", x).alias("term"), (F.coalesce(F.get("_at", j + 1), F.col("dl")) - x).cast("long").alias("tf")))
+    rows = d.select(*group, "doc", "dl", F.inline(runs))
+    if docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return rows
+    return rows.groupBy(*group, "doc", "dl", "term").agg(F.sum("tf").alias("tf"))
 
 
 def statistics(docs: DataFrame, tokens: Column, group: list[str]) -> DataFrame:
@@ -48,18 +68,95 @@ def topk(post: DataFrame, queries: DataFrame, group: list[str], k: int, k1: floa
     """
     docs = post.select(*group, "doc", "dl").distinct()
     # The sum of all term frequencies is that of the lengths.
-    stats = post.groupBy(*group).agg((F.sum("tf") / F.count_distinct("doc")).alias("avgdl"))
+    stats = post.groupBy(*group).agg((F.sum("tf") / F.count_distinct("doc")).alias("avgdl"), F.count_distinct("doc").alias("n_docs"))
     return ranked(post, idf(post, docs, group), stats, queries, group, k, k1, b)
 
 
 def ranked(post: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, group: list[str], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """topk() from kept statistics: terms (group..., term, idf) and stats (group..., avgdl)."""
+    """topk() from kept statistics: terms (group..., term, idf) and stats (group..., n_docs, avgdl).
+
+    A group's documents and queries are dealt into blocks, of which the scores
+    are products of term weights; only a block's k best of a query become
+    rows. A query_id is of one group.
+    """
     asked = queries.select(*group, "query_id", F.explode("tokens").alias("term")).groupBy(*group, "query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = terms.join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi")
-    p = post.join(terms, [*group, "term"])
-    p = p.join(stats, group) if group else p.crossJoin(F.broadcast(stats))
+    sized = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_b_q"))
+    stats = (stats.join(sized, group) if group else stats.crossJoin(F.broadcast(sized))).withColumn("_b_v", F.ceil(F.col("n_docs") / DOCS).cast("int"))
+    known = lambda d: d.join(stats, group) if group else d.crossJoin(F.broadcast(stats))
+    p = known(post.join(terms, [*group, "term"]))
     p = p.withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    scored = p.join(asked, [*group, "term"]).groupBy("query_id", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = known(asked.groupBy(*group, "query_id").agg(F.collect_list(F.struct("term", "times")).alias("_of"))).select(*group, "query_id", F.col("_of.term").alias("terms"), F.col("_of.times").alias("times"), block("query_id", "_b_q").alias("_q"), each("_b_v").alias("_v"))
+    right = p.select(*group, "doc", "term", "part", block("doc", "_b_v").alias("_v"), each("_b_q").alias("_q"))
+    types = dict(left.dtypes) | dict(right.dtypes)
+    schema = f"query_id {types['query_id']}, doc {types['doc']}, score double"
+    kind, keys = to_arrow_schema(StructType.fromDDL(schema)), [*group, "_q", "_v"]
+
+    def unit(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _block_best(left, right, k, kind) if left.num_rows and right.num_rows else kind.empty_table()
+
+    ship(post.sparkSession)
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(unit, schema)
     # Equal scores keep the order of documents; sums of different order differ in the last digits.
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("doc"))
-    return scored.withColumn("rank", F.row_number().over(best).cast("bigint")).filter(f"rank <= {int(k)} and score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("doc"))
+    return best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(f"rank <= {int(k)}")
+
+
+def _block_best(left: pa.Table, right: pa.Table, k: int, kind: pa.Schema) -> pa.Table:
+    """query_id, doc, score: the k best documents above 0 of each query (query_id, terms, times) by sums of times * part over postings (doc, term, part)."""
+    docs = pc.unique(right.column("doc"))
+    docs = docs.take(pc.sort_indices(docs, null_placement="at_start"))  # so equal scores go by place
+    words = pc.unique(right.column("term"))
+    doc = np.asarray(pc.index_in(right.column("doc"), docs))
+    term = np.asarray(pc.index_in(right.column("term"), words))
+    n_d, n_w, n_q = len(docs), len(words), left.num_rows
+    # A posting a document and term; rows of a repeated id are summed.
+    cell, at = np.unique(term.astype(np.int64) * n_d + doc, return_inverse=True)
+    part = np.bincount(at, np.asarray(right.column("part"), float), len(cell))
+    term, doc = cell // n_d, cell % n_d
+    size = np.bincount(term, minlength=n_w)
+    first = np.cumsum(size) - size
+    lists = left.column("terms").combine_chunks()
+    query = np.repeat(np.arange(n_q), np.asarray(pc.list_value_length(lists)))
+    asked = pc.index_in(lists.flatten(), words)
+    there = np.asarray(asked.is_valid())
+    query, asked = query[there], np.asarray(asked.drop_null())
+    times = np.asarray(left.column("times").combine_chunks().flatten(), float)[there]
+    # Terms of many queries and documents are one product, the others are added posting by posting.
+    share = np.bincount(asked, minlength=n_w) / n_q * size / n_d
+    dense = np.argsort(-share, kind="stable")[:DENSE]
+    dense = dense[share[dense] > 0.005]
+    column = np.full(n_w, -1)
+    column[dense] = np.arange(len(dense))
+    d = np.zeros((len(dense), n_d))
+    of = column[term]
+    d[of[of >= 0], doc[of >= 0]] = part[of >= 0]
+    out, step = [kind.empty_table()], max(1, CELLS // n_d)
+    border = np.searchsorted(query, np.arange(0, n_q + step, step))
+    for n, a in enumerate(range(0, n_q, step)):
+        i, t, x = (c[border[n] : border[n + 1]] for c in (query, asked, times))
+        i, rows = i - a, min(step, n_q - a)
+        by = column[t]
+        q = np.zeros((rows, len(dense)))
+        q[i[by >= 0], by[by >= 0]] = x[by >= 0]
+        s = q @ d
+        i, t, x = i[by < 0], t[by < 0], x[by < 0]
+        # Entries are taken in runs of so many postings.
+        upto = np.cumsum(size[t])
+        cut = np.searchsorted(upto, np.arange(0, (upto[-1] if len(upto) else 0) + CELLS, CELLS), side="right")
+        for lo, hi in zip(cut, [*cut[1:], len(t)], strict=True):
+            if hi > lo:
+                n_p = size[t[lo:hi]]
+                from_ = np.repeat(first[t[lo:hi]] - (np.cumsum(n_p) - n_p), n_p) + np.arange(n_p.sum())
+                s += np.bincount(np.repeat(i[lo:hi], n_p) * n_d + doc[from_], np.repeat(x[lo:hi], n_p) * part[from_], rows * n_d).reshape(rows, n_d)
+        head = s[:, : max(4 * k, 2048)]
+        least = np.partition(head, head.shape[1] - k, axis=1)[:, head.shape[1] - k] if head.shape[1] > k else np.zeros(rows)
+        i, j = np.nonzero((s > 0) & (s >= least[:, None] - 1e-8))
+        got = s[i, j]
+        order = np.lexsort((j, -np.round(got, 9), i))
+        i, j, got = i[order], j[order], got[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append(pa.table({"query_id": left.column("query_id").take(pa.array(a + i[keep])), "doc": docs.take(pa.array(j[keep])), "score": pa.array(got[keep])}).cast(kind))
+    return pa.concat_tables(out).combine_chunks()

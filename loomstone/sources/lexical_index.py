@@ -90,4 +90,4 @@ class LexicalIndex:
         size = self.statistics(group)
         idf = lexical.idf_of(self.frequencies(group), size.select(*group, "n_docs"), group)
         post = self._postings(queries.select(F.explode("tokens").alias("term")))
-        return lexical.ranked(post if group else post.drop("user_id"), idf, size.select(*group, "avgdl"), queries, group, k, k1, b)
+        return lexical.ranked(post if group else post.drop("user_id"), idf, size, queries, group, k, k1, b)
