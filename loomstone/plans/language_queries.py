@@ -39,13 +39,14 @@ def lm_uncertainty(spark, sf_dir):
 def gain_gate(spark, sf_dir):
     """For each benchmark item its two best documents as context; the next eight are probed, and the gate takes those after which it is less uncertain."""
     root, docs = scratch(spark, "gains"), _docs(spark, sf_dir)
-    model = written(LM.train(docs, _words()), f"{root}/model")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    # Of the model only what the items ask is made.
+    model = written(LM.train(docs, _words(), asked=written(LM.grams(asked, _words()), f"{root}/grams")), f"{root}/model")
     best = written(lexical.topk(_post(spark, sf_dir, []), _asked(spark, sf_dir), [], 10).select("query_id", "doc", "rank"), f"{root}/best")
     texts = best.join(docs.select("doc", "text"), "doc")
     base = texts.filter("rank <= 2").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("text"))
     probes = texts.filter("rank > 2").select("query_id", F.col("doc").alias("episode"), (F.col("rank") - 2).alias("rank"), "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    words = LM.token_probabilities(asked, _words(), model)
+    words = written(LM.token_probabilities(asked, _words(), model), f"{root}/words")
     gains = written(LM.information_gain(words, base, probes, _words()).withColumn("ig", F.round("ig", 6)), f"{root}/gains")
     return A.gate(gains, most=4, stop=-0.02, choose=-0.03, expand=0.0).join(gains.select("query_id", "episode", "ig"), ["query_id", "episode"])
 
