@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from loomstone.shipping import ship
+from loomstone.sources.store import scratch, written
 
 #: Documents and queries of a block, about.
 DOCS, QUERIES = 8192, 16384
@@ -18,20 +19,41 @@ DOCS, QUERIES = 8192, 16384
 CELLS, DENSE = 4_000_000, 1024
 
 
-def postings(docs: DataFrame, tokens: Column, group: list[str]) -> DataFrame:
-    """group..., doc, term, tf, dl; documents without tokens are not there.
+def _runs(docs: DataFrame, tokens: Column, group: list[str], more: Column | None) -> tuple[DataFrame, Column]:
+    """group..., doc, dl of each document, and as a column of these rows the array of its terms with their tf.
 
     Documents are dealt by id before they are taken apart: texts are shuffled,
     not the far larger postings. A document's terms are counted in its own
     row, as runs of its sorted tokens, so no task holds more than a document.
-    Only where ids repeat, counts of rows of the same id and length are summed.
+    `more`, an array of structs, makes a row of each of its elements after
+    the dealing, so group and tokens may be of its fields.
     """
-    d = docs.repartition("doc").select(*group, "doc", F.sort_array(tokens).alias("_t")).withColumn("dl", F.size("_t"))
+    d = docs.repartition("doc")
+    d = d if more is None else d.select(*docs.columns, F.inline(more))
+    d = d.select(*group, "doc", F.sort_array(tokens).alias("_t")).withColumn("dl", F.size("_t"))
     # A filter here would be moved before the shuffle, so texts would be tokenised twice; no places give no rows.
     d = d.withColumn("_at", F.filter(F.when(F.col("dl") > 0, F.sequence(F.lit(0), F.col("dl") - 1)), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))))
     runs = F.transform("_at", lambda x, j: F.struct(F.get("_t", x).alias("term"), (F.coalesce(F.get("_at", j + 1), F.col("dl")) - x).cast("long").alias("tf")))
+    return d, runs
+
+
+def counted(docs: DataFrame, tokens: Column, group: list[str], more: Column | None = None) -> DataFrame:
+    """group..., doc, dl, runs: a row of each document with its length and an array of its terms with their tf."""
+    d, runs = _runs(docs, tokens, group, more)
+    return d.select(*group, "doc", "dl", runs.alias("runs"))
+
+
+def postings(docs: DataFrame, tokens: Column, group: list[str], more: Column | None = None) -> DataFrame:
+    """group..., doc, dl, term, tf of counted(); documents without tokens are not there.
+
+    Only where ids repeat, counts of rows of the same group, id and length are summed.
+    """
+    d, runs = _runs(docs, tokens, group, more)
+    # Of an array that has a name, inline() would make a filter.
     rows = d.select(*group, "doc", "dl", F.inline(runs))
-    if docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+    # Rows of one id in several groups are of several documents.
+    own = [c for c in group if c in docs.columns]
+    if docs.groupBy(*own, "doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         return rows
     return rows.groupBy(*group, "doc", "dl", "term").agg(F.sum("tf").alias("tf"))
 
@@ -80,7 +102,8 @@ def ranked(post: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFra
     rows. A query_id is of one group.
     """
     asked = queries.select(*group, "query_id", F.explode("tokens").alias("term")).groupBy(*group, "query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = terms.join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi")
+    # Written, so that its size is known: where it is small, no posting moves to meet it.
+    terms = written(terms.join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi"), scratch(post.sparkSession, "terms"))
     sized = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_b_q"))
     stats = (stats.join(sized, group) if group else stats.crossJoin(F.broadcast(sized))).withColumn("_b_v", F.ceil(F.col("n_docs") / DOCS).cast("int"))
     known = lambda d: d.join(stats, group) if group else d.crossJoin(F.broadcast(stats))

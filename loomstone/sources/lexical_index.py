@@ -44,9 +44,10 @@ class LexicalIndex:
         at = scratch(self.spark, "index")
         rows, terms = {}, []
         if new is not None:
-            d = written(new.groupBy("doc").agg(F.min(F.struct("user_id", F.coalesce("text", F.lit("")).alias("text"))).alias("x")).select("doc", "x.user_id", self.tokens(F.col("x.text")).alias("tokens")), f"{at}/tokens")
-            post = written(lexical.postings(d, F.col("tokens"), ["user_id"]), f"{at}/postings")
-            rows["doc"] = d.select("user_id", "doc", F.size("tokens").alias("dl"), F.lit(0).alias("part"))
+            one = new.groupBy("doc").agg(F.min(F.struct("user_id", F.coalesce("text", F.lit("")).alias("text"))).alias("x")).select("doc", "x.*")
+            d = written(lexical.counted(one, self.tokens(F.col("text")), ["user_id"]), f"{at}/documents")
+            post = d.select("user_id", "doc", "dl", F.inline("runs"))
+            rows["doc"] = d.select("user_id", "doc", "dl", F.lit(0).alias("part"))
             rows["posting"] = post.select("user_id", "doc", "dl", "term", F.col("tf").alias("n"), self._part())
             terms.append(post.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("n")))
         if gone is not None:

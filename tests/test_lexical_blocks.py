@@ -64,3 +64,21 @@ def test_a_block_gives_its_best_only(monkeypatch):
         left = pa.table({"query_id": [1, 2, 3], "terms": [["a"], ["b", "a"], ["z"]], "times": [[2], [1, 1], [1]]})
         got = lexical._block_best(left, right, 3, kind).to_pylist()
         assert [(r["query_id"], r["doc"], r["score"]) for r in got] == [(1, 6, 14.0), (1, 13, 14.0), (1, 20, 14.0), (2, 6, 7.5), (2, 13, 7.5), (2, 20, 7.5)]
+
+
+def test_one_id_in_several_groups_is_not_summed(spark):
+    """Fails where such ids make all postings move."""
+    d = spark.createDataFrame([("x", 1, "a b a"), ("y", 1, "a")], "user string, doc long, text string")
+    p = lexical.postings(d, words(), ["user"])
+    assert sorted(tuple(r) for r in p.select("user", "doc", "dl", "term", "tf").collect()) == [("x", 1, 3, "a", 2), ("x", 1, 3, "b", 1), ("y", 1, 1, "a", 1)]
+    assert "Aggregate" not in p._jdf.queryExecution().toString()
+
+
+def test_several_tokenisers_share_one_shuffle_of_the_texts(spark):
+    d = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "doc long, text string")
+    more = F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("tokens")) for k, t in (("w", words()), ("t", F.split(F.coalesce("text", F.lit("")), "")))))
+    p = lexical.postings(d, F.filter("tokens", lambda t: t.isin("a", "b")), ["kind"], more=more)
+    assert sorted(tuple(r) for r in p.select("kind", "doc", "dl", "term", "tf").collect()) == [("t", 1, 3, "a", 2), ("t", 1, 3, "b", 1), ("w", 1, 3, "a", 2), ("w", 1, 3, "b", 1)]
+    plan = p._jdf.queryExecution().toString().split("Physical Plan")[1]
+    # What moves is the text; tokens are made after it.
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "regexp" not in plan[plan.index("Exchange") :] and "split" not in plan[plan.index("Exchange") :]
