@@ -31,7 +31,7 @@ from pathlib import Path
 if __name__ == "__main__":
     sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import providers
@@ -47,14 +47,13 @@ ANSWERS = "query_id long, doc long, answer string, context string, context_token
 REPORT = "source string, hits long, questions long, mean_reciprocal_rank double, mean_f1 double"
 
 
-def tokenised(rows: DataFrame, key: str) -> DataFrame:
-    """key, kind, tokens of both tokenisers, from one pass over the texts."""
-    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), f(F.col("text")).alias("tokens")) for n, f in (("word", X.index_tokens), ("raw", X.raw_tokens))))
-    return rows.select(key, F.inline(kinds))
+def kinds() -> Column:
+    """kind, tokens of a text by both tokenisers."""
+    return F.array(*(F.struct(F.lit(n).alias("kind"), f(F.col("text")).alias("tokens")) for n, f in (("word", X.index_tokens), ("raw", X.raw_tokens))))
 
 
 def build_index(docs: DataFrame, path: str, config: dict) -> DataFrame:
-    post = lexical.postings(tokenised(docs, "doc"), F.col("tokens"), ["kind"])
+    post = lexical.postings(docs.select("doc", "text"), F.col("tokens"), ["kind"], more=kinds())
     shard = F.pmod(F.xxhash64("doc"), F.lit(config["shards"])).cast("int")
     post.select("kind", "doc", "dl", "term", "tf", shard.alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
@@ -63,7 +62,7 @@ def build_index(docs: DataFrame, path: str, config: dict) -> DataFrame:
 def ranked(post: DataFrame, questions: DataFrame, config: dict) -> DataFrame:
     """query_id, doc, rank, fused_score: the rankings of both tokenisers, fused."""
     # A question is one of each kind, which has an index of its own.
-    asked = tokenised(questions, "query_id").select("kind", F.struct("kind", "query_id").alias("query_id"), "tokens")
+    asked = questions.select("query_id", F.inline(kinds())).select("kind", F.struct("kind", "query_id").alias("query_id"), "tokens")
     best = lexical.topk(post, asked, ["kind"], config["pool"]).select("query_id.kind", "query_id.query_id", F.col("doc").alias("item"), "rank")
     lists = [best.filter(F.col("kind") == kind).drop("kind") for kind in ("word", "raw")]
     return fusion.reciprocal_rank(lists, config["k"]).withColumnRenamed("item", "doc")
