@@ -54,3 +54,14 @@ def test_query_on_the_table(spark):
         want = plain(text[r.conv_id, r.turn], text[r.conv_id, r.turn - 1])
         assert (r.alignment, r.similarity) == pytest.approx((want[2], want[3]), abs=2e-6)
     assert all(np.isfinite([r.alignment, r.similarity, r.rougel]).all() for r in rows)
+
+
+def test_tokens_of_few_answers_are_held_at_once(spark):
+    """Fails where a worker embeds all tokens of a batch of Arrow rows together."""
+    def embed(texts):
+        assert len(texts) <= 1100
+        return np.array([[1.0, float(len(t))] for t in texts])
+
+    d = spark.range(1500).selectExpr("id", "concat('a', id, ' b', id) AS predicted", "concat('a', id, ' b', id) AS gold").coalesce(1)
+    got = S.aligned(d, embed=embed).collect()
+    assert len(got) == 1500 and len({r.id for r in got}) == 1500 and all(r.alignment > 0.999 for r in got)
