@@ -43,7 +43,8 @@ def increment_edges(episodes: DataFrame, facts: DataFrame, themes: DataFrame) ->
     """src, dst, kind, seq of one batch: message to episode, episode to fact, fact to theme, between ids of the batch only.
 
     episodes (episode_id, message_ids), facts (memory_id, source_episodes),
-    themes (theme_id, semantic_ids). Names carry their level, as raw ids may
+    themes (theme_id, semantic_ids); a list may be on several rows of its
+    owner, so none need be gathered in one task. Names carry their level, as raw ids may
     be equal on two levels.
     """
     name = lambda level, c: F.concat(F.lit(f"L{level}:"), c)

@@ -222,10 +222,10 @@ def context_neighbourhood(spark, sf_dir):
 def graph_increment(spark, sf_dir):
     """Edges of a batch: orders that were not consumed with their lines, customers, nations."""
     o = hierarchy.unconsumed(table(spark, sf_dir, "orders"), table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"), "o_orderkey")
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("message_ids"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.array(F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("message_ids"))
     episodes = o.join(l, "o_orderkey").select(F.col("o_orderkey").cast("string").alias("episode_id"), "message_ids")
-    facts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("source_episodes")).select(F.col("o_custkey").cast("string").alias("memory_id"), "source_episodes")
-    themes = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("semantic_ids")).select(F.col("c_nationkey").cast("string").alias("theme_id"), "semantic_ids")
+    facts = table(spark, sf_dir, "orders").withColumn("source_episodes", F.array(F.col("o_orderkey").cast("string"))).select(F.col("o_custkey").cast("string").alias("memory_id"), "source_episodes")
+    themes = table(spark, sf_dir, "customer").withColumn("semantic_ids", F.array(F.col("c_custkey").cast("string"))).select(F.col("c_nationkey").cast("string").alias("theme_id"), "semantic_ids")
     e = hierarchy.simple_edges(hierarchy.increment_edges(episodes, facts, themes))
     return e.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("a").alias("firsts"), F.count_distinct("b").alias("lasts"))
 
