@@ -6,7 +6,10 @@ of one in a cell of radius R lies within R + t of the cell's pivot, and, as
 that one is nearest to this pivot, within 2 t of the vector's own nearest
 pivot's angle. Vectors visit only the cells that pass both bounds, and of two
 cells the later one. No pair is lost; how many are compared depends on how
-the vectors lie, at worst all.
+the vectors lie, at worst all. Where cells are visited by most vectors, there
+are fewer of them, and blocks grow with the table, so what moves stays
+bounded for each vector: at most about VISITS cells and as many blocks as all
+pairs by blocks would need.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from loomstone.sources.store import scratch, written
 
 #: Pivots at most; they go to all tasks.
 PIVOTS = 512
+#: Cells that a vector visits on average, at most; with more, a fourth of the pivots is taken.
+VISITS = 16
 
 
 def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -54,24 +59,33 @@ def _placed(pivots: np.ndarray, angle: float, radius: np.ndarray | None):
 class Cells:
     """The vectors (id, v) dealt into cells for one threshold of cosine, above 0. Null vectors, zero ones, and those of another size than most are left out."""
 
-    def __init__(self, vecs: DataFrame, threshold: float, block: int = G.BLOCK, pivots: int | None = None):
+    def __init__(self, vecs: DataFrame, threshold: float, block: int | None = None, pivots: int | None = None):
         if not threshold > 0:
             raise ValueError("cells need a threshold above 0")
         spark = vecs.sparkSession
         ship(spark)
-        self.threshold, self.block, root = threshold, block, scratch(spark, "cells")
+        self.threshold, root = threshold, scratch(spark, "cells")
         self.kind = vecs.schema["id"].dataType.simpleString()
         d = vecs.filter("v is not null").select(F.col("id").cast("long").alias("id"), V.doubles(F.col("v")).alias("v")).filter(F.exists("v", lambda x: x != 0))
         n, size = d.agg(F.count(F.lit(1)), F.mode(F.size("v"))).first()
         d = d.filter(F.size("v") == (size or 0))
+        self.block = block = block or max(G.BLOCK, min(G.PAIRS, -(-n // 12)))
         m = min(PIVOTS, pivots or max(8, -(-n // 256)))
         # A bounded number of vectors, those of the smallest hashes.
         chosen = d.select("v", F.xxhash64(F.lit("pivot"), "id").alias("h"), "id").orderBy("h", "id").limit(m).collect()
         p = G._matrix(pa.chunked_array([pa.array([list(r.v) for r in chosen] or [[1.0]], pa.list_(pa.float64()))]))
         angle = math.acos(min(1.0, threshold))
-        radius = np.full(len(p), -1.0)
-        for r in d.select("v").mapInArrow(_placed(p, angle, None), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("r")).collect():
-            radius[r.cell] = r.r
+        while True:
+            radius = np.full(len(p), -1.0)
+            for r in d.select("v").mapInArrow(_placed(p, angle, None), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("r")).collect():
+                radius[r.cell] = r.r
+            if len(p) <= 2 * VISITS:
+                break
+            visits = d.mapInArrow(_placed(p, angle, radius), "id long, v array<double>, cell int, visits array<int>").agg(F.sum(F.size("visits"))).first()[0]
+            if visits <= VISITS * n:
+                break
+            p = p[: max(2 * VISITS, len(p) // 4)]
+        self.pivots = len(p)
         self._read = lambda: spark.read.schema("id long, v array<double>, cell int, visits array<int>").parquet(f"{root}/rows")
         self.rows = written(d.mapInArrow(_placed(p, angle, radius), "id long, v array<double>, cell int, visits array<int>"), f"{root}/rows")
         home = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("home"))

@@ -42,3 +42,14 @@ def test_odd_vectors(spark):
     with pytest.raises(ValueError):
         M.Cells(d, 0.0)
     assert M.pairs_above(d.filter("id in (1, 6)"), -1.0).count() == 1
+
+
+def test_cells_that_all_vectors_visit_become_few(spark):
+    """Fails where each vector is copied to every later one of the cells."""
+    d = vectors(spark, 400, 400, 1.0)
+    wide = M.Cells(d, 0.35, pivots=128)
+    visits = wide.rows.selectExpr("avg(size(visits))").first()[0]
+    assert wide.pivots == 32 and visits <= M.VISITS
+    assert rows(wide.pairs()) == rows(G.pairs_above(d, 0.35))
+    # Cells that keep vectors apart stay.
+    assert M.Cells(vectors(spark, 400, 100, 0.001), 0.9999, pivots=64).pivots == 64
