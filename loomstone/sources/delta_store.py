@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.sources.deltas import Deltas
@@ -10,23 +10,37 @@ from loomstone.sources.store import KEYS, SCHEMAS, _firsts, _Reads, scratch, wri
 
 
 class DeltaStore(_Reads):
-    """A repository under root/kind, partitioned by user; readers keep the rows that they planned with until clean().
+    """A repository under root/kind; readers keep the rows that they planned with until clean().
 
-    A change costs what it changes: an update writes the new rows and the keys
+    Folders are partitioned by `shards` hashes of the user, so their files are
+    as many however many users there are, and what is asked of one user reads
+    one shard of each. A change costs what it changes: an update writes the new rows and the keys
     of the old ones, whatever the user's other rows are. Folders are merged
     when the newest are as large as the one before, so they stay few and a row
     is written again a logarithmic number of times.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._deltas = {kind: Deltas(spark, f"{self.root}/{kind}", schema, KEYS[kind], "user_id") for kind, schema in SCHEMAS.items()}
+    def __init__(self, spark: SparkSession, root: str, shards: int = 16):
+        self.spark, self.root, self.shards = spark, root.rstrip("/"), shards
+        self._deltas = {kind: Deltas(spark, f"{self.root}/{kind}", f"{schema}, shard int", KEYS[kind], "shard") for kind, schema in SCHEMAS.items()}
+
+    def _shard(self, user_id: Column) -> Column:
+        return F.pmod(F.xxhash64(user_id), F.lit(self.shards)).cast("int")
 
     def read(self, kind: str) -> DataFrame:
-        return self._deltas[kind].read()
+        return self._deltas[kind].read().drop("shard")
+
+    def _of(self, kind: str, user_id: str | None) -> DataFrame:
+        """A user's rows, from the user's shard alone."""
+        user = F.lit(user_id).cast("string")
+        return self._deltas[kind].read().filter((F.col("shard") == self._shard(user)) & F.col("user_id").eqNullSafe(user)).drop("shard")
+
+    def of_user(self, kind: str, user_id: str) -> DataFrame:
+        d = self._of(kind, user_id)
+        return d.orderBy(F.desc("created_at"), KEYS[kind]) if kind == "semantic" else d
 
     def _change(self, kind: str, rows: DataFrame | None, gone: DataFrame | None) -> None:
-        self._deltas[kind].write(rows, gone)
+        self._deltas[kind].write(None if rows is None else rows.withColumn("shard", self._shard(F.col("user_id"))), gone)
         self._deltas[kind].merge()
 
     def add_absent(self, kind: str, rows: DataFrame) -> None:
@@ -44,7 +58,7 @@ class DeltaStore(_Reads):
 
     def delete_user(self, user_id: str) -> None:
         for kind in SCHEMAS:
-            self._change(kind, None, self.read(kind).filter(F.col("user_id").eqNullSafe(user_id)))
+            self._change(kind, None, self._of(kind, user_id))
 
     def clean(self) -> int:
         """Deletes folders that no new plan reads; how many."""
