@@ -8,24 +8,30 @@ from pyspark.sql import functions as F
 from loomstone.sources.deltas import Deltas
 from loomstone.sources.store import KEYS, SCHEMAS, _firsts, _Reads, scratch, written
 
+#: Hashes of users that folders are partitioned by; rows that are there lie by this number.
+SHARDS = 16
+
 
 class DeltaStore(_Reads):
     """A repository under root/kind; readers keep the rows that they planned with until clean().
 
-    Folders are partitioned by `shards` hashes of the user, so their files are
+    Folders are partitioned by SHARDS hashes of the user, so their files are
     as many however many users there are, and what is asked of one user reads
-    one shard of each. A change costs what it changes: an update writes the new rows and the keys
-    of the old ones, whatever the user's other rows are. Folders are merged
-    when the newest are as large as the one before, so they stay few and a row
-    is written again a logarithmic number of times.
+    one shard of each. A change costs what it changes: an update writes the
+    new rows and the keys of the old ones, whatever the user's other rows are.
+    Folders are merged when the newest are as large as the one before, so they
+    stay few and a row is written again a logarithmic number of times.
     """
 
-    def __init__(self, spark: SparkSession, root: str, shards: int = 16):
-        self.spark, self.root, self.shards = spark, root.rstrip("/"), shards
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
         self._deltas = {kind: Deltas(spark, f"{self.root}/{kind}", f"{schema}, shard int", KEYS[kind], "shard") for kind, schema in SCHEMAS.items()}
+        for d in self._deltas.values():
+            if d.foreign():
+                raise ValueError(f"{d.root} is partitioned by user, as a version before wrote it: read it as Deltas by user_id and add its rows to a new store")
 
     def _shard(self, user_id: Column) -> Column:
-        return F.pmod(F.xxhash64(user_id), F.lit(self.shards)).cast("int")
+        return F.pmod(F.xxhash64(user_id), F.lit(SHARDS)).cast("int")
 
     def read(self, kind: str) -> DataFrame:
         return self._deltas[kind].read().drop("shard")

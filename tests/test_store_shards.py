@@ -3,8 +3,11 @@
 import re
 from pathlib import Path
 
+import pytest
+
 from loomstone.sources.delta_store import DeltaStore
-from loomstone.sources.store import SCHEMAS
+from loomstone.sources.deltas import Deltas
+from loomstone.sources.store import KEYS, SCHEMAS
 
 
 def facts(spark, n):
@@ -27,3 +30,13 @@ def test_folders_do_not_grow_with_users(spark, tmp_path):
     # A key that moves to another user moves to that one's shard.
     s.update("semantic", facts(spark, 60).filter("memory_id = 'm3'").selectExpr("memory_id", "'u9' AS user_id", *facts(spark, 1).columns[2:]))
     assert sorted(r.memory_id for r in s.of_user("semantic", "u9").collect()) == ["m3", "m9"] and not s.of_user("semantic", "u3").count()
+
+
+def test_a_store_by_user_is_told_and_can_be_taken_over(spark, tmp_path):
+    old = Deltas(spark, f"file://{tmp_path}/old/semantic", SCHEMAS["semantic"], KEYS["semantic"], "user_id")
+    old.write(facts(spark, 3))
+    with pytest.raises(ValueError, match="partitioned by user"):
+        DeltaStore(spark, f"file://{tmp_path}/old")
+    s = DeltaStore(spark, f"file://{tmp_path}/new")
+    s.add_absent("semantic", old.read())
+    assert sorted(r.memory_id for r in DeltaStore(spark, f"file://{tmp_path}/new").read("semantic").collect()) == ["m0", "m1", "m2", "m3"]
