@@ -90,21 +90,21 @@ def typed_facts(spark, sf_dir):
     return generation.flattened(table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("broken")).otherwise(said).alias("answer")))
 
 
-def _statements(spark, sf_dir):
-    return _messages(spark, sf_dir).select((F.col("owner") % 20).cast("string").alias("user_id"), F.col("owner").alias("group"), (F.col("owner") * 1000 + F.col("seq")).alias("pos"), F.concat(F.lit("  "), F.substring("content", 1, 12)).alias("statement"))
+def _statements(spark, sf_dir, said):
+    return _messages(spark, sf_dir).select((F.col("owner") % 20).cast("string").alias("user_id"), F.col("owner").alias("group"), (F.col("owner") * 1000 + F.col("seq")).alias("pos"), F.concat(F.lit("  "), said).alias("statement"))
 
 
 def fact_rows(spark, sf_dir):
     """Turns' first words as facts, as old as the first turn of the conversation."""
     m = _messages(spark, sf_dir)
     sources = m.select(F.col("owner").alias("group"), F.concat(F.lit("e"), F.col("seq").cast("string")).alias("episode_id"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("created_at"))
-    d = generation.as_facts(_statements(spark, sf_dir), sources)
+    d = generation.as_facts(_statements(spark, sf_dir, F.substring("content", 1, 12)), sources)
     return d.select("memory_id", "content", "created_at", F.size("source_episodes").alias("sources"), "confidence").distinct()
 
 
 def novel_facts(spark, sf_dir):
-    """Of all users' turns what no fact of theirs says; users 0 to 3 know nothing yet. Facts have A to Z in capitals; others, as of a sharp s, don't lead back."""
-    s = _statements(spark, sf_dir)
+    """Of all users' turns, whole texts, what no fact of theirs says; users 0 to 3 know nothing yet. Facts have A to Z in capitals; others, as of a sharp s, don't lead back."""
+    s = _statements(spark, sf_dir, F.col("content"))
     known = s.filter("group % 5 = 0 and cast(user_id as int) > 3").select("user_id", F.translate("statement", string.ascii_lowercase, string.ascii_uppercase).alias("content"))
     return generation.novel(s, known).select("user_id", "pos", "cold_start")
 
@@ -309,6 +309,7 @@ def _bleu(n):
 
 
 _ST = "st AS (SELECT CAST(conv_id % 20 AS VARCHAR) AS user_id, conv_id AS grp, conv_id * 1000 + turn AS pos, '  ' || substr(text, 1, 12) AS statement FROM conversations)"
+_WHOLE = _ST.replace("substr(text, 1, 12)", "text")
 _KEY = "lower(trim(statement))"
 _TXT = "x AS (SELECT g.owner, g.episode, string_agg(role || ': ' || content, chr(10) ORDER BY seq) AS text FROM g GROUP BY g.owner, g.episode)"
 
@@ -336,7 +337,7 @@ CASE WHEN t0 IS NULL THEN 'first' WHEN gap > 30 THEN 'gap' ELSE '' END AS reason
     "typed_facts": "SELECT doc_id, CAST(pos AS INT) AS pos, CASE pos WHEN 0 THEN 'p' || doc_id WHEN 1 THEN 'x' || doc_id WHEN 2 THEN 'h' || doc_id ELSE 'g' END AS statement FROM documents, generate_series(0, 3) AS g(pos) WHERE doc_id % 7 <> 0",
     "fact_rows": f"""WITH {_ST}, {_M}, o AS (SELECT owner, strftime(min(ts), '%Y-%m-%d %H:%M') AS created_at, CAST(count(DISTINCT seq) AS INT) AS sources FROM m GROUP BY owner)
 SELECT DISTINCT sha256(user_id || chr(0) || trim(statement)) AS memory_id, trim(statement) AS content, created_at, sources, 0.8::DOUBLE AS confidence FROM st JOIN o ON grp = owner WHERE trim(statement) <> ''""",
-    "novel_facts": f"""WITH {_ST}, k AS (SELECT DISTINCT user_id, {_KEY} AS k FROM st WHERE grp % 5 = 0 AND CAST(user_id AS INT) > 3), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, {_KEY} ORDER BY pos) AS r FROM st)
+    "novel_facts": f"""WITH {_WHOLE}, k AS (SELECT DISTINCT user_id, {_KEY} AS k FROM st WHERE grp % 5 = 0 AND CAST(user_id AS INT) > 3), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, {_KEY} ORDER BY pos) AS r FROM st)
 SELECT user_id, pos, user_id NOT IN (SELECT user_id FROM k) AS cold_start FROM f WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.user_id = f.user_id AND k.k = lower(trim(f.statement)))""",
     "facts_dispatched": "SELECT CAST(conv_id AS VARCHAR) AS user_id, CAST(turn AS VARCHAR) AS episode_id, substr(text, 1, 5) AS statement FROM conversations",
     "relevant_fallback": f"""WITH {_COSS}, n AS (SELECT * FROM r WHERE rank <= 4 AND query_id <> item), g AS (SELECT query_id, item AS fact, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM n WHERE s >= 0.3),

@@ -25,6 +25,14 @@ def test_novel_facts_of_letters_without_capitals(spark, tmp_path):
     agree(spark, tmp_path, "novel_facts", conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
 
 
+def test_novel_facts_of_whole_texts(spark, tmp_path):
+    """Fails where texts that begin alike are taken for one."""
+    rows = [(i, 0, "user", t) for i, t in ((5, "one beginning, first end"), (25, "one beginning, second end"), (45, "one beginning, first end"), (6, "one beginning, first end"), (26, "one beginning, second end"), (46, None))]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    agree(spark, tmp_path, "novel_facts", conversations=d)
+    assert {r.pos for r in catalog.QUERIES["novel_facts"](spark, f"file://{tmp_path}").collect()} == {6000, 26000, 46000}
+
+
 def test_judged_stream_of_many_events_without_a_gap(spark, tmp_path):
     at = lambda k: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=k)
     rows = [(i, at(i if i < 30 else i + 9), i % 2 if i < 40 else 2, "view", 1.0, "{}") for i in range(70)]
