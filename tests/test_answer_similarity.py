@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone import catalog
 from loomstone.functions import providers
+from loomstone.functions.text import simple_tokens
 from loomstone.operators import answer_similarity as S
+from loomstone.operators import evaluation
 
 #: Words and stems of Porter's paper.
 PAIRS = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky
@@ -25,6 +28,19 @@ def test_stemmed_rouge(spark):
     assert got == {1: (pytest.approx(0.5), 0.0, pytest.approx(0.5)), 2: (0, 0, 0), 3: (0, 0, 0)}
 
 
+def test_stems_of_texts_are_scored_without_folds_over_arrays(spark):
+    """The plan's scores of the stems' texts; fails where the plan has the fold."""
+    words = "cats running happily a the relational formalize, pies. über ponies ties agreed".split()
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(words, n)) for n in (0, 1, 2, 3, 9, 40, 70, 130)]
+    d = spark.createDataFrame([(i * 10 + j, p, g) for i, p in enumerate(texts) for j, g in enumerate(texts)], "id long, predicted string, gold string")
+    got = S.stemmed_rouge(d)
+    joined = lambda c: F.array_join(S.stems(simple_tokens(F.col(c))), " ")
+    want = evaluation.rouge(d.withColumns({"p": joined("predicted"), "g": joined("gold")}), "p", "g").select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def plain(p, g):
     tokens = lambda t: (t or "").lower().translate(str.maketrans(".,!?", "    ")).split()
     a, b = tokens(p), tokens(g)
