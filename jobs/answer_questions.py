@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import providers
 from loomstone.functions import text as X
 from loomstone.operators import evaluation, fusion, lexical, retrieval
-from loomstone.sources.store import scratch
+from loomstone.sources.store import scratch, written
 
 log = logging.getLogger("loomstone.jobs.answer_questions")
 CONFIG = Path(__file__).with_suffix(".json")
@@ -64,8 +64,11 @@ def ranked(post: DataFrame, questions: DataFrame, config: dict) -> DataFrame:
     # A question is one of each kind, which has an index of its own.
     asked = questions.select("query_id", F.inline(kinds())).select("kind", F.struct("kind", "query_id").alias("query_id"), "tokens")
     best = lexical.topk(post, asked, ["kind"], config["pool"]).select("query_id.kind", "query_id.query_id", F.col("doc").alias("item"), "rank")
+    # Written, as each of the lists would rank all documents anew; and the result, as evidence reads it several times.
+    at = scratch(post.sparkSession, "ranked")
+    best = written(best, f"{at}/best")
     lists = [best.filter(F.col("kind") == kind).drop("kind") for kind in ("word", "raw")]
-    return fusion.reciprocal_rank(lists, config["k"]).withColumnRenamed("item", "doc")
+    return written(fusion.reciprocal_rank(lists, config["k"]).withColumnRenamed("item", "doc"), f"{at}/fused")
 
 
 def with_evidence(hits: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ def index_tokens(text: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """White-space separated, letters and digits only, longer than one character."""
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+    # What is in no word goes before the text is split, by one pass.
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]+", ""), r"\s+")
     return F.filter(words, lambda t: F.length(t) > 1)
 
 

@@ -70,7 +70,11 @@ def idf(post: DataFrame, docs: DataFrame, group: list[str], eps: float = 0.25) -
     docs has a row for each indexed document: group..., doc, dl.
     """
     size = docs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_docs"))
-    return idf_of(post.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df")), size, group, eps)
+    if group:
+        size = written(size, scratch(post.sparkSession, "sizes"))
+    # Written, as the mean reads them too.
+    df = written(post.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df")), scratch(post.sparkSession, "df"))
+    return idf_of(df, size, group, eps)
 
 
 def idf_of(df: DataFrame, size: DataFrame, group: list[str], eps: float = 0.25) -> DataFrame:
@@ -88,9 +92,10 @@ def topk(post: DataFrame, queries: DataFrame, group: list[str], k: int, k1: floa
     joined, after the statistics are reduced to those terms. post is read
     three times, so it should be a written table.
     """
-    docs = post.select(*group, "doc", "dl").distinct()
+    # One pass over the postings tells all of the documents; a row of each is left.
+    docs = written(post.groupBy(*group, "doc", "dl").agg(F.sum("tf").alias("tokens")), scratch(post.sparkSession, "lengths"))
     # The sum of all term frequencies is that of the lengths.
-    stats = post.groupBy(*group).agg((F.sum("tf") / F.count_distinct("doc")).alias("avgdl"), F.count_distinct("doc").alias("n_docs"))
+    stats = docs.groupBy(*group).agg((F.sum("tokens") / F.count_distinct("doc")).alias("avgdl"), F.count_distinct("doc").alias("n_docs"))
     return ranked(post, idf(post, docs, group), stats, queries, group, k, k1, b)
 
 
@@ -106,6 +111,9 @@ def ranked(post: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFra
     terms = written(terms.join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi"), scratch(post.sparkSession, "terms"))
     sized = queries.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_b_q"))
     stats = (stats.join(sized, group) if group else stats.crossJoin(F.broadcast(sized))).withColumn("_b_v", F.ceil(F.col("n_docs") / DOCS).cast("int"))
+    if group:
+        # Written like the terms: of few groups, all postings would meet in as few tasks.
+        stats = written(stats, scratch(post.sparkSession, "groups"))
     known = lambda d: d.join(stats, group) if group else d.crossJoin(F.broadcast(stats))
     p = known(post.join(terms, [*group, "term"]))
     p = p.withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))

@@ -55,3 +55,12 @@ def test_command_line(tmp_path):
     done = subprocess.run([sys.executable, job.__file__, "--documents", f"{SF}/documents.parquet", "--questions", f"{SF}/benchmark.parquet", "--out", str(tmp_path / "out")], capture_output=True, text=True, cwd=tmp_path, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
     assert '"postings"' in done.stderr and list((tmp_path / "out" / "hits").glob("source=*")) and list((tmp_path / "out" / "index").glob("shard=*"))
+
+
+def test_ranking_is_made_once(spark, tmp_path):
+    """Fails where each of the fused lists, and each use of them, ranks all documents anew."""
+    docs = spark.createDataFrame([(1, "Red apples."), (2, "Pears and apples."), *((i, f"Other thing number{i}.") for i in range(3, 12))], "doc long, text string")
+    asked = spark.createDataFrame([(7, "apples"), (8, "pears")], "query_id long, text string")
+    hits = job.ranked(job.build_index(docs, f"file://{tmp_path}/index", CONFIG), asked, CONFIG)
+    assert "CoGroup" not in hits._jdf.queryExecution().toString()
+    assert sorted((r.query_id, r.rank, r.doc) for r in hits.collect()) == [(7, 1, 1), (7, 2, 2), (8, 1, 2)]

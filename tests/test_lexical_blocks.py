@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -82,3 +83,21 @@ def test_several_tokenisers_share_one_shuffle_of_the_texts(spark):
     plan = p._jdf.queryExecution().toString().split("Physical Plan")[1]
     # What moves is the text; tokens are made after it.
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "regexp" not in plan[plan.index("Exchange") :] and "split" not in plan[plan.index("Exchange") :]
+
+
+def test_postings_do_not_meet_their_groups_in_as_few_tasks(spark, tmp_path):
+    """Fails where the size of the groups' statistics is not known, so that postings are shuffled by group."""
+    text = F.concat_ws(" ", *(F.concat(F.lit(c), (F.col("id") * n % 97).cast("string")) for n, c in enumerate("abcdefgh", 3)))
+    d = spark.range(4000).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").alias("doc"), text.alias("text"))
+    lexical.postings(d, words(), ["g"]).write.parquet(f"file://{tmp_path}/post")
+    post = spark.read.parquet(f"file://{tmp_path}/post")
+    asked = d.filter("doc < 20").select("g", F.col("doc").alias("query_id"), words().alias("tokens"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        best = lexical.topk(post, asked, ["g"], 3)
+        plan = best._jdf.queryExecution().executedPlan().toString()
+        assert best.count() == 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"hashpartitioning\(g#\d+, \d+\)", plan)
