@@ -110,22 +110,31 @@ class Cells:
         right = also.unionByName(guests.select("id", "v", "cell", (F.col("h") + block("g")).alias("s"), F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("r")))
 
         def unit(key, one: pa.Table, two: pa.Table) -> pa.Table:
-            out = {"a": [], "b": [], "sim": []}
-            if one.num_rows and two.num_rows:
-                x, y = np.asarray(one.column("id")), np.asarray(two.column("id"))
-                sims = G._matrix(two.column("v")) @ G._matrix(one.column("v")).T
-                mark = sims > t if strict else sims >= t
-                if key[1].as_py() == key[2].as_py():
-                    mark &= x[None, :] < y[:, None]
-                i, j = np.nonzero(mark)
-                out = {"a": np.minimum(x[j], y[i]), "b": np.maximum(x[j], y[i]), "sim": sims[i, j]}
-            return pa.table({c: pa.array(out[c], k) for c, k in (("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64()))})
+            return _near(one, two, t, strict, key[1].as_py() == key[2].as_py())
 
         keys = ["cell", "r", "s"]
         out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(unit, "a long, b long, sim double")
         return out.select(F.col("a").cast(self.kind).alias("a"), F.col("b").cast(self.kind).alias("b"), "sim")
 
 
+def _near(one: pa.Table, two: pa.Table, t: float, strict: bool, own: bool) -> pa.Table:
+    """a, b, sim of the pairs of two blocks (id, v), own if they are the same, step by step: so many similarities are held at once."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if one.num_rows and two.num_rows:
+        x, y = np.asarray(one.column("id")), np.asarray(two.column("id"))
+        left, right = G._matrix(one.column("v")), G._matrix(two.column("v"))
+        step = max(1, G.CELLS // len(x))
+        for at in range(0, len(y), step):
+            few = y[at : at + step]
+            sims = right[at : at + step] @ left.T
+            mark = sims > t if strict else sims >= t
+            if own:
+                mark &= x[None, :] < few[:, None]
+            i, j = np.nonzero(mark)
+            found.append((np.minimum(x[j], few[i]), np.maximum(x[j], few[i]), sims[i, j]))
+    return pa.table({c: pa.array(np.concatenate(v), k) for c, v, k in zip(("a", "b", "sim"), zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+
 def pairs_above(vecs: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
     """vector_graph.pairs_above by cells; thresholds of 0 and less, which most pairs pass, go to the blocks of all pairs."""
     return Cells(vecs, threshold).pairs(strict) if threshold > 0 else G.pairs_above(vecs, threshold, strict=strict)

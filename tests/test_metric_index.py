@@ -1,6 +1,9 @@
 """Pairs by cells against all pairs, and how much is compared."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomstone.operators import metric_index as M
@@ -53,3 +56,19 @@ def test_cells_that_all_vectors_visit_become_few(spark):
     assert rows(wide.pairs()) == rows(G.pairs_above(d, 0.35))
     # Cells that keep vectors apart stay.
     assert M.Cells(vectors(spark, 400, 100, 0.001), 0.9999, pivots=64).pivots == 64
+
+
+def test_a_unit_holds_few_similarities_at_once():
+    """Fails where all similarities of two blocks are made together."""
+    r = np.random.default_rng(1)
+    v = r.normal(size=(6000, 8))
+    block = pa.table({"id": pa.array(np.arange(6000)), "v": pa.array(list(v), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    got = M._near(block, block, 0.995, False, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All at once are 288 MB.
+    assert peak < 100e6
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.995, 1))
+    assert len(i) and sorted(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == list(zip(i.tolist(), j.tolist(), strict=True))
